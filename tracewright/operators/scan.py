@@ -169,24 +169,42 @@ def chunk_width(hot: DataFrame, key: str, time_us: str, max_group_rows: int) ->
     return WIDTHS[-1]
 
 
+def split_for(df: DataFrame, keys: list[str], time_us: str, max_group_rows: int) -> Split:
+    """The split under which no group of any of the keys is too large for one task; usually none is needed."""
+    grouped = df.select(F.explode(F.array(*keys)).alias("_key"), F.col(time_us).alias("_us")).where("_key is not null")
+    hot = grouped.groupBy("_key").count().where(F.col("count") > max_group_rows).select("_key")
+    if not hot.take(1):
+        return PLAIN
+    return Split(chunk_width(grouped.join(hot, "_key", "left_semi"), "_key", "_us", max_group_rows))
+
+
+def global_split(df: DataFrame, time_us: str, max_group_rows: int) -> Split:
+    """A split for scans over all rows in time order: an hour at most, less when hours are large."""
+    width = chunk_width(df.withColumn("_all", F.lit(0)), "_all", time_us, max_group_rows)
+    return Split(min(width, 3_600_000_000))
+
+
+def measure(df: DataFrame, key: str, time_us: str) -> tuple[int, int | None]:
+    """Rows of the largest group and the last time in the data, in one small aggregation."""
+    rows = F.when(F.col(key).isNotNull(), F.lit(1))
+    groups = df.groupBy(key).agg(F.count(rows).alias("n"), F.max(time_us).alias("last"))
+    largest, last = groups.agg(F.max("n"), F.max("last")).first()
+    return largest or 0, last
+
+
 def by_heat(
-    df: DataFrame,
-    key: str,
-    time_us: str,
-    max_group_rows: int,
-    plan: Callable[[DataFrame, Split], DataFrame],
+    df: DataFrame, key: str, time_us: str, largest: int, limit: int, plan: Callable[[DataFrame, Split], DataFrame]
 ) -> DataFrame:
     """Run ``plan`` with plain windows on ordinary keys and with split scans on hot ones."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") > max_group_rows).select(key)
-    if not hot.take(1):
+    if largest <= limit:
         return plan(df, PLAIN)
-    # At most (all rows / max_group_rows) keys are hot; broadcast them only while they are few.
-    hot = cut(df.sparkSession, hot)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # At most (all rows / limit) keys are hot; broadcast them only while they are few.
+    hot = cut(df.sparkSession, counts.where(F.col("n") > limit).select(key))
     if hot.count() <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     hot_rows = df.join(hot, key, "left_semi")
-    width = chunk_width(hot_rows, key, time_us, max_group_rows)
+    width = chunk_width(hot_rows, key, time_us, limit)
     cold = plan(df.join(hot, key, "left_anti"), PLAIN)
     return cold.unionByName(plan(hot_rows, Split(width)))
 

@@ -13,8 +13,8 @@ from tracewright.functions import payloads as P
 from tracewright.functions import scalars as S
 from tracewright.functions.text import redact_json, redact_text
 from tracewright.operators.pairing import match_tools
-from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, running
-from tracewright.operators.traces import TRACE, annotate, timed
+from tracewright.operators.scan import PLAIN, Scan, Split, running
+from tracewright.operators.traces import TRACE, annotate, by_session
 from tracewright.options import Options
 
 POSITION = "struct(ts_us, event_seq)"
@@ -413,9 +413,9 @@ def nest_spans(spans: DataFrame) -> DataFrame:
 
 
 def assemble(events: DataFrame, options: Options = Options()) -> DataFrame:
-    """Spans of a batch of events that need no routing; hot sessions are split by time."""
+    """Spans of a batch of events; hot sessions are split by time."""
 
-    def plan(part: DataFrame, split: Split) -> DataFrame:
-        return build_spans(annotate(part, options, split), options, split)
+    def plan(part: DataFrame, known: Options, split: Split) -> DataFrame:
+        return build_spans(annotate(part, known, split), known, split)
 
-    return by_heat(timed(events), "host_key", "ts_us", options.max_group_rows, plan)
+    return by_session(events, options, plan)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, running
+from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, measure, running
 from tracewright.options import Options
 
 INPUT, OUTPUT, TOOL_START, TOOL_END = "llm_input", "llm_output", "before_tool_call", "after_tool_call"
@@ -15,6 +15,8 @@ DELIVERY, ENDED = "subagent_delivery_target", "subagent_ended"
 SUBAGENT = (SPAWNING, SPAWNED, DELIVERY, ENDED)
 
 ORDER = ["ts_us", "event_seq"]
+# Stands behind every event of its microsecond.
+LAST_SEQ = 9_223_372_036_854_775_807
 TRACE = ["host_key", "trace_no"]
 
 
@@ -62,7 +64,8 @@ def bound_traces(numbered: DataFrame, options: Options, split: Split = PLAIN) ->
     """Add the trace's bounds and close reason, and whether the event still reached the open trace.
 
     A trace closes by the first of: a run end (plus grace), too long without activity, a new model input
-    in its session, the end of the data.
+    in its session, the end of the data. ``options.as_of_us`` must be set: time passes for idle traces
+    until there, whichever sessions the later events are in.
     """
     ts = F.col("ts_us")
     other = named(INPUT, TOOL_START, TOOL_END, *SUBAGENT)
@@ -95,11 +98,10 @@ def bound_traces(numbered: DataFrame, options: Options, split: Split = PLAIN) ->
             Scan("_gap_from", "min", F.when(gap, F.col("_idle_from")), "all"),
             Scan("_last_other", "max", F.when(other, ts), "all"),
             Scan("_only_out", "min", F.when(output, ts), "all"),
-            Scan("_last_us", "max", ts, "all"),
         ],
         split,
     )
-    as_of = F.lit(options.as_of_us).cast("long")
+    as_of = F.lit(options.as_of_us)
     tail = last_open_moment(F.greatest("_last_other", "_only_out"), options)
     horizon = F.coalesce(F.col("next_start_us"), as_of)
     stale = F.coalesce(F.col("_gap_us"), F.when(horizon > tail, tail))
@@ -123,7 +125,7 @@ def bound_traces(numbered: DataFrame, options: Options, split: Split = PLAIN) ->
         F.when(F.col("closed_by") == "replaced", F.col("next_start_us"))
         .when(F.col("closed_by") == "agent_end", F.col("cut_us"))
         .when(F.col("closed_by") == "stale", F.col("cut_us") + sweep_step)
-        .otherwise(F.coalesce(as_of, F.col("_last_us")))
+        .otherwise(as_of)
     )
     in_trace = F.col("trace_no") > 0
     reached = in_trace & (F.col("cut_us").isNull() | (ts <= F.col("cut_us")))
@@ -141,23 +143,62 @@ def bound_traces(numbered: DataFrame, options: Options, split: Split = PLAIN) ->
     )
 
 
+def at_end(events: DataFrame, options: Options) -> Options:
+    """Options with the moment the input ends: where not given, the time of its last event."""
+    if options.as_of_us is not None:
+        return options
+    return options.but(as_of_us=timed(events).agg(F.max("ts_us")).first()[0] or 0)
+
+
 def annotate(events: DataFrame, options: Options = Options(), split: Split = PLAIN) -> DataFrame:
     """Events that have a session, with their trace number, its bounds and whether they reached it."""
+    options = at_end(events, options)
     keyed = timed(events).where(F.col("host_key").isNotNull())
     return bound_traces(number_traces(keyed, split), options, split)
 
 
-def annotate_by_heat(events: DataFrame, options: Options = Options()) -> DataFrame:
-    """``annotate`` with hot sessions split by time."""
+def by_session(events: DataFrame, options: Options, plan) -> DataFrame:
+    """Run ``plan(events, options, split)`` with the end of the input known and hot sessions split by time."""
+    events = timed(events)
+    largest, last = measure(events, "host_key", "ts_us")
+    if options.as_of_us is None:
+        options = options.but(as_of_us=last or 0)
     return by_heat(
-        timed(events), "host_key", "ts_us", options.max_group_rows, lambda df, split: annotate(df, options, split)
+        events,
+        "host_key",
+        "ts_us",
+        largest,
+        options.max_group_rows,
+        lambda part, split: plan(part, options, split),
     )
 
 
-def trace_table(annotated: DataFrame) -> DataFrame:
-    """One row per trace, from the event that opened it."""
-    return annotated.where(named(INPUT)).select(
+def annotate_by_heat(events: DataFrame, options: Options = Options()) -> DataFrame:
+    """``annotate`` with hot sessions split by time."""
+    return by_session(events, options, annotate)
+
+
+def trace_table(annotated: DataFrame, split: Split = PLAIN) -> DataFrame:
+    """One row per trace, from the event that opened it.
+
+    ``forgotten`` is the position at which its session was last dropped from the correlation memory: right
+    after the input that replaced a trace, or behind the last event of a trace that closed by itself.
+    """
+    opened = annotated.where(named(INPUT)).select(
         F.col("host_key").alias("session_key"),
         "trace_no",
         *["start_us", "start_seq", "next_start", "cut_us", "close_us", "closed_by"],
     )
+    before = running(
+        opened,
+        ["session_key"],
+        ["start_us", "start_seq"],
+        [Scan("_before", "last", F.struct("closed_by", "cut_us"), "before")],
+        split,
+    )
+    return before.selectExpr(
+        *opened.columns,
+        "case when _before is null then null "
+        "when _before.closed_by = 'replaced' then struct(start_us as ts_us, start_seq as event_seq) "
+        f"else struct(_before.cut_us as ts_us, {LAST_SEQ} as event_seq) end as forgotten",
+    )
