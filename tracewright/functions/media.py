@@ -115,7 +115,9 @@ def media_paths(text: Column, home: str) -> Column:
     return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
 
 
-def extract_media(df: DataFrame, entity: list[str], payloads: list[str], home: str) -> DataFrame:
+def extract_media(
+    df: DataFrame, entity: list[str], payloads: list[str], home: str, distinct: bool = True
+) -> DataFrame:
     """One row per (entity, path), over all payload columns of the entity's rows.
 
     Each JSON or plain text payload is searched whole; duplicates are dropped before the shuffle too.
@@ -123,7 +125,8 @@ def extract_media(df: DataFrame, entity: list[str], payloads: list[str], home: s
     every = F.array_distinct(
         F.flatten(F.array(*[media_paths(F.coalesce(F.col(p), F.lit("")), home) for p in payloads]))
     )
-    return df.select(*entity, F.explode(every).alias("path")).dropDuplicates([*entity, "path"])
+    found = df.select(*entity, F.explode(every).alias("path"))
+    return found.dropDuplicates([*entity, "path"]) if distinct else found
 
 
 def mime_table(spark: SparkSession) -> DataFrame:

@@ -121,9 +121,9 @@ def assistant_text(texts: str) -> str:
     return f"coalesce(array_join({texts}, '\\n\\n'), '')"
 
 
-def trace_id(session: str, trace_no: str) -> str:
-    """Stable under retries and parallel writers: a digest of the session and the trace's number in it."""
-    return f"concat('tr_', md5(cast({session} as binary)), '_', {trace_no})"
+def trace_id(session: str, start_us: str, start_seq: str) -> str:
+    """Stable under retries, parallel writers and replays: the session's digest and the event that opened it."""
+    return f"concat('tr_', md5(cast({session} as binary)), '_', {start_us}, '_', {start_seq})"
 
 
 def event_id(trace: str, seq: str) -> str:

@@ -161,6 +161,33 @@ def resolve_missing(
             return state.select("event_seq", "resolved", "fallback")
 
 
+def memory_spans(events: DataFrame, traces: DataFrame, split: Split = PLAIN) -> DataFrame:
+    """Each event that makes its session the last seen one of its agent, until the agent's next event, and
+    whether the session was dropped from memory in between because its trace closed."""
+    seen = remembered(events, None).where("agent is not null").drop("seen")
+    lasting = running(seen, ["agent"], ORDER, [Scan("until", "last", F.struct(*ORDER), "after")], split)
+    lasting = lasting.where("until is not null").selectExpr(
+        "agent", "session as key", "ts_us as seen_us", "event_seq as seen_seq", "until.ts_us", "until.event_seq"
+    )
+    facts = traces.selectExpr(
+        "session_key as key",
+        "start_us as ts_us",
+        "start_seq as event_seq",
+        f"struct(forgotten, if(cut_us is null, null, struct(cut_us as ts_us, {LAST_SEQ} as event_seq)) as closing) "
+        "as home",
+    )
+    found = as_of(lasting, facts, "key", ORDER, "home", "home_found", split)
+    closed = "home_found.closing < struct(ts_us, event_seq)"
+    dropped = f"if({closed}, home_found.closing, home_found.forgotten) >= struct(seen_us as ts_us, seen_seq as event_seq)"
+    return found.selectExpr(
+        "agent",
+        "key as session",
+        "seen_seq as event_seq",
+        "event_seq as until_seq",
+        f"coalesce({dropped}, false) as dropped",
+    )
+
+
 def correlate(events: DataFrame, options: Options = Options(), find_missing: bool = True) -> DataFrame:
     """Events with the session whose trace they belong to: lost sessions resolved, child sessions routed.
 

@@ -95,7 +95,7 @@ def finish_traces(rows: DataFrame) -> DataFrame:
     """Resolve the columns with a precedence."""
     return rows.selectExpr(
         "*",
-        f"{S.trace_id('host_key', 'trace_no')} as trace_id",
+        f"{S.trace_id('host_key', 'start_us', 'start_seq')} as trace_id",
         f"{S.trace_name('input_model.model', 'first_channel')} as trace_name",
         "coalesce(explicit_channel, fallback_channel) as channel",
         "output is not null as has_output",

@@ -103,7 +103,7 @@ tb AS (SELECT s.*, p.end_us AS first_end_us, p.last_us, g.idle_us,
   FROM starts s JOIN per p USING (session_key, trace_no) LEFT JOIN gaps g USING (session_key, trace_no)),
 traces AS (SELECT *, CASE closed_by WHEN 'replaced' THEN next_us WHEN 'agent_end' THEN cut_us
   WHEN 'stale' THEN cut_us + {step} ELSE last_us END AS close_us,
-  'tr_' || md5(session_key) || '_' || trace_no AS trace_id FROM tb),
+  'tr_' || md5(session_key) || '_' || start_us || '_' || start_seq AS trace_id FROM tb),
 ann AS (SELECT n.*, t.start_us, t.start_seq, t.cut_us, t.closed_by, t.close_us, t.run_ended, t.first_end_us,
   t.trace_no IS NOT NULL AND (t.cut_us IS NULL OR n.us <= t.cut_us) AS reached,
   coalesce(o.out_seq = n.event_seq, false) AS first_out,
@@ -188,10 +188,11 @@ made AS (
       WHEN s.run_ended AND s.phase = 0 THEN 'agent_end' ELSE s.closed_by END,
     s.tool_name, NULL, NULL, NULL, NULL
   FROM pairs p JOIN ann s ON s.event_seq = p.start_seq LEFT JOIN ann e ON e.event_seq = p.end_seq),
-spans AS (SELECT *, 'tr_' || md5(session_key) || '_' || trace_no AS trace_id,
-  row_number() OVER (PARTITION BY session_key, trace_no ORDER BY start_us, start_seq, rank) - 1 AS span_seq,
-  CAST(floor((end_us - start_us) / 1000) AS BIGINT) AS duration_ms,
-  greatest(0, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS tokens FROM made),
+spans AS (SELECT made.*, traces.trace_id,
+  row_number() OVER (PARTITION BY made.session_key, made.trace_no ORDER BY made.start_us, made.start_seq, rank) - 1 AS span_seq,
+  CAST(floor((end_us - made.start_us) / 1000) AS BIGINT) AS duration_ms,
+  greatest(0, coalesce(prompt_tokens, 0) + coalesce(completion_tokens, 0)) AS tokens
+  FROM made JOIN traces ON made.session_key = traces.session_key AND made.trace_no = traces.trace_no),
 ided AS (SELECT *, 'evt_' || trace_id || '_' || CASE span_seq WHEN 0 THEN 'root' ELSE span_seq::VARCHAR END AS event_id,
   'span_' || trace_id || '_' || span_seq AS span_id FROM spans)"""
 
