@@ -209,12 +209,12 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
     )
     # The first round lets no trace go stale: links then reach as far as they can, and a few rounds cut them
     # back. Starting from stale traces would lengthen them by one event per round.
-    current, known, rules = events, None, options.but(stale_timeout_ms=None)
+    current, known, lifecycles, rules = events, None, None, options.but(stale_timeout_ms=None)
     while True:
         traces = cut(spark, trace_table(annotate(current, rules, split), split))
         if known is not None and not traces.exceptAll(known).take(1):
             return current
-        lifecycles = resolve_lifecycles(events, traces, split) if subagents else None
+        lifecycles = resolve_lifecycles(events, traces, split, lifecycles) if subagents else None
         current = events
         if lost:
             found = resolve_missing(events, traces, lifecycles, options, split)

@@ -67,9 +67,14 @@ def lifecycle_keys(events: DataFrame) -> DataFrame:
     )
 
 
-def resolve_lifecycles(events: DataFrame, traces: DataFrame, split: Split = PLAIN) -> DataFrame:
+def resolve_lifecycles(
+    events: DataFrame, traces: DataFrame, split: Split = PLAIN, start: DataFrame | None = None
+) -> DataFrame:
     """Every sub-agent event with the run it belongs to (``link_seq``, the event that created the run), the
-    root session it is routed to, the enclosing run, and the run it resets."""
+    root session it is routed to, the enclosing run, and the run it resets.
+
+    ``start`` is an earlier answer for slightly different traces; beginning there saves rounds.
+    """
     spark = events.sparkSession
     keyed = lifecycle_keys(events)
     own = _look_up(
@@ -98,6 +103,9 @@ def resolve_lifecycles(events: DataFrame, traces: DataFrame, split: Split = PLAI
         "event_seq as link_seq",
         f"cast(null as {LINK}) as resets",
     )
+    if start is not None:
+        earlier = start.selectExpr("event_seq as _seq", *STATE)
+        state = state.drop(*STATE).join(earlier, F.col("event_seq") == F.col("_seq")).drop("_seq")
     state = cut(spark, state)
     while True:
         spawn, end = f"event_name = '{SPAWNING}'", f"event_name = '{ENDED}'"
@@ -112,7 +120,8 @@ def resolve_lifecycles(events: DataFrame, traces: DataFrame, split: Split = PLAI
             _probes(state, {"r": "requester_key", "c": "life_key"}), facts, "link", ["r", "c"], split
         )
         host, current = "found_r", "found_c"
-        nested = f"({_alive(host)})"
+        # A spawn drops the child's old link first, so a session that spawns itself is not nested in it.
+        nested = f"({_alive(host)} and not ({spawn} and requester_key <=> child_key))"
         attached = f"({_alive(current)} and not {spawn})"
         container = f"if({nested}, {host}, own)"
         joined = state.join(hosts, F.col("event_seq") == F.col("_seq"), "left")
