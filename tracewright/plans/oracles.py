@@ -231,7 +231,7 @@ ORACLES: dict[str, str] = {
     "context_carry_forward": TRACES + "SELECT session_key, trace_no, channel, trigger FROM facts",
     "id_resolution": f"WITH {HOOKS_E} SELECT event_seq, event_name, session_key, nullif(tool_call_id, '') AS tool_call_id, "
     "CASE event_seq % 4 WHEN 0 THEN CASE WHEN event_name IN ('llm_output', 'agent_end') THEN 'c' ELSE 'e' END || event_seq "
-    "WHEN 1 THEN 'c' || event_seq END AS run_id, channel_id, nullif(trigger, '') AS trigger FROM hooks",
+    "WHEN 1 THEN 'c' || event_seq END AS run_id, channel_id, nullif(trigger, '') AS trigger, result FROM hooks",
     "usage_tokens": f"WITH {HOOKS_E} SELECT event_seq, usage.input AS prompt_tokens, usage.output AS completion_tokens, usage.total "
     "AS total_tokens, usage.cacheRead AS cache_read_tokens, usage.cacheWrite AS cache_write_tokens FROM hooks "
     "WHERE event_name = 'llm_output'",
@@ -327,6 +327,12 @@ ORACLES: dict[str, str] = {
     f"', inactive={HOUR_12 // 1000}ms' ELSE nullif(e.error, '') END, NULL FROM traces t JOIN facts f USING (session_key, trace_no) "
     "LEFT JOIN ann e ON e.event_seq = f.end_seq WHERE t.closed_by = 'stale' OR (t.closed_by = 'agent_end' AND (e.error <> '' OR "
     "f.out_us IS NOT NULL OR len(list_filter(e.messages, lambda x: x.role = 'assistant')) > 0))",
+    # A stream emits the traces that closed; those open at its end stay in its state.
+    "stream_assemble": SPANNED + "SELECT event_id, 'SPAN' AS record_type, make_timestamp(ided.start_us) AS start_timestamp, "
+    "make_timestamp(ided.end_us) AS timestamp FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input'",
+    "stream_sink": SPANNED + ", closed AS (SELECT ided.* FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> "
+    "'end_of_input') " + ROLLUP.format(source="closed"),
+    "stream_media_dedup": f"WITH {REFS} SELECT DISTINCT conv_id, path FROM paths",
     "payload_choice": f"WITH {HOOKS_E} SELECT event_seq, CASE event_name WHEN 'llm_input' THEN prompt END AS prompt, CASE WHEN params IS "
     "NOT NULL THEN '{\"z\":' || event_seq || '}' END AS last_history, messages[-1].content AS last_message, CASE event_name WHEN "
     "'agent_end' THEN error END AS run_error FROM hooks",

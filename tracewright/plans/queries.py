@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +17,15 @@ from tracewright.operators.correlation import correlate, memory_spans, resolve_m
 from tracewright.operators.pairing import match_tools, pair_tools, tool_events
 from tracewright.operators.rollups import actions, rollup_actions, rollup_sessions, summarize_traces
 from tracewright.operators.routing import resolve_lifecycles, route
-from tracewright.operators.scan import cut
+from tracewright.operators.scan import checkpoint_dir, cut
 from tracewright.operators.spans import assemble, build_spans, collect_traces, nest_spans
 from tracewright.operators.traces import annotate, annotate_by_heat, by_session, number_traces, timed, trace_table
 from tracewright.options import Options
 from tracewright.plans import views as V
 from tracewright.sources import tables as T
 from tracewright.sources.hooks import canonical, union_hooks
+from tracewright.streaming.assemble import assemble_traces
+from tracewright.streaming.media import new_media
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,7 +221,7 @@ def _raw(spark, sf_dir) -> DataFrame:
         "toolName": "tool_name", "model": "model", "provider": "provider", "prompt": "prompt", "usage": "usage",
         "toolCallId": "if(event_seq % 3 = 0, tool_call_id, if(event_seq % 3 = 1, '', null))",
         "runId": "if(event_seq % 4 = 0, concat('e', event_seq), null)",
-        "durationMs": "duration_ms", "success": "success", "error": "error", "params": "params", "result": "result",
+        "durationMs": "duration_ms", "success": "success", "error": "error", "params": "params", "result": "parse_json(result)",
     }
     ctx = {
         "sessionKey": "coalesce(session_key, '')", "agentId": "agent_id", "channelId": "channel_id",
@@ -237,7 +240,7 @@ def _raw(spark, sf_dir) -> DataFrame:
 @query
 def id_resolution(spark, sf_dir):
     return canonical(_raw(spark, sf_dir)).select(
-        "event_seq", "event_name", "session_key", "tool_call_id", "run_id", "channel_id", "trigger"
+        "event_seq", "event_name", "session_key", "tool_call_id", "run_id", "channel_id", "trigger", "result"
     )
 
 
@@ -571,6 +574,44 @@ def media_manifest(spark, sf_dir):
     return M.media_manifest(references, files)
 
 
+# --- streams: run to the end of the data, then read back ---
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder next to the checkpoints, which all executors share."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _assembled(spark, sf_dir) -> str:
+    root = _scratch(spark, "traces")
+    events = V.hooks_e(spark, sf_dir, streaming=True).where("session_key is not null")
+    assemble_traces(events, f"{root}/out", f"{root}/checkpoint", HALF_DAY, available_now=True).awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def stream_assemble(spark, sf_dir):
+    rows = spark.read.parquet(f"{_assembled(spark, sf_dir)}/events")
+    return rows.select("event_id", "record_type", "start_timestamp", "timestamp")
+
+
+@query
+def stream_sink(spark, sf_dir):
+    return T.fold_sessions(spark.read.parquet(f"{_assembled(spark, sf_dir)}/sessions"))
+
+
+@query
+def stream_media_dedup(spark, sf_dir):
+    root = _scratch(spark, "media")
+    turns = V.conversations(spark, sf_dir, streaming=True).withColumn(
+        "ts", F.expr("timestamp_micros(1704067200000000 + conv_id * 3600000000 + turn * 60000000)")
+    )
+    found = new_media(turns, ["conv_id"], ["text"], HOME, "1 day")
+    run = found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    run.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("conv_id", "path")
+
+
 # --- rows only: no oracle ---
 
 

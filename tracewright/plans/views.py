@@ -135,8 +135,16 @@ def conform(df: DataFrame) -> DataFrame:
     )
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table's file as a stream, with the schema of the batch table."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.option("maxFilesPerTrigger", 1).parquet(sf_dir)
+
+
+def _base(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    events = (stream if streaming else table)(spark, sf_dir, "events")
+    return events.selectExpr(
         "event_id",
         "cast(ts as timestamp) as ts",
         "user_id",
@@ -150,9 +158,9 @@ def _select(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return conform(rows.selectExpr(*[f"{text} as {name}" for name, text in columns.items()]))
 
 
-def hooks_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hooks_e(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Model, tool and run events from ``events``."""
-    return _select(_base(spark, sf_dir), {**EVENT_COLUMNS, **_NESTED})
+    return _select(_base(spark, sf_dir, streaming), {**EVENT_COLUMNS, **_NESTED})
 
 
 def hooks_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,9 +185,10 @@ def hooks_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversations(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Turns with the injected text."""
-    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", f"{INJECTED_TEXT} as text")
+    rows = (stream if streaming else table)(spark, sf_dir, "conversations")
+    return rows.selectExpr("conv_id", "turn", "role", f"{INJECTED_TEXT} as text")
 
 
 def hooks_c(spark: SparkSession, sf_dir: str) -> DataFrame:

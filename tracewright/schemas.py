@@ -64,10 +64,13 @@ RAW_EVENT = T.StructType(
             for n in (
                 "sessionKey", "agentId", "sessionId", "runId", "requesterSessionKey", "childSessionKey",
                 "targetSessionKey", "toolName", "toolCallId", "model", "provider", "prompt", "systemPrompt",
-                "historyMessages", "lastAssistant", "params", "result", "error", "label", "mode", "requester",
+                "historyMessages", "params", "error", "label", "mode", "requester",
                 "targetKind", "reason", "outcome", "endedAt", "accountId", "childRunId", "spawnMode", "message",
             )
         ],
+        # Any JSON value: a string must stay distinct from the number it spells.
+        T.StructField("result", T.VariantType()),
+        T.StructField("lastAssistant", T.VariantType()),
         T.StructField("imagesCount", T.IntegerType()),
         T.StructField("assistantTexts", T.ArrayType(T.StringType())),
         T.StructField("usage", USAGE),

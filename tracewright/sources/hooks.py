@@ -37,13 +37,15 @@ def _canonical() -> dict[str, str]:
         "child_session_key": child,
         "target_session_key": present(event + "targetSessionKey"),
         "tool_call_id": resolve_id("event.toolCallId", "ctx.toolCallId"),
+        "result": "to_json(event.result)",
+        "last_assistant": "to_json(event.lastAssistant)",
         **{
             snake: f"event.{camel}"
             for snake, camel in {
                 "tool_name": "toolName", "model": "model", "provider": "provider", "prompt": "prompt",
                 "system_prompt": "systemPrompt", "images_count": "imagesCount",
                 "history_messages": "historyMessages", "assistant_texts": "assistantTexts",
-                "last_assistant": "lastAssistant", "usage": "usage", "params": "params", "result": "result",
+                "usage": "usage", "params": "params",
                 "error": "error", "duration_ms": "durationMs", "success": "success", "messages": "messages",
                 "cost_usd": "costUsd", "context": "context", "label": "label", "mode": "mode",
                 "requester": "requester", "thread_requested": "threadRequested", "target_kind": "targetKind",
