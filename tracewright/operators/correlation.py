@@ -188,6 +188,12 @@ def memory_spans(events: DataFrame, traces: DataFrame, split: Split = PLAIN) ->
     )
 
 
+def correlation_split(events: DataFrame, options: Options) -> Split:
+    """The split that fits every key events are looked up by."""
+    keys = ["host_key", "agent_id", "requester_session_key", "child_session_key", "target_session_key"]
+    return split_for(timed(events), keys, "ts_us", options.max_group_rows)
+
+
 def correlate(events: DataFrame, options: Options = Options(), find_missing: bool = True) -> DataFrame:
     """Events with the session whose trace they belong to: lost sessions resolved, child sessions routed.
 
@@ -201,12 +207,7 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
     lost = find_missing and bool(events.where(named(TOOL_END) & F.col("host_key").isNull()).take(1))
     if not subagents and not lost:
         return events
-    split = split_for(
-        events,
-        ["host_key", "agent_id", "requester_session_key", "child_session_key", "target_session_key"],
-        "ts_us",
-        options.max_group_rows,
-    )
+    split = correlation_split(events, options)
     # The first round lets no trace go stale: links then reach as far as they can, and a few rounds cut them
     # back. Starting from stale traces would lengthen them by one event per round.
     current, known, lifecycles, rules = events, None, None, options.but(stale_timeout_ms=None)
@@ -221,7 +222,6 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
             current = apply_resolved(events, found)
         if subagents:
             current = route(current, lifecycles, split)
-        current = cut(spark, current)
         if options.stale_timeout_ms is None:
             return current
         known, rules = traces, options
@@ -233,4 +233,4 @@ def apply_resolved(events: DataFrame, found: DataFrame) -> DataFrame:
     keyed = found.selectExpr("event_seq as _seq", "resolved")
     resolved = events.where(lost).join(keyed, F.col("event_seq") == F.col("_seq"), "left")
     resolved = resolved.withColumns({"session_key": F.col("resolved"), "host_key": F.col("resolved")})
-    return events.where(~lost | F.col("host_key").isNotNull()).unionByName(resolved.select(*events.columns))
+    return events.where(~lost).unionByName(cut(events.sparkSession, resolved.select(*events.columns)))

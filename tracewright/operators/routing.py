@@ -164,9 +164,12 @@ def links(lifecycles: DataFrame) -> DataFrame:
 
 
 def route_tools(tools: DataFrame, lifecycles: DataFrame, split: Split = PLAIN) -> DataFrame:
-    """Tool events with their host session and enclosing run."""
+    """Tool events with their host session and enclosing run.
+
+    Only sessions that are ever a child need a look-up, and only their rows are stored; the others stay where
+    they are.
+    """
     facts = links(lifecycles)
-    # Only sessions that are ever a child need a look-up; the others keep their rows where they are.
     children = cut(tools.sparkSession, facts.select(F.col("key").alias("session_key")).distinct())
     if children.count() <= BROADCAST_KEYS:
         children = F.broadcast(children)
@@ -179,11 +182,14 @@ def route_tools(tools: DataFrame, lifecycles: DataFrame, split: Split = PLAIN) -
         f"if({alive}, found.root, host_key) as host_key",
         f"if({alive}, found.link_seq, null) as parent_seq",
     )
-    return plain.withColumn("parent_seq", F.lit(None).cast("long")).unionByName(routed)
+    return plain.withColumn("parent_seq", F.lit(None).cast("long")).unionByName(cut(tools.sparkSession, routed))
 
 
 def route(events: DataFrame, lifecycles: DataFrame, split: Split = PLAIN) -> DataFrame:
-    """All events with ``host_key``, ``parent_seq`` and ``link_seq``; a re-spawn adds a reset of the old run."""
+    """All events with ``host_key``, ``parent_seq`` and ``link_seq``; a re-spawn adds a reset of the old run.
+
+    ``lifecycles`` must be stored already, as ``resolve_lifecycles`` returns it.
+    """
     columns = events.columns
     tools = named(TOOL_START, TOOL_END)
     none = F.lit(None).cast("long")

@@ -171,10 +171,12 @@ def chunk_width(hot: DataFrame, key: str, time_us: str, max_group_rows: int) ->
 
 def split_for(df: DataFrame, keys: list[str], time_us: str, max_group_rows: int) -> Split:
     """The split under which no group of any of the keys is too large for one task; usually none is needed."""
-    grouped = df.select(F.explode(F.array(*keys)).alias("_key"), F.col(time_us).alias("_us")).where("_key is not null")
-    hot = grouped.groupBy("_key").count().where(F.col("count") > max_group_rows).select("_key")
-    if not hot.take(1):
+    roles = F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.col(k).alias("key")) for i, k in enumerate(keys)]))
+    grouped = df.select(roles.alias("_key"), F.col(time_us).alias("_us")).where("_key.key is not null")
+    counts = grouped.groupBy("_key").count()
+    if (counts.agg(F.max("count")).first()[0] or 0) <= max_group_rows:
         return PLAIN
+    hot = counts.where(F.col("count") > max_group_rows).select("_key")
     return Split(chunk_width(grouped.join(hot, "_key", "left_semi"), "_key", "_us", max_group_rows))
 
 

@@ -57,10 +57,17 @@ def trace_aggregates() -> dict[str, str]:
         "input_model": _only(f"struct(model, {provider} as provider)", OPENED),
         "first_channel": _only(f"coalesce({channel}, {fallback})", OPENED),
         "first_trigger": _only(trigger, OPENED),
-        "output": _only(
-            f"struct(ts_us, model, {provider} as provider, assistant_texts, last_assistant, usage)", ACCEPTED
-        ),
-        "run_end": f"max_by(struct(success, error, duration_ms, messages), if({RUN_END}, {POSITION}, null))",
+        # One aggregate per field, not one struct: a query that needs no payload then moves none.
+        "output_us": _only("ts_us", ACCEPTED),
+        "output_model": _only("model", ACCEPTED),
+        "output_provider": _only(provider, ACCEPTED),
+        "output_texts": _only("assistant_texts", ACCEPTED),
+        "output_last": _only("last_assistant", ACCEPTED),
+        "output_usage": _only("usage", ACCEPTED),
+        **{
+            f"run_{name}": f"max_by({name}, if({RUN_END}, {POSITION}, null))"
+            for name in ("success", "error", "duration_ms", "messages")
+        },
         "explicit_channel": _last(channel, CONTEXT),
         "fallback_channel": _first(fallback, CONTEXT),
         "trigger": _last(trigger, CONTEXT),
@@ -98,9 +105,9 @@ def finish_traces(rows: DataFrame) -> DataFrame:
         f"{S.trace_id('host_key', 'start_us', 'start_seq')} as trace_id",
         f"{S.trace_name('input_model.model', 'first_channel')} as trace_name",
         "coalesce(explicit_channel, fallback_channel) as channel",
-        "output is not null as has_output",
-        "if(output is not null, output.model, input_model.model) as model",
-        "if(output is not null, output.provider, input_model.provider) as provider",
+        "output_us is not null as has_output",
+        "if(output_us is not null, output_model, input_model.model) as model",
+        "if(output_us is not null, output_provider, input_model.provider) as provider",
         "closed_by = 'agent_end' as finalized",
     )
 
@@ -113,15 +120,15 @@ def trace_metadata(options: Options) -> str:
             "costUsd": "cost_usd",
             "contextLimit": "context_limit",
             "contextUsed": "context_used",
-            "success": "run_end.success",
-            "durationMs": "run_end.duration_ms",
+            "success": "run_success",
+            "durationMs": "run_duration_ms",
             "model": "coalesce(model, cost_model)",
             "provider": "coalesce(provider, cost_provider)",
             "channel": "channel",
             "channelId": "channel",
             "trigger": "trigger",
-            "usage": P.chosen_usage("output.usage", "cost_usage"),
-            "error": S.present(redact_text("run_end.error")),
+            "usage": P.chosen_usage("output_usage", "cost_usage"),
+            "error": S.present(redact_text("run_error")),
         }
     )
 
@@ -151,14 +158,14 @@ SPAN_FIELDS = {
 # JSON of unknown shape, redacted once per row before the spans are made.
 OPEN_JSON = {
     "clean_history": "history_messages",
-    "clean_assistant": "if(has_output, output.last_assistant, to_json(" + P.last_assistant("run_end.messages") + "))",
-    "clean_params": "coalesce(if(left(ltrim(tool_end.params), 1) = '{', tool_end.params, null), tool_start.params)",
-    "clean_result": "tool_end.result",
+    "clean_assistant": "if(has_output, output_last, to_json(" + P.last_assistant("run_messages") + "))",
+    "clean_params": "coalesce(if(left(ltrim(tool_end_params), 1) = '{', tool_end_params, null), tool_start_params)",
+    "clean_result": "tool_end_result",
 }
 
 
 def root_span(options: Options) -> dict[str, str]:
-    text = P.trace_output_text("has_output", "output.assistant_texts", "run_end.messages")
+    text = P.trace_output_text("has_output", "output_texts", "run_messages")
     output = P.json_object({"output": text}, {"lastAssistant": "clean_assistant"})
     return {
         "name": "trace_name",
@@ -177,18 +184,18 @@ def root_span(options: Options) -> dict[str, str]:
         "output": f"if(finalized and ({text}) is not null, {output}, null)",
         "metadata": f"case when finalized then {trace_metadata(options)} "
         f"when closed_by = 'stale' then '{{\"staleCleanup\":true}}' else {opening_metadata(options)} end",
-        "error_info": f"case when finalized then {P.error_info('AgentError', 'run_end.error')} "
+        "error_info": f"case when finalized then {P.error_info('AgentError', 'run_error')} "
         f"when closed_by = 'stale' then {P.stale_error('host_key', 'close_us - stale_from_us')} end",
     }
 
 
 def llm_span() -> dict[str, str]:
-    texts = f"transform(output.assistant_texts, t -> {redact_text('t')})"
+    texts = f"transform(output_texts, t -> {redact_text('t')})"
     return {
         "name": "input_model.model",
         "start_us": "start_us",
         "start_seq": "start_seq",
-        "end_us": "if(has_output, output.ts_us, close_us)",
+        "end_us": "if(has_output, output_us, close_us)",
         "close_reason": "if(has_output, 'ended', closed_by)",
         "model": "model",
         "provider": "provider",
@@ -203,7 +210,7 @@ def llm_span() -> dict[str, str]:
         ),
         "output": f"if(has_output, "
         f"{P.json_object({'assistantTexts': texts}, {'lastAssistant': 'clean_assistant'})}, null)",
-        "usage": S.map_usage("output.usage"),
+        "usage": S.map_usage("output_usage"),
     }
 
 
@@ -218,28 +225,28 @@ def _orphan_reason(phase: str) -> str:
 
 def tool_span() -> dict[str, str]:
     def merged(name: str) -> str:
-        return f"coalesce({S.present(f'tool_end.{name}')}, {S.present(f'tool_start.{name}')})"
+        return f"coalesce({S.present(f'tool_end_{name}')}, {S.present(f'tool_start_{name}')})"
 
     return {
-        "name": "tool_start.tool_name",
-        "start_us": "tool_start.ts_us",
-        "start_seq": "tool_start.event_seq",
-        "end_us": f"coalesce(tool_end.ts_us, tool_start.replaced_us, {_orphan_us('slot_phase')})",
-        "close_reason": "case when tool_end is not null then 'ended' "
-        f"when tool_start.replaced_us is not null then 'duplicate_id' else {_orphan_reason('slot_phase')} end",
-        "parent_seq": "tool_start.parent_seq",
+        "name": "tool_start_tool_name",
+        "start_us": "tool_start_ts_us",
+        "start_seq": "tool_start_event_seq",
+        "end_us": f"coalesce(tool_end_ts_us, tool_start_replaced_us, {_orphan_us('slot_phase')})",
+        "close_reason": "case when tool_end_ts_us is not null then 'ended' "
+        f"when tool_start_replaced_us is not null then 'duplicate_id' else {_orphan_reason('slot_phase')} end",
+        "parent_seq": "tool_start_parent_seq",
         "input": "clean_params",
-        "output": P.tool_output("tool_end.error", "clean_result"),
+        "output": P.tool_output("tool_end_error", "clean_result"),
         "metadata": P.json_object(
             {
-                "durationMs": "tool_end.duration_ms",
+                "durationMs": "tool_end_duration_ms",
                 "agentId": merged("agent_id"),
                 "sessionId": merged("session_id"),
                 "runId": merged("run_id"),
                 "toolCallId": merged("call_id"),
             }
         ),
-        "error_info": P.error_info("ToolError", "tool_end.error"),
+        "error_info": P.error_info("ToolError", "tool_end_error"),
     }
 
 
@@ -293,11 +300,14 @@ SUBAGENT_INPUT = {
 
 def subagent_aggregates() -> dict[str, str]:
     name = S.subagent_name("event_name", "agent_id", "target_kind")
-    created = f"struct(ts_us, event_seq, {name} as name, {P.json_object(SUBAGENT_INPUT)} as input, parent_seq, phase)"
+    created = f"struct(ts_us, event_seq, {name} as name, parent_seq, phase)"
+    creation = f"{LIFECYCLE} and event_seq = link_seq"
     ends = "event_name in ('subagent_ended', 'subagent_reset')"
     return {
-        "sub_start": _only(created, f"{LIFECYCLE} and event_seq = link_seq"),
-        "sub_end": f"min(if({ends}, struct(ts_us, event_seq, event_name, error), null))",
+        "sub_start": _only(created, creation),
+        "sub_input": _only(P.json_object(SUBAGENT_INPUT), creation),
+        "sub_end": f"min(if({ends}, struct(ts_us, event_seq, event_name), null))",
+        "sub_error": f"min_by(error, if({ends}, {POSITION}, null))",
         **{f"sub_{key}": _last(value, LIFECYCLE) for key, value in SUBAGENT_METADATA.items()},
     }
 
@@ -305,7 +315,7 @@ def subagent_aggregates() -> dict[str, str]:
 def subagent_span() -> dict[str, str]:
     orphan = _orphan_us("sub_start.phase")
     own = f"(sub_end is not null and sub_end.ts_us <= {orphan})"
-    error = "if(sub_end.event_name = 'subagent_ended', sub_end.error, null)"
+    error = "if(sub_end.event_name = 'subagent_ended', sub_error, null)"
     return {
         "name": "sub_start.name",
         "start_us": "sub_start.ts_us",
@@ -314,7 +324,7 @@ def subagent_span() -> dict[str, str]:
         "close_reason": f"case when {own} and sub_end.event_name = 'subagent_ended' then 'ended' "
         f"when {own} then 'reset' else {_orphan_reason('sub_start.phase')} end",
         "parent_seq": "sub_start.parent_seq",
-        "input": "sub_start.input",
+        "input": "sub_input",
         "output": f"if({S.present(error)} is not null, {P.json_object({'error': redact_text(error)})}, null)",
         "metadata": P.json_object({key: f"sub_{key}" for key in SUBAGENT_METADATA}),
         "error_info": P.error_info("SubagentError", error),
@@ -338,16 +348,16 @@ def group_slots(annotated: DataFrame, split: Split = PLAIN) -> DataFrame:
         f"if({TOOL}, phase, 0) as slot_phase",
         f"if({TOOL}, session_key, null) as slot_session",
     )
-    shared = "ts_us, event_seq, params, agent_id, session_id, run_id, call_id"
+    shared = ["ts_us", "params", "agent_id", "session_id", "run_id", "call_id"]
+    starts = [*shared, "event_seq", "tool_name", "replaced_us", "parent_seq"]
+    ends = [*shared, "result", "error", "duration_ms"]
     return rows.groupBy(*TRACE, "slot", "slot_session", "slot_phase", "slot_name", "slot_no").agg(
         *_named(
             {
                 **_bounds(),
                 **trace_aggregates(),
-                "tool_start": _only(
-                    f"struct({shared}, tool_name, replaced_us, parent_seq)", "event_name = 'before_tool_call'"
-                ),
-                "tool_end": _only(f"struct({shared}, result, error, duration_ms)", "event_name = 'after_tool_call'"),
+                **{f"tool_start_{name}": _only(name, "event_name = 'before_tool_call'") for name in starts},
+                **{f"tool_end_{name}": _only(name, "event_name = 'after_tool_call'") for name in ends},
                 **subagent_aggregates(),
             }
         )
@@ -362,7 +372,7 @@ def build_spans(annotated: DataFrame, options: Options = Options(), split: Split
         "*",
         "explode(case when slot = 'trace' then array('root', 'llm') "
         "when slot = 'subagent' then if(sub_start is not null, array('subagent'), array()) "
-        "when tool_start is not null then array('tool') end) as kind",
+        "when tool_start_ts_us is not null then array('tool') end) as kind",
     )
     made = {"root": root_span(options), "llm": llm_span(), "tool": tool_span(), "subagent": subagent_span()}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, measure, running
+from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, cut, measure, running
 from tracewright.options import Options
 
 INPUT, OUTPUT, TOOL_START, TOOL_END = "llm_input", "llm_output", "before_tool_call", "after_tool_call"
@@ -178,6 +178,30 @@ def annotate_by_heat(events: DataFrame, options: Options = Options()) -> DataFra
     return by_session(events, options, annotate)
 
 
+def gap_sessions(events: DataFrame, gap_ms: int, options: Options = Options()) -> DataFrame:
+    """Runs of events without a gap longer than ``gap_ms``; a gap of exactly that length does not split.
+
+    Not ``session_window``: that merges all rows of a key in one task.
+    """
+
+    def plan(part: DataFrame, known: Options, split: Split) -> DataFrame:
+        part = part.where(F.col("host_key").isNotNull()).select("host_key", *ORDER)
+        gaps = running(part, ["host_key"], ORDER, [Scan("_before", "max", F.col("ts_us"), "before")], split)
+        fresh = F.expr(f"if(_before is null or ts_us - _before > {gap_ms * 1000}, 1, 0)")
+        numbered = running(gaps.withColumn("_fresh", fresh), ["host_key"], ORDER, [Scan("run_no", "sum", F.col("_fresh"))], split)
+        return numbered.groupBy("host_key", "run_no").agg(
+            F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.count(F.lit(1)).alias("events")
+        )
+
+    return by_session(events, options, plan)
+
+
+def own_traces(events: DataFrame, options: Options = Options()) -> DataFrame:
+    """The traces of every session by its own events, stored: look-ups read them several times."""
+    rows = by_session(events, options, lambda part, known, split: trace_table(annotate(part, known, split), split))
+    return cut(events.sparkSession, rows)
+
+
 def trace_table(annotated: DataFrame, split: Split = PLAIN) -> DataFrame:
     """One row per trace, from the event that opened it.
 

@@ -38,7 +38,7 @@ class Options:
     created_from: str = "agent"
     record_kind: str = "SPAN"
     tags: tuple[str, ...] = ("agent",)
-    max_group_rows: int = 4_000_000
+    max_group_rows: int = 1_000_000
 
     def __post_init__(self):
         def clamp(value, default):

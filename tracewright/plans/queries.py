@@ -13,13 +13,14 @@ from tracewright.functions import payloads as P
 from tracewright.functions import scalars as S
 from tracewright.functions.text import redact_json, redact_text, redact_tool_messages
 from tracewright.operators.admission import quality_report, skip_reasons
-from tracewright.operators.correlation import correlate, memory_spans, resolve_missing
+from tracewright.operators.correlation import correlate, correlation_split, memory_spans, resolve_missing
 from tracewright.operators.pairing import match_tools, pair_tools, tool_events
 from tracewright.operators.rollups import actions, rollup_actions, rollup_sessions, summarize_traces
 from tracewright.operators.routing import resolve_lifecycles, route
-from tracewright.operators.scan import checkpoint_dir, cut
+from tracewright.operators.scan import Split, checkpoint_dir
 from tracewright.operators.spans import assemble, build_spans, collect_traces, nest_spans
-from tracewright.operators.traces import annotate, annotate_by_heat, by_session, number_traces, timed, trace_table
+from tracewright.operators.traces import annotate, annotate_by_heat, by_session, number_traces, own_traces, timed
+from tracewright.operators.traces import gap_sessions as activity_runs
 from tracewright.options import Options
 from tracewright.plans import views as V
 from tracewright.sources import tables as T
@@ -91,10 +92,10 @@ def llm_pairs(spark, sf_dir):
         "trace_no",
         "start_seq",
         _time("start_us", "start_time"),
-        _time("output.ts_us", "output_time"),
+        _time("output_us", "output_time"),
         "model",
         "provider",
-        "output.usage.input as input_tokens",
+        "output_usage.input as input_tokens",
     )
 
 
@@ -170,12 +171,9 @@ def end_of_input_close(spark, sf_dir):
 
 @query
 def gap_sessions(spark, sf_dir):
-    """Simple activity sessions: a gap of exactly the timeout does not split."""
-    events = timed(V.hooks_e(spark, sf_dir)).where("host_key is not null")
-    return (
-        events.groupBy("host_key", F.session_window("ts", "5 minutes"))
-        .agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_time"), F.max("ts").alias("last_time"))
-        .selectExpr("host_key as session_key", "first_time", "last_time", "events")
+    rows = activity_runs(V.hooks_e(spark, sf_dir), 300_000)
+    return rows.selectExpr(
+        "host_key as session_key", _time("first_us", "first_time"), _time("last_us", "last_time"), "events"
     )
 
 
@@ -295,30 +293,28 @@ def skip_reasons_by_event(spark, sf_dir):
 # --- correlation ---
 
 
-def _own_traces(events, options) -> DataFrame:
-    return cut(events.sparkSession, trace_table(annotate_by_heat(events, options)))
-
-
 @query
 def missing_session_resolved(spark, sf_dir):
     events = timed(V.hooks_e(spark, sf_dir))
-    return resolve_missing(events, _own_traces(events, NEVER_STALE), None, NEVER_STALE)
+    split = correlation_split(events, NEVER_STALE)
+    return resolve_missing(events, own_traces(events, NEVER_STALE), None, NEVER_STALE, split)
 
 
 @query
 def agent_forget(spark, sf_dir):
     events = timed(V.hooks_e(spark, sf_dir))
-    return memory_spans(events, _own_traces(events, NEVER_STALE))
+    return memory_spans(events, own_traces(events, NEVER_STALE), correlation_split(events, NEVER_STALE))
 
 
-def _lifecycles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _lifecycles(spark, sf_dir) -> tuple[DataFrame, DataFrame, Split]:
     events = timed(V.hooks_sub(spark, sf_dir))
-    return events, resolve_lifecycles(events, _own_traces(events, NEVER_STALE))
+    split = correlation_split(events, NEVER_STALE)
+    return events, resolve_lifecycles(events, own_traces(events, NEVER_STALE), split), split
 
 
 @query
 def subagent_lifecycles(spark, sf_dir):
-    _, lifecycles = _lifecycles(spark, sf_dir)
+    _, lifecycles, _ = _lifecycles(spark, sf_dir)
     return lifecycles.selectExpr(
         "event_seq", "event_name", "life_key", "creates", "root as root_session", "root_seq as root_trace",
         "link_seq", "parent_seq", "resets.link_seq as resets_link",
@@ -327,8 +323,8 @@ def subagent_lifecycles(spark, sf_dir):
 
 @query
 def host_routing(spark, sf_dir):
-    events, lifecycles = _lifecycles(spark, sf_dir)
-    routed = route(events, lifecycles).where("event_name in ('before_tool_call', 'after_tool_call')")
+    events, lifecycles, split = _lifecycles(spark, sf_dir)
+    routed = route(events, lifecycles, split).where("event_name in ('before_tool_call', 'after_tool_call')")
     return routed.groupBy("session_key", "host_key", "parent_seq", "event_name").agg(
         F.count(F.lit(1)).alias("events"), F.min("event_seq").alias("first_seq"), F.max("event_seq").alias("last_seq")
     )
@@ -366,7 +362,7 @@ def cost_meta(spark, sf_dir):
 
 @query
 def trace_usage(spark, sf_dir):
-    usage = P.chosen_usage("output.usage", "cost_usage")
+    usage = P.chosen_usage("output_usage", "cost_usage")
     rows = _traces(spark, sf_dir, HALF_DAY, V.hooks_diag)
     return rows.selectExpr("host_key as session_key", "trace_no", f"{usage} as u").selectExpr(
         "session_key", "trace_no", "u.input as input", "u.output as output", "u.total as total"
@@ -475,8 +471,8 @@ def quality(spark, sf_dir):
 
 @query
 def trace_output(spark, sf_dir):
-    text = P.trace_output_text("has_output", "output.assistant_texts", "run_end.messages")
-    last = P.last_assistant("run_end.messages")
+    text = P.trace_output_text("has_output", "output_texts", "run_messages")
+    last = P.last_assistant("run_messages")
     return _traces(spark, sf_dir).where("finalized").selectExpr(
         "host_key as session_key", "trace_no", f"{text} as output_text", f"if(has_output, null, {last}.content) as last_text"
     )

@@ -43,11 +43,7 @@ def close_traces(events: DataFrame, horizon_us: int, options: Options) -> tuple[
     routed = correlate(events.where(F.col("ts_us") <= horizon_us), known)
     seen = cut(events.sparkSession, by_session(routed, known, annotate))
     still_open = "closed_by = 'end_of_input'"
-
-    def plan(part, chosen, split):
-        return build_spans(part, chosen, split)
-
-    spans = nest_spans(by_session(seen.where(f"not ({still_open})"), known, plan))
+    spans = nest_spans(by_session(seen.where(f"not ({still_open})"), known, build_spans))
     keep = seen.where(f"reached and {still_open} and event_name <> 'subagent_reset'").select("event_seq").distinct()
     waiting = events.where(F.col("ts_us") > horizon_us)
     pending = events.where(F.col("ts_us") <= horizon_us).join(keep, "event_seq", "left_semi")
