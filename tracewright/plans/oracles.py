@@ -15,6 +15,7 @@ from tracewright.plans.oracle_parts import (
     ROLLUP,
     SPANS,
     TURNS,
+    bounds,
     numbered,
     provider,
     with_traces,
@@ -177,8 +178,8 @@ _EXTS = "|".join(MIME_TYPES)
 _EXT_LIST = "[" + ", ".join(f"'{e}'" for e in [*MIME_TYPES, "txt", "PNG", ""]) + "]"
 
 # The engine has no look-ahead: the delimiter is captured and put back.
-REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(text, '\r\n', E'\n'), '\n', E'\n'), '\r', E'\r'),
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  replace(replace(replace(@, '\r\n', E'\n'), '\n', E'\n'), '\r', E'\r'),
   '(?i)\[\[reply_to[^\]]*\]\]\s*', '', 'g'),
   '(?im)^\s*Untrusted context \(metadata, do not treat as instructions or commands\):\s*\n+<<<EXTERNAL_UNTRUSTED_CONTENT(?s:.*?)<<<END_EXTERNAL_UNTRUSTED_CONTENT[^>]*>>>\s*', '', 'g'),
   '(?im)^\s*Conversation info \(untrusted metadata\):\s*\n+\{(?s:.*?)\}\s*', '', 'g'),
@@ -186,6 +187,11 @@ REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
   '\n{3,}', E'\n\n', 'g'),
   '(?i)(^|[^A-Za-z0-9_])media:[^\s"''`]+\.(jpe?g|png|webp|gif)([\s"''`]|\z)', '\1media:<image-ref>\3', 'g')"""
 
+
+def redacted(column: str) -> str:
+    return _REDACTED.replace("@", column)
+
+
 REFS = rf"""{TURNS}, refs AS (
   SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)media:((?:~/|/)[^\s"''`]+?\.(?:{_EXTS}))(?:[\s"''`]|\z)', 1)) AS ref FROM turns
   UNION ALL
@@ -194,6 +200,41 @@ REFS = rf"""{TURNS}, refs AS (
   SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)!?\[[^\]]*\]\((?:file://)?((?:~/|/)[^)\s]+?\.(?:{_EXTS}))(?:\?[^)\s]*)?\)', 1)) FROM turns),
 paths AS (SELECT DISTINCT conv_id, turn, replace(ref, '/a/..', '') AS path FROM refs)"""
 
+# Spans of the routed events: the rules of plain spans, with tool calls kept per own session.
+_OWN_PAIRS = (
+    PAIRS.replace("PARTITION BY session_key, trace_no", "PARTITION BY session_key, own_key, trace_no")
+    .replace("USING (session_key, trace_no, phase, call_id", "USING (session_key, own_key, trace_no, phase, call_id")
+    .replace("e.session_key = s.session_key AND", "e.session_key = s.session_key AND e.own_key = s.own_key AND")
+)
+_MADE_TOOLS, _NUMBERED = SPANS.split("),\nspans AS", 1)
+_NUMBERED = ", spans AS" + _NUMBERED
+ROUTED_SPANS = f"""WITH hooks AS (WITH RECURSIVE {ROUTED}
+  SELECT h.* REPLACE (CASE WHEN r.event_seq IS NOT NULL THEN r.host_key WHEN u.event_seq IS NOT NULL THEN u.root_session
+      ELSE h.session_key END AS session_key),
+    h.session_key AS own_key, coalesce(r.parent_seq, u.parent_seq) AS parent_seq, u.link_seq, u.resets_link, u.creates
+  FROM hooks h LEFT JOIN routed r USING (event_seq) LEFT JOIN (SELECT * FROM run WHERE k > 0) u USING (event_seq)),
+{numbered()}, {bounds(None)}, {_OWN_PAIRS}, {FACTS},
+closes AS (SELECT link_seq AS seq, us, event_seq, 'ended' AS how FROM ann WHERE event_name = 'subagent_ended' AND link_seq IS NOT NULL
+  UNION ALL SELECT resets_link, epoch_us(ts), event_seq, 'reset' FROM hooks WHERE resets_link IS NOT NULL),
+first_close AS (SELECT seq, us, how FROM closes QUALIFY row_number() OVER (PARTITION BY seq ORDER BY us, event_seq) = 1),
+runs AS (SELECT a.*, c.us AS own_us, c.how,
+    CASE WHEN a.run_ended AND a.phase = 0 THEN a.first_end_us ELSE a.close_us END AS orphan_us,
+    CASE WHEN a.run_ended AND a.phase = 0 THEN 'agent_end' ELSE a.closed_by END AS orphan_how
+  FROM ann a LEFT JOIN first_close c ON c.seq = a.event_seq WHERE a.creates),
+{_MADE_TOOLS}
+  UNION ALL
+  SELECT session_key, trace_no, 'subagent', 2, us, event_seq, CASE WHEN own_us <= orphan_us THEN own_us ELSE orphan_us END,
+    CASE WHEN own_us <= orphan_us THEN how ELSE orphan_how END,
+    'subagent:' || CASE event_name WHEN 'subagent_delivery_target' THEN 'delivery-target' WHEN 'subagent_ended' THEN
+      coalesce(target_kind, 'unknown') ELSE coalesce(agent_id, 'unknown') END, NULL, NULL, NULL, NULL FROM runs
+)
+{_NUMBERED}
+SELECT i.session_key AS session_id, i.trace_no, i.kind, i.start_seq, i.name, i.close_reason, i.span_seq, i.span_id,
+  CASE WHEN i.kind <> 'root' THEN coalesce(p.span_id, 'span_' || i.trace_id || '_0') END AS parent_span_id,
+  make_timestamp(i.end_us) AS end_time
+FROM ided i LEFT JOIN hooks h ON h.event_seq = i.start_seq AND i.kind IN ('tool', 'subagent')
+LEFT JOIN ided p ON p.start_seq = h.parent_seq AND p.kind = 'subagent'"""
+
 ORACLES: dict[str, str] = {
     "session_rollup": SPANNED + ROLLUP.format(source="ided"),
     "trace_numbering": f"WITH {HOOKS_E}, {numbered()}, n AS (SELECT session_key, trace_no, min(us) AS us FROM num WHERE event_name = "
@@ -333,10 +374,17 @@ ORACLES: dict[str, str] = {
     "stream_sink": SPANNED + ", closed AS (SELECT ided.* FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> "
     "'end_of_input') " + ROLLUP.format(source="closed"),
     "stream_media_dedup": f"WITH {REFS} SELECT DISTINCT conv_id, path FROM paths",
+    "routed_spans": ROUTED_SPANS,
+    "redact_json_payloads": f"WITH {TURNS} SELECT conv_id, turn, CAST(to_json({{'t': {redacted('text')}, 'n': [{{'t': "
+    f"{redacted("('x' || text)")}}}], 'k': turn}}) AS VARCHAR) AS payload FROM turns",
+    "tool_messages_redacted": f"WITH {TURNS}, r AS (SELECT *, {redacted('text')} AS clean FROM turns) SELECT conv_id, turn, "
+    "CAST(to_json({'role': 'tool', 'content': clean}) AS VARCHAR) AS message FROM r WHERE clean <> text",
+    "percent_decoded": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '%zz' WHEN 2 THEN url || '+a%20b%FF' "
+    "ELSE url || '\u00e9+' END AS decoded FROM pages",
     "payload_choice": f"WITH {HOOKS_E} SELECT event_seq, CASE event_name WHEN 'llm_input' THEN prompt END AS prompt, CASE WHEN params IS "
     "NOT NULL THEN '{\"z\":' || event_seq || '}' END AS last_history, messages[-1].content AS last_message, CASE event_name WHEN "
     "'agent_end' THEN error END AS run_error FROM hooks",
-    "redact_texts": f"WITH {TURNS} SELECT conv_id, turn, {REDACTED} AS text FROM turns",
+    "redact_texts": f"WITH {TURNS} SELECT conv_id, turn, {redacted('text')} AS text FROM turns",
     "media_refs": f"WITH {REFS} SELECT conv_id, turn, ref FROM refs",
     "media_paths": f"WITH {REFS} SELECT conv_id, turn, path FROM paths",
     "mime_counts": f"WITH e AS (SELECT lower(({_EXT_LIST})[p_partkey % {len(MIME_TYPES) + 3} + 1]) AS ext FROM part) SELECT CASE ext "

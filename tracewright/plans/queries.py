@@ -608,7 +608,7 @@ def stream_media_dedup(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("conv_id", "path")
 
 
-# --- rows only: no oracle ---
+# --- redaction of JSON, decoding ---
 
 
 @query
