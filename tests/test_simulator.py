@@ -9,6 +9,7 @@ from helpers import frame
 from simulator import Simulator
 
 from tracewright.operators.correlation import correlate, resolve_missing
+from tracewright.operators.scan import Split, as_of
 from tracewright.operators.spans import build_spans, nest_spans
 from tracewright.operators.traces import annotate, by_session, timed, trace_table
 from tracewright.options import Options
@@ -130,3 +131,20 @@ def test_lost_sessions(spark, groups):
 def test_split_scans_give_the_same(spark):
     events = random_events(11, 3, 80, lost=False, runs=False)
     compare(spark, events, STALE.but(max_group_rows=20), TIMEOUT * SECOND)
+
+
+def test_split_look_ups_give_the_same(spark):
+    rng = random.Random(5)
+    times = rng.sample(range(10_000), 600)
+    rows = [(rng.choice("aab"), t * 1000, i, f"v{i}") for i, t in enumerate(times)]
+    facts = spark.createDataFrame(rows[:300], "key string, ts_us long, event_seq long, v string")
+    probes = spark.createDataFrame(rows[300:], "key string, ts_us long, event_seq long, v string").drop("v")
+    order = ["ts_us", "event_seq"]
+    plain = as_of(probes, facts, "key", order, "v", "found")
+    split = as_of(probes, facts, "key", order, "v", "found", Split(500_000))
+    want = {
+        seq: max(((t, v) for k, t, _, v in rows[:300] if k == key and t < us), default=(0, None))[1]
+        for key, us, seq, _ in rows[300:]
+    }
+    assert {r["event_seq"]: r["found"] for r in plain.collect()} == want
+    assert {r["event_seq"]: r["found"] for r in split.collect()} == want

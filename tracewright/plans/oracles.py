@@ -158,7 +158,8 @@ run AS (
         WHEN own_seq IS NOT NULL THEN {{'root': own_root, 'root_seq': own_seq, 'next_us': next_us, 'next_seq': next_seq,
           'end_us': end_us, 'link_seq': NULL}}::{_LINK} END AS home,
       CASE WHEN nested AND NOT (live AND event_name <> 'subagent_spawning') THEN host.link_seq END AS parent_seq
-      FROM (SELECT x.*, coalesce({_alive("x.cur")}, false) AS live, coalesce({_alive("x.host")}, false) AS nested
+      FROM (SELECT x.*, coalesce({_alive("x.cur")}, false) AS live, coalesce({_alive("x.host")}, false)
+        AND NOT (event_name = 'subagent_spawning' AND req = life_key) AS nested
         FROM (SELECT s.*, r.hosts, r.hosts[s.life_key] AS cur, r.hosts[s.req] AS host
           FROM run r JOIN steps s ON s.k = r.k + 1) x))))"""
 
