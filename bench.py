@@ -18,7 +18,7 @@ HEADLINE = (
     "session_rollup", "tool_pairs_fifo", "host_routing", "missing_session_resolved", "stale_traces_5m", "redact_texts",
     "stream_assemble",
 )
-SECONDS_PER_QUERY = 25
+SECONDS_PER_QUERY = 12
 
 
 def main() -> None:
