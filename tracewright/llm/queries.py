@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, pieces, secrets, toxicity
+from tracewright.llm import language, packing, pieces, secrets, topk, toxicity
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,32 @@ def fold(k: int, of: int):
     return F.coalesce(id_hash(F.col("doc_id")) % of == k, F.lit(False))
 
 
+def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
+  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), 16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(0, 5)
@@ -54,9 +80,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_voronoi": op1_voronoi,
+    "op2_packing": op2_packing,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op7_language": op7_language,
     "op10_pieces": op10_pieces,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_voronoi": OP1_SQL}
