@@ -25,8 +25,8 @@ def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
   select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
   from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0
