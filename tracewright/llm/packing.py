@@ -7,7 +7,7 @@ sizes are measured as shares of all bytes, tokens and rows, larger groups first.
 Placing has two levels, so that no task sees all groups. Groups are dealt by hash into a fixed number of packs; a task
 reads the groups of a pack in order of size and places them into as many bins as there are shards, keeping only the
 loads. Then the bins of all packs (packs x shards of them, whatever the input) are placed into the shards by the same
-rule. A group that holds more than 1 / (16 x shards) of all bytes, tokens or rows (there are at most 48 x shards such
+rule. A group that holds more than 1 / (4 x shards) of all bytes, tokens or rows (there are at most 12 x shards such
 groups) cannot go whole without tilting a shard; it is dealt by id into pieces of at most that size, which are placed
 as groups of their own.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import WORD, stored
 
 PACKS = 256
-SLACK = 16  # pieces of hot groups are at most this part of a shard
+SLACK = 4  # pieces of hot groups are at most this part of a shard
 
 
 def place(loads: np.ndarray, item: np.ndarray) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, packing, pieces, secrets, topk, toxicity
+from tracewright.llm import language, packing, pieces, secrets, simhash, topk, toxicity
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -75,6 +75,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), width=4, radius=4)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(PIECES))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op7_language": op7_language,
+    "op9_simhash": op9_simhash,
     "op10_pieces": op10_pieces,
 }
 ORACLES: dict[str, str] = {"op1_voronoi": OP1_SQL}
