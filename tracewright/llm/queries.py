@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import language, packing, pieces, secrets, simhash, topk, toxicity
+from tracewright.llm import decontaminate, language, packing, pieces, secrets, simhash, topk, toxicity
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,6 +44,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("__key")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold(0, 5)
@@ -86,6 +90,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_voronoi": op1_voronoi,
     "op2_packing": op2_packing,
+    "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op7_language": op7_language,
