@@ -5,9 +5,10 @@ ends there, longest first; each relaxes the best score of the position, so one p
 sum of piece scores, ties to the longer last piece). A character that no single-character piece covers costs ten less
 than the worst piece and becomes byte pieces, or the unknown id where the model has none.
 
-Blanks turn into the mark U+2581 and the text gets one in front, as the model says. A text is cut where a mark follows
-another character, since no piece reaches over such a place (checked when the model is read, else texts stay whole);
-the paths of the parts together are the best path of the text. Parts recur, so a worker remembers a bounded number.
+Blanks turn into the mark U+2581 and the text gets one in front, as the model says. Pieces that shorter ones spell at a
+higher score are on no best path and stay out of the automaton. A text is cut where no other piece reaches over (before
+marks, after runs of Latin letters, around line ends; checked for each model); the paths of the parts together are the best
+path of the text. Parts recur, so a worker remembers a bounded number of them.
 A U+2581 that stands in the text itself is written as bytes, so decoding gives back every text exactly.
 
 Null texts give null ids, empty texts none; texts of any length cost time in proportion. Repeated rows and rows without
@@ -16,18 +17,20 @@ an id are encoded each for themselves; other columns are not looked at. Empty ta
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
 UNKNOWN_COST = 10.0  # fixed by the published model: below the worst score
-REMEMBERED = 1 << 17
+REMEMBERED = 400_000  # parts in each of two generations
 ROWS = 256  # documents that are turned into one Arrow batch
 
 
@@ -67,6 +70,29 @@ def read_model(path: str) -> Model:
     )
 
 
+def outdone(piece: str, scores: dict[str, float]) -> bool:
+    """Whether shorter pieces spell this one at a higher score, so that no best path ever takes it."""
+    best = [0.0] + [-math.inf] * len(piece)
+    for end in range(1, len(piece) + 1):
+        for start in range(end):
+            if end - start < len(piece):
+                best[end] = max(best[end], best[start] + scores.get(piece[start:end], -math.inf))
+    return best[-1] > scores[piece]
+
+
+def cuts(kept: list[str]) -> str:
+    """A pattern that cuts a text where no piece reaches over: before a mark, at the end of a run of letters, around a
+    line end. What some piece reaches over is not cut at."""
+    letters = "A-Za-zÀ-ɏ"
+    if any(re.search(f"[^{MARK}]{MARK}", p) for p in kept):
+        return ".+"
+    alone = "".join(c for c in "\n\r\t" if not any(c in p for p in kept))
+    if any(re.search(f"[{letters}][^{letters}]", p) for p in kept):
+        return f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")
+    rest = f"[^{letters}{MARK}{alone}]"
+    return f"{MARK}*[{letters}]+|{MARK}*{rest}+[{letters}]*|{MARK}+" + (f"|[{alone}]" if alone else "")
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -74,76 +100,97 @@ class Codec:
         import ahocorasick
 
         self.model = model
+        scores = {p: s for p, s in zip(model.pieces, model.scores, strict=True) if p}
+        kept = [p for p in scores if not outdone(p, scores)]
+        number = {p: i for i, p in enumerate(model.pieces)}
         self.automaton = ahocorasick.Automaton()
-        for i, piece in enumerate(model.pieces):
-            if piece:
-                self.automaton.add_word(piece, (i, len(piece), model.scores[i]))
+        for piece in kept:
+            self.automaton.add_word(piece, (number[piece], len(piece), scores[piece]))
         self.automaton.make_automaton()
         self.unknown_score = min((s for p, s in zip(model.pieces, model.scores, strict=True) if p), default=0.0) - UNKNOWN_COST
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in model.pieces)
-        self.parts = re.compile(r".+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+", re.DOTALL).findall
+        self.parts = re.compile(cuts(kept), re.DOTALL).findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.lengths = [len(p) for p in model.pieces]
+        self.covered = {p for p in model.pieces if len(p) == 1}
         self.byte_of = {i: b for b, i in enumerate(model.byte_ids)}
+        self.texts = [p.replace(MARK, " ") for p in model.pieces]
+        self.high = np.zeros(len(model.pieces), bool)  # bytes that are part of a character
+        for b, i in enumerate(model.byte_ids):
+            self.texts[i] = chr(b) if b < 128 else ""
+            self.high[i] = b >= 128
 
     def spell(self, text: str) -> list[int]:
         """A text that no piece covers."""
         return [self.model.byte_ids[b] for b in text.encode()] if self.model.byte_ids else [self.model.unknown]
 
     def search(self, part: str) -> bytes:
-        size = len(part)
-        best: list[float | None] = [0.0] + [None] * size
-        last: list[tuple[int, int]] = [(-1, 0)] * (size + 1)  # id and length of the piece that ends here
-        single, unknown = [False] * (size + 1), self.unknown_score
-        done = 0
-
-        def settle(upto: int) -> None:
+        size, worst = len(part), -math.inf
+        best, last = [worst] * (size + 1), [-1] * (size + 1)  # score, and the piece that ends here (-1: unknown)
+        best[0] = 0.0
+        if self.covered.issuperset(part):
+            for end, (piece, length, cost) in self.automaton.iter(part):
+                end += 1
+                score = best[end - length] + cost
+                if score > best[end]:
+                    best[end], last[end] = score, piece
+        else:
+            self.settle(part, best, last)
+        path, at, lengths = [], size, self.lengths
+        while at:
+            piece = last[at]
+            if piece >= 0:
+                path.append(piece)
+                at -= lengths[piece]
+            else:
+                path.extend(reversed(self.spell(part[at - 1])))
+                at -= 1
+        path.reverse()
+        return array("i", path).tobytes()
+
+    def settle(self, part: str, best: list[float], last: list[int]) -> None:
+        """The same, with characters that no piece of their own covers."""
+        done, covered, unknown = 0, self.covered, self.unknown_score
+
+        def upto(end: int) -> None:
             nonlocal done
-            while done < upto:
+            while done < end:
                 done += 1
-                if not single[done]:
-                    score = best[done - 1] + unknown
-                    if best[done] is None or score > best[done]:
-                        best[done], last[done] = score, (-1, 1)
+                if part[done - 1] not in covered and best[done - 1] + unknown > best[done]:
+                    best[done], last[done] = best[done - 1] + unknown, -1
 
         for end, (piece, length, cost) in self.automaton.iter(part):
-            settle(end)
-            at = end + 1
-            single[at] = single[at] or length == 1
-            score = best[at - length] + cost
-            if best[at] is None or score > best[at]:
-                best[at], last[at] = score, (piece, length)
-        settle(size)
-        path: list[list[int]] = []
-        at = size
-        while at:
-            piece, length = last[at]
-            path.append([piece] if piece >= 0 else self.spell(part[at - 1]))
-            at -= length
-        return array("i", [i for ids in reversed(path) for i in ids]).tobytes()
+            upto(end)
+            score = best[end + 1 - length] + cost
+            if score > best[end + 1]:
+                best[end + 1], last[end + 1] = score, piece
+        upto(len(part))
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part that is not among the latest."""
+        found = self.older.get(part) or self.search(part)
+        if len(part) < 64:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[part] = found
+        return found
 
     def encode(self, text: str) -> array:
         ids = array("i")
-        known, add = self.known, ids.frombytes
         for k, run in enumerate(text.split(MARK) if text else ()):
             if k:
                 ids.extend(self.spell(MARK))
             run = run.replace(" ", MARK)
-            for part in self.parts(MARK + run if self.model.prefix and k == 0 else run):
-                found = known.get(part)
-                if found is None:
-                    found = self.search(part)
-                    if len(part) < 64:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[part] = found
-                add(found)
+            parts = self.parts(MARK + run if self.model.prefix and k == 0 else run)
+            get, slow = self.known.get, self.part
+            ids.frombytes(b"".join([get(p) or slow(p) for p in parts]))
         return ids
 
     def decode(self, ids: array | list[int]) -> str:
         if not len(ids):
             return ""
-        text, pieces, byte_of = "", self.model.pieces, self.byte_of
-        if byte_of and not byte_of.keys().isdisjoint(ids):
+        texts, byte_of = self.texts, self.byte_of
+        if self.high[np.asarray(ids, np.int32)].any():
             run, out = bytearray(), []
             for i in ids:
                 if i in byte_of:
@@ -152,24 +199,25 @@ class Codec:
                 if run:
                     out.append(run.decode(errors="replace"))
                     run.clear()
-                out.append(pieces[i].replace(MARK, " "))
+                out.append(texts[i])
             out.append(run.decode(errors="replace"))
             text = "".join(out)
         else:
-            text = "".join(map(pieces.__getitem__, ids)).replace(MARK, " ")
+            text = "".join([texts[i] for i in ids])
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
 def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` with ids (null for a null text), n_tokens, and whether decoding the ids gives the text back."""
-    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
+    shared = docs.sparkSession.sparkContext.broadcast({"model": astuple(model)})
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType(
         [*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Model(*shared.value))
+        box = shared.value  # a worker keeps it from task to task, and with it the automaton and the latest parts
+        codec = box.get("codec") or box.setdefault("codec", Codec(Model(*box["model"])))
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
