@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, language, packing, pieces, secrets, simhash, topk, toxicity
+from tracewright.llm import decontaminate, language, packing, pieces, secrets, simhash, topk, toxicity, wrapper
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -79,6 +79,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op7_language": op7_language,
+    "op8_wrapper": op8_wrapper,
     "op9_simhash": op9_simhash,
     "op10_pieces": op10_pieces,
 }
