@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, language, packing, pieces, secrets, simhash, topk, toxicity, wrapper
+from tracewright.llm import decontaminate, language, packing, pieces, ppm, secrets, simhash, topk, toxicity, wrapper
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,6 +73,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(0, 10)
+    scored = ppm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(0, 5)
     found = language.classify(docs, language.learn(docs, ~held_out))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_ppm": op6_ppm,
     "op7_language": op7_language,
     "op8_wrapper": op8_wrapper,
     "op9_simhash": op9_simhash,
