@@ -132,4 +132,4 @@ def matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> Data
 def clean(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs, all columns, without the documents that hold a window similar to an item."""
     found = sized(matches(docs, items, similar).select("__key").distinct(), most=MOST_SHARED)
-    return docs.join(found.withColumnRenamed("__key", "__hit"), keyed(docs) == F.col("__hit"), "left_anti")
+    return docs.join(found, keyed(docs) == found["__key"], "left_anti")

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.common import unused
+
 UNKNOWN = "und"
 DICTIONARY_BYTES = 1 << 17
 DICTIONARY_TEXTS = 400  # per language, at most
@@ -99,4 +101,4 @@ def classify(
             yield pa.RecordBatch.from_arrays([*batch.select(range(len(keep))).columns, *columns], names=schema.names)
 
     text = docs["text"]
-    return docs.select(*[docs[c] for c in keep], text.alias("__text"), has_letter(text).alias("__letter")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], text.alias(unused(docs, "__text")), has_letter(text).alias(unused(docs, "__letter"))).mapInArrow(run, schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tracewright.llm.common import unused
+
 MARK = "▁"
 UNKNOWN_COST = 10.0  # fixed by the published model: below the worst score
 REMEMBERED = 400_000  # parts in each of two generations
@@ -236,7 +238,7 @@ def encode(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
                     [*columns, lists, pa.array(sizes, pa.int64()), pa.array(exact, pa.bool_())], names=schema.names
                 )
 
-    return docs.select(*[docs[c] for c in keep], docs[text].cast("string")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -251,4 +253,4 @@ def decode(rows: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), i
             columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.select(*[rows[c] for c in keep], rows[ids]).mapInArrow(run, schema)
+    return rows.select(*[rows[c] for c in keep], rows[ids].alias(unused(rows, "__ids"))).mapInArrow(run, schema)

@@ -79,7 +79,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     spark = versions.sparkSession
     paths = stored(
         versions.select(
-            versions[path].alias(path), blob_name(versions[text]).alias("__blob"), F.monotonically_increasing_id().alias("__row")
+            versions[path], blob_name(versions[text]).alias("__blob"), F.monotonically_increasing_id().alias("__row")
         ),
         "versions",
     )
@@ -120,9 +120,9 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
     scan(docs, ledger, rules)
     of_blob = findings(docs.sparkSession, ledger, rules)
     of_blob = sized(of_blob.join(docs.select(blob_name(docs["text"]).alias("__of")), "__of", "left_semi"), F.size("__found"))
-    text = docs["text"]
+    text, hits = docs["text"], of_blob["__found"]
     clean = F.aggregate(
-        "__found",
+        hits,
         F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, f: F.when(f["end"] <= acc["at"], acc).otherwise(
             F.struct(
@@ -136,7 +136,7 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
     )
     joined = docs.join(of_blob, blob_name(text) == of_blob["__of"], "left")
     return joined.select(
-        *[F.when(F.col("__found").isNull(), text).otherwise(clean).alias(c) if c == "text" else docs[c] for c in docs.columns]
+        *[F.when(hits.isNull(), text).otherwise(clean).alias(c) if c == "text" else docs[c] for c in docs.columns]
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import partitions, stored
+from tracewright.llm.common import partitions, stored, unused
 from tracewright.llm.components import components
 
 RADIUS = 4
@@ -59,16 +59,16 @@ def fingerprint(text: str | None, width: int) -> int:
     return int.from_bytes(np.packbits(2 * total > count).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with __fp, the fingerprint as a signed long."""
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("__fp", T.LongType())])
+def fingerprints(docs: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",), name: str = "__fp") -> DataFrame:
+    """The columns ``keep`` with ``name``, the fingerprint as a signed long."""
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch.column(len(keep)).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.select(range(len(keep))).columns, pa.array(found.view(np.int64))], names=schema.names)
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"].alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def bits(fps: np.ndarray, first: int, length: int) -> np.ndarray:
@@ -266,13 +266,14 @@ def distinct(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame
     one document (any row of it stays); documents without an id stay only where no document of their group has one, one
     for each fingerprint."""
     found = groups(docs, width, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().hint("shuffle_hash")
-    named = docs.join(stay.select(F.col("doc_id").alias("__stay")), docs["doc_id"] == F.col("__stay"), "left_semi")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct().hint("shuffle_hash")
+    named = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
     if found.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
         named = named.dropDuplicates(["doc_id"])
         alone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
         nameless = docs.where(docs["doc_id"].isNull())
-        columns = nameless.columns
-        marked = fingerprints(nameless, width, tuple(columns)).withColumn("__hex", F.lower(F.lpad(F.hex("__fp"), 16, "0")))
-        named = named.unionByName(marked.join(alone, F.col("__hex") == alone["fingerprint"], "left_semi").dropDuplicates(["__hex"]).select(*columns))
+        columns, own = nameless.columns, unused(docs, "__fp")
+        marked = fingerprints(nameless, width, tuple(columns), own)
+        marked = marked.join(alone.withColumnRenamed("fingerprint", "__alone"), F.lower(F.lpad(F.hex(marked[own]), 16, "0")) == F.col("__alone"), "left_semi")
+        named = named.unionByName(marked.dropDuplicates([own]).select(*columns))
     return named

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.common import unused
+
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORDS = re.compile(r"\w+")
 REMEMBERED = 1 << 17
@@ -183,7 +185,7 @@ def _run(docs: DataFrame, model: Model, keep: tuple[str, ...], cut: float, drop:
                 columns = [pa.array([s for s, _ in judged], pa.float64()), pa.array([m for _, m in judged], pa.list_(span))]
                 yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=schema.names)
 
-    return docs.select(*[docs[c] for c in keep], docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs["text"].alias(unused(docs, "__text"))).mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, trains: Column, bounds: Bounds | None = None) -> Model:
