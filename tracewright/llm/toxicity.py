@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import unused
+from tracewright.llm.common import crc32, unused
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORDS = re.compile(r"\w+")
@@ -40,7 +41,7 @@ SPAN = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), (
 
 @dataclass(frozen=True)
 class Bounds:
-    per_label: int = 4000  # documents of each label that the fit may see
+    per_label: int = 3000  # documents of each label that the fit may see
     longest: int = 60_000  # characters of such a document
     least: int = 6  # toxic documents of the sample that must hold a feature
     lift: float = 2.0  # times as common among toxic documents as among others, at least
@@ -83,37 +84,49 @@ def sample(docs: DataFrame, labels: DataFrame, trains: Column, bounds: Bounds) -
     return sorted((r["__text"], r["__y"]) for r in rows)
 
 
+def telling(bags: list[tuple[str, int]], bounds: Bounds) -> list[str]:
+    """Features in at least ``least`` toxic documents that are ``lift`` times as common there as in others."""
+    toxic = [t for t, y in bags if y]
+    # first by hash, so that rare features, which are most, never take memory
+    rough = np.zeros(1 << 22, np.int32)
+    for text in toxic:
+        rough[[crc32(f.encode()) & (1 << 22) - 1 for f in all_features(text)]] += 1
+    found: Counter[str] = Counter()
+    for text in toxic:
+        found.update(f for f in all_features(text) if rough[crc32(f.encode()) & (1 << 22) - 1] >= bounds.least)
+    found = Counter({f: n for f, n in found.items() if n >= bounds.least})
+    others: Counter[str] = Counter()
+    for text, y in bags:
+        if not y:
+            others.update(f for f in all_features(text) if f in found)
+    odds = bounds.lift * len(toxic) / (len(bags) - len(toxic))
+    return sorted(f for f, n in found.items() if n >= odds * others[f])
+
+
+def all_features(text: str) -> set[str]:
+    return {f for word in set(WORDS.findall(text.lower())) for f in features(word)}
+
+
 def fit(bags: list[tuple[str, int]], bounds: Bounds) -> Model:
     labels = {y for _, y in bags}
     if len(labels) < 2:
         return Model(math.inf if labels == {1} else -math.inf, {})
-    of_word: dict[str, list[str]] = {}
-    found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    words_of: list[list[set[str]]] = []
-    for text, y in bags:
-        low = text.lower()
-        parts = [set(WORDS.findall(p)) for p in SENTENCE.findall(low)] or [set()]
-        words_of.append(parts)
-        seen: set[str] = set()
-        for word in set().union(*parts):
-            if word not in of_word:
-                of_word[word] = features(word)
-            seen.update(of_word[word])
-        found[y].update(seen)
-    toxic = sum(y for _, y in bags)
-    odds = bounds.lift * toxic / (len(bags) - toxic)
-    names = sorted(f for f, n in found[1].items() if n >= bounds.least and n >= odds * found[0][f])
+    names = telling(bags, bounds)
     number = {f: i for i, f in enumerate(names)}
-    ids_of = {w: [number[f] for f in fs if f in number] for w, fs in of_word.items()}
-    at, sentence, document = [], [], []
-    for d, parts in enumerate(words_of):
-        for words in parts:
-            for word in words:
-                at.extend(ids_of[word])
-                sentence.extend([len(document)] * len(ids_of[word]))
+    known: dict[str, list[int]] = {}
+    at, sentence, document = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(bags):
+        for part in SENTENCE.findall(text.lower()) or [""]:
+            for word in set(WORDS.findall(part)):
+                ids = known.get(word)
+                if ids is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    ids = known[word] = [number[f] for f in features(word) if f in number]
+                at.extend(ids)
+                sentence.extend([len(document)] * len(ids))
             document.append(d)
-    feature, sentence, bag = np.array(at, np.int32), np.array(sentence, np.int32), np.array(document, np.int32)
-    del at, document, words_of, of_word, ids_of
+    feature, sentence, bag = np.frombuffer(at, np.int32), np.frombuffer(sentence, np.int32), np.frombuffer(document, np.int32)
     y = np.array([y for _, y in bags], float)
     share = np.where(y == 1, bounds.toxic_share / y.sum(), (1 - bounds.toxic_share) / (len(y) - y.sum()))
     weights, bias = np.zeros(len(names)), -6.0
