@@ -8,7 +8,7 @@ from helpers import frame
 from test_simulator import random_events
 
 from tracewright.operators.correlation import correlate
-from tracewright.operators.rollups import actions, rollup_sessions
+from tracewright.operators.rollups import rollup_sessions
 from tracewright.operators.spans import assemble, build_spans, nest_spans
 from tracewright.operators.traces import annotate, by_session
 from tracewright.options import Options
@@ -28,8 +28,8 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
     spans = assemble(frame(spark, random_events(21, 5, 30, lost=False, runs=False)), OPTIONS)
     for _ in range(2):
         T.write_events(spans, str(tmp_path / "events"))
-        T.write_actions(actions(spans), str(tmp_path / "actions"))
-    n = spans.count()
+        T.write_actions(spans, str(tmp_path / "actions"))
+    n = T.final(spans).count()
     events = spark.read.parquet(str(tmp_path / "events"))
     stored = spark.read.parquet(str(tmp_path / "actions"))
     assert (events.count(), stored.count()) == (n, n)
@@ -38,13 +38,34 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
     assert types(rollup_sessions(spans).schema) == types(SESSIONS_TABLE)
 
 
+def test_a_later_write_completes_open_traces_across_midnight(spark, tmp_path):
+    day = 86_400_000_000
+    events = [
+        {"seq": 1, "name": "llm_input", "session": "s", "us": day - 2_000_000},
+        {"seq": 2, "name": "before_tool_call", "session": "s", "tool": "t", "call": "c", "us": day - 1_000_000},
+        {"seq": 3, "name": "after_tool_call", "session": "s", "tool": "t", "call": "c", "us": day + 1_000_000},
+        {"seq": 4, "name": "llm_output", "session": "s", "us": day + 2_000_000},
+        {"seq": 5, "name": "agent_end", "session": "s", "us": day + 3_000_000},
+    ]
+    paths = [str(tmp_path / name) for name in ("events", "actions")]
+    for until in (2, 3, 5, 5):
+        spans = assemble(frame(spark, events[:until]), OPTIONS)
+        T.write_events(spans, paths[0])
+        T.write_actions(spans, paths[1])
+    want = {r["event_id"]: r["end_us"] for r in spans.collect()}
+    for path, end in zip(paths, ("timestamp", "created_at"), strict=True):
+        rows = spark.read.parquet(path).selectExpr("event_id", f"unix_micros({end}) as end_us", "event_date").collect()
+        assert len(rows) == 3 and {r["event_id"]: r["end_us"] for r in rows} == want
+        assert {str(r["event_date"]) for r in rows} == {"1970-01-01"}
+
+
 def test_access_paths_reach_the_scan(spark, tmp_path):
     spans = assemble(frame(spark, random_events(22, 5, 30, lost=False, runs=False)), OPTIONS)
-    T.write_actions(actions(spans), str(tmp_path / "actions"))
-    rows = T.actions_by(spark.read.parquet(str(tmp_path / "actions")), session="g0s0", since="1970-01-01 00:00:00")
+    T.write_actions(spans, str(tmp_path / "actions"))
+    rows = T.actions_by(spark.read.parquet(str(tmp_path / "actions")), session="g0s0", until="1970-02-01 00:00:00")
     plan = rows._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "EqualTo(session_id,g0s0)" in plan
-    assert rows.count() == spans.where("session_id = 'g0s0'").count()
+    assert rows.count() == T.final(spans).where("session_id = 'g0s0'").count()
 
 
 def test_stream_equals_batch(spark, tmp_path):

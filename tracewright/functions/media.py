@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import SPACE
-from tracewright.functions.text import QUOTES, WORD_START
+from tracewright.functions.text import QUOTES, WORD_START, texts
 from tracewright.options import PART_SIZE_BYTES
 
 # Fixed: extension -> MIME type.
@@ -103,10 +103,12 @@ def media_refs(text: Column) -> Column:
         F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(1)), percent_decode),
     )
     # Three regex passes only on text that can hold a reference.
+    return F.when(_could_refer(text), found).otherwise(F.array().cast("array<string>"))
+
+
+def _could_refer(text: Column) -> Column:
     low = F.lower(text)
-    return F.when(
-        low.contains("media:") | low.contains("file://") | text.contains("]("), found
-    ).otherwise(F.array().cast("array<string>"))
+    return low.contains("media:") | low.contains("file://") | text.contains("](")
 
 
 def media_paths(text: Column, home: str) -> Column:
@@ -115,15 +117,23 @@ def media_paths(text: Column, home: str) -> Column:
     return F.array_distinct(F.filter(paths, lambda p: p.isNotNull()))
 
 
+def payload_paths(payload: Column, home: str) -> Column:
+    """The distinct normalised paths a payload points at: all string values of JSON, or a plain text."""
+    escaped = payload.contains(chr(92) + "u") | payload.contains(chr(92) + "/")
+    found = F.flatten(F.transform(texts(payload, _could_refer(payload) | escaped), lambda leaf: media_paths(leaf, home)))
+    return F.array_distinct(found)
+
+
 def extract_media(
     df: DataFrame, entity: list[str], payloads: list[str], home: str, distinct: bool = True
 ) -> DataFrame:
     """One row per (entity, path), over all payload columns of the entity's rows.
 
-    Each JSON or plain text payload is searched whole; duplicates are dropped before the shuffle too.
+    The string values of JSON payloads are searched, decoded, and plain texts whole; keys are not. Duplicates are
+    dropped before the shuffle too.
     """
     every = F.array_distinct(
-        F.flatten(F.array(*[media_paths(F.coalesce(F.col(p), F.lit("")), home) for p in payloads]))
+        F.flatten(F.array(*[payload_paths(F.coalesce(F.col(p), F.lit("")), home) for p in payloads]))
     )
     found = df.select(*entity, F.explode(every).alias("path"))
     return found.dropDuplicates([*entity, "path"]) if distinct else found

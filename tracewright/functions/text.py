@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tracewright.functions.scalars import SPACE, literal
 
 _S = f"[{SPACE}]"
-QUOTES = r"\x22\x27\x60"  # the double, single and back quote
+QUOTES = "\"'`"  # fixed: the quotes that end a reference
 _REF = f"[^{SPACE}{QUOTES}]"
 
 # Line starts and word edges are spelled out: they must mean the same in the JVM and in Python.
@@ -58,13 +58,16 @@ def redact_text(value: str) -> str:
 
 
 def needs_redaction(raw: str) -> str:
-    """SQL text: whether a JSON text could change; escapes of any kind count, so nothing is missed."""
-    words = " or ".join(f"contains(lower({raw}), '{word}')" for word in ("[[reply_to", "media:"))
-    return f"(contains({raw}, {literal(chr(92))}) or {words})"
+    """SQL text: whether a JSON text could change: it holds a fixed word, a letter that may be spelled as an escape, an
+    escaped backslash (of a spelled-out line end), or three line ends."""
+    back = chr(92)
+    words = " or ".join(f"contains(lower({raw}), '{word}')" for word in ("[[reply_to", "media:", "untrusted"))
+    marks = " or ".join(f"contains({raw}, {literal(mark)})" for mark in (back + "u", back + back, (back + "n") * 3))
+    return f"({words} or {marks})"
 
 
 def leaf_redactor():
-    """The same rules for one string leaf, for JSON values whose shape is not known.
+    """The same rules for one string.
 
     Built as a closure over plain values, so that it travels to the executors whole.
     """
@@ -74,31 +77,65 @@ def leaf_redactor():
         for pattern, text in [*removed, (BLANK_LINES, "\n\n"), (MEDIA_IMAGE, IMAGE_MARK)]
     ]
 
-    def redact(value):
-        if isinstance(value, str):
-            value = value.replace("\\r\\n", "\n").replace("\\n", "\n").replace("\\r", "\r")
-            for pattern, text in rules:
-                value = pattern.sub(text, value)
-            return value
-        if isinstance(value, list):
-            return [redact(item) for item in value]
-        if isinstance(value, dict):
-            return {key: redact(child) for key, child in value.items()}
+    def redact(value: str) -> str:
+        value = value.replace("\\r\\n", "\n").replace("\\n", "\n").replace("\\r", "\r")
+        for pattern, text in rules:
+            value = pattern.sub(text, value)
         return value
 
     return redact
 
 
+def leaf_walker():
+    """(is_json, leaves): whether a text is JSON, and an iterator over its string values as (start, end, value).
+
+    Only string tokens are decoded, so numbers, order and repeated keys stay as they are written. Keys are left out. A
+    text nested too deeply to be checked counts as JSON.
+    """
+    token = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
+    colon = re.compile(r"[ \t\n\r]*:")
+
+    def is_json(text: str) -> bool:
+        try:
+            json.loads(text)
+        except RecursionError:
+            return True
+        except ValueError:
+            return False
+        return True
+
+    def leaves(text: str):
+        for found in token.finditer(text):
+            if not colon.match(text, found.end()):
+                try:
+                    yield found.start(), found.end(), json.loads(found.group())
+                except ValueError:  # only in texts too deep to be checked
+                    continue
+
+    return is_json, leaves
+
+
 def _json_redactor():
     redact = leaf_redactor()
+    is_json, leaves = leaf_walker()
 
-    def one(text):
+    def written(value: str) -> str:
         try:
-            value = json.loads(text)
-        except ValueError:
+            value.encode()
+        except UnicodeEncodeError:  # half of a surrogate pair can only be written as an escape
+            return json.dumps(value)
+        return json.dumps(value, ensure_ascii=False)
+
+    def one(text: str) -> str:
+        if not is_json(text):
             return text
-        clean = redact(value)
-        return text if clean == value else json.dumps(clean, ensure_ascii=False, separators=(",", ":"))
+        out, at = [], 0
+        for start, end, value in leaves(text):
+            clean = redact(value)
+            if clean != value:
+                out += [text[at:start], written(clean)]
+                at = end
+        return "".join([*out, text[at:]]) if out else text
 
     def batch(raw: pd.Series) -> pd.Series:
         return raw.map(one, na_action="ignore")
@@ -107,7 +144,7 @@ def _json_redactor():
 
 
 def redact_json(raw: str) -> Column:
-    """JSON text with every string leaf redacted and the keys kept; text that is not JSON stays.
+    """JSON text with every string value redacted; keys and all else are kept as written, other texts as they are.
 
     Only rows that could change are sent to Python.
     """
@@ -115,6 +152,29 @@ def redact_json(raw: str) -> Column:
     return F.coalesce(_json_redactor()(dirty), F.expr(raw))
 
 
+def _json_leaves():
+    is_json, leaves = leaf_walker()
+
+    def one(text: str) -> list[str]:
+        if not is_json(text):
+            return [text]
+        return [value.encode("utf-8", "replace").decode() for _, _, value in leaves(text)]
+
+    def batch(raw: pd.Series) -> pd.Series:
+        return raw.map(one, na_action="ignore")
+
+    return F.pandas_udf(batch, T.ArrayType(T.StringType()))
+
+
+def texts(payload: Column, wanted: Column) -> Column:
+    """The string values of a JSON payload, or a plain text as its only one.
+
+    Only payloads that look like JSON and for which ``wanted`` holds are sent to Python.
+    """
+    json_like = payload.rlike(r'\A\s*[\[{"]') & wanted
+    return F.coalesce(_json_leaves()(F.when(json_like, payload)), F.array(payload))
+
+
 def redact_tool_messages(df: DataFrame, enabled: bool = False, column: str = "message") -> DataFrame:
     """The persisted tool messages that redaction changes, rewritten; none while the option is off."""
     if not enabled:

@@ -33,8 +33,11 @@ def rollup_sessions(spans: DataFrame) -> DataFrame:
     )
 
 
-def actions(spans: DataFrame) -> DataFrame:
-    """The flat action row of every ended span; unknown text is empty, unknown numbers are null."""
+def actions(spans: DataFrame, *more: str) -> DataFrame:
+    """The flat action row of every ended span; unknown text is empty, unknown numbers are null.
+
+    ``more`` are expressions over the span, added as columns.
+    """
     return spans.where("end_us is not null").selectExpr(
         f"{action_id('event_id')} as id",
         "session_id",
@@ -50,6 +53,7 @@ def actions(spans: DataFrame) -> DataFrame:
         "coalesce(if(kind = 'root', channel, null), '') as channel_id",
         "timestamp_micros(end_us) as created_at",
         "event_id",
+        *more,
     )
 
 

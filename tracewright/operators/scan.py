@@ -9,7 +9,6 @@ on the number of rows. Both give the same values.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -141,14 +140,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only in local mode where none is set, as in tests."""
+    """The folder all executors share, which the session must name in spark.checkpoint.dir. Only a plain local session,
+    where driver and executor are one process, may go without; it gets a new temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         if configured is None:
-            if not spark.sparkContext.master.startswith("local"):
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = os.path.join(tempfile.gettempdir(), f"tracewright-{spark.sparkContext.applicationId}")
+            configured = tempfile.mkdtemp(prefix="tracewright-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured or current
 

@@ -9,7 +9,6 @@ from dataclasses import dataclass, replace
 STALE_TIMEOUT_MS = 300_000
 STALE_SWEEP_MS = 60_000
 PART_SIZE_BYTES = 8 * 1024 * 1024
-REMEMBERED_ATTACHMENT_KEYS = 2048
 
 
 def non_negative(value) -> float | None:

@@ -581,7 +581,7 @@ def _scratch(spark, name: str) -> str:
 def _assembled(spark, sf_dir) -> str:
     root = _scratch(spark, "traces")
     events = V.hooks_e(spark, sf_dir, streaming=True).where("session_key is not null")
-    assemble_traces(events, f"{root}/out", f"{root}/checkpoint", HALF_DAY, available_now=True).awaitTermination()
+    assemble_traces(events, f"{root}/out", f"{root}/checkpoint", HALF_DAY, "0 seconds", available_now=True).awaitTermination()
     return f"{root}/out"
 
 

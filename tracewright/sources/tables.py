@@ -8,6 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tracewright.functions.payloads import json_object
 from tracewright.functions.scalars import literal
+from tracewright.operators.rollups import actions
 from tracewright.options import Options
 
 # Fixed prefix of the attribute names.
@@ -55,7 +56,7 @@ def event_rows(spans: DataFrame, options: Options = Options()) -> DataFrame:
 def without_known(rows: DataFrame, known: DataFrame, key: str, day: str) -> DataFrame:
     """Rows whose key is new: duplicates within the batch and rows already stored are dropped.
 
-    A key always falls on the same day, so the stored side is read only for the days of the batch.
+    The day must follow from the key, so that the stored side is read only for the days of the batch.
     """
     fresh = rows.dropDuplicates([key])
     return fresh.join(known.select(key, day), [key, day], "left_anti")
@@ -68,22 +69,28 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def append(rows: DataFrame, path: str, key: str, time: str) -> None:
-    """Append rows idempotently, partitioned by day, sorted within files so that file statistics prune."""
-    dated = rows.withColumn("event_date", F.to_date(time))
-    known = _existing(rows.sparkSession, path)
+def append(dated: DataFrame, path: str, key: str, time: str) -> None:
+    """Append rows idempotently, partitioned by ``event_date``, sorted within files so that file statistics prune."""
+    known = _existing(dated.sparkSession, path)
     dated = dated.dropDuplicates([key]) if known is None else without_known(dated, known, key, "event_date")
-    order = "session_id" if "session_id" in rows.columns else key
+    order = "session_id" if "session_id" in dated.columns else key
     dated.sortWithinPartitions("event_date", order, time).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def final(spans: DataFrame) -> DataFrame:
+    """Spans whose end later input cannot move: those still open where the input ends are left for the next write."""
+    return spans.where("end_us is not null and close_reason <> 'end_of_input'")
+
+
 def write_events(spans: DataFrame, path: str, options: Options = Options()) -> None:
-    append(event_rows(spans, options), path, "event_id", "timestamp")
+    """Add the final spans that are not stored yet. An event id fixes its start, and so its day."""
+    rows = event_rows(final(spans), options)
+    append(rows.withColumn("event_date", F.to_date("start_timestamp")), path, "event_id", "timestamp")
 
 
-def write_actions(action_rows: DataFrame, path: str) -> None:
+def write_actions(spans: DataFrame, path: str) -> None:
     # The key is the span's event id; the numeric id is a digest and could collide.
-    append(action_rows, path, "event_id", "created_at")
+    append(actions(final(spans), "to_date(timestamp_micros(start_us)) as event_date"), path, "event_id", "created_at")
 
 
 def merge_sessions(target: DataFrame, delta: DataFrame) -> DataFrame:
@@ -108,6 +115,12 @@ def merge_sessions(target: DataFrame, delta: DataFrame) -> DataFrame:
     )
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this engine's own state, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Write a micro-batch's rows into its own partition; a repeated batch replaces what it wrote before."""
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -156,14 +169,13 @@ def events_by(rows: DataFrame, since=None, until=None) -> DataFrame:
 
 
 def _between(rows: DataFrame, column: str, since, until) -> DataFrame:
-    """Half-open in time; where the table is partitioned by day, the day bounds prune partitions too."""
-    dated = "event_date" in rows.columns
+    """Half-open in time. A table is partitioned by the day of the start, which no end precedes, so ``until`` prunes
+    partitions; ``since`` prunes files by their statistics."""
     if since is not None:
         rows = rows.where(F.col(column) >= F.lit(since))
-        rows = rows.where(F.col("event_date") >= F.to_date(F.lit(since))) if dated else rows
     if until is not None:
         rows = rows.where(F.col(column) < F.lit(until))
-        rows = rows.where(F.col("event_date") <= F.to_date(F.lit(until))) if dated else rows
+        rows = rows.where(F.col("event_date") <= F.to_date(F.lit(until))) if "event_date" in rows.columns else rows
     return rows
 
 

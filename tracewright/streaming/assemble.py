@@ -22,7 +22,7 @@ from tracewright.operators.spans import build_spans, nest_spans
 from tracewright.operators.traces import annotate, by_session, timed
 from tracewright.options import Options
 from tracewright.schemas import HOOK_EVENTS
-from tracewright.sources.tables import event_rows, write_batch
+from tracewright.sources.tables import event_rows, remove, write_batch
 
 EVENT_COLUMNS = [f.name for f in HOOK_EVENTS.fields]
 
@@ -42,7 +42,8 @@ def close_traces(events: DataFrame, horizon_us: int, options: Options) -> tuple[
     known = options.but(as_of_us=horizon_us)
     routed = correlate(events.where(F.col("ts_us") <= horizon_us), known)
     seen = cut(events.sparkSession, by_session(routed, known, annotate))
-    still_open = "closed_by = 'end_of_input'"
+    # A run that ended takes events until its grace is over, which may lie behind the horizon.
+    still_open = f"(closed_by = 'end_of_input' or (closed_by = 'agent_end' and cut_us > {horizon_us}))"
     spans = nest_spans(by_session(seen.where(f"not ({still_open})"), known, build_spans))
     keep = seen.where(f"reached and {still_open} and event_name <> 'subagent_reset'").select("event_seq").distinct()
     waiting = events.where(F.col("ts_us") > horizon_us)
@@ -74,19 +75,23 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, delay_ms: int, opt
     write_batch(rollup_sessions(spans), f"{root}/sessions", batch_id)
     write_batch(pending, f"{root}/pending", batch_id)
     write_batch(spark.range(1).select(F.lit(high).cast("long").alias("high_us")), f"{root}/clock", batch_id)
+    # A repeated batch reads the state of the one before; nothing reads older state.
+    for name in ("pending", "clock"):
+        remove(spark, f"{root}/{name}/batch_id={batch_id - 2}")
 
 
 def assemble_traces(
     stream: DataFrame,
     root: str,
     checkpoint: str,
-    options: Options = Options(),
-    delay: str = "0 seconds",
+    options: Options,
+    delay: str,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Write closed traces into ``root``/events, /actions and /sessions; idempotent by batch.
 
-    ``delay`` is how late an event may come. ``root`` and ``checkpoint`` must be shared folders.
+    ``delay`` is how late an event may come; events later than that, or with the time of the horizon itself, go to
+    /late. ``root`` and ``checkpoint`` must be shared folders.
     """
     delay_ms = parse_delay(delay)
 
