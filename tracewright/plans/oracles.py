@@ -330,6 +330,12 @@ ORACLES: dict[str, str] = {
     "'ai.observability.app_version'])) v(c, k)) GROUP BY ALL",
     "events_append_dedup": SPANNED + "SELECT event_id, CAST(CAST(make_timestamp(end_us) AS DATE) AS VARCHAR) AS event_date, 'SPAN' AS record_type, "
     "make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp FROM ided WHERE day(make_timestamp(end_us)) % 2 = 1",
+    "events_written_twice": SPANNED + "SELECT event_id, CAST(CAST(make_timestamp(start_us) AS DATE) AS VARCHAR) AS event_date, 'SPAN' AS "
+    "record_type, make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp FROM ided WHERE close_reason <> "
+    "'end_of_input'",
+    "actions_written_twice": SPANNED + f", {ACTIONS} SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
+    "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions WHERE event_id IN "
+    "(SELECT event_id FROM ided WHERE close_reason <> 'end_of_input')",
     "actions_append": SPANNED_DIAG + f", {ACTIONS} SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
     "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions",
     # Merging the two halves gives the rollup of all of it.
@@ -372,6 +378,8 @@ ORACLES: dict[str, str] = {
     # A stream emits the traces that closed; those open at its end stay in its state.
     "stream_assemble": SPANNED + "SELECT event_id, 'SPAN' AS record_type, make_timestamp(ided.start_us) AS start_timestamp, "
     "make_timestamp(ided.end_us) AS timestamp FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input'",
+    "stream_batches": SPANNED + "SELECT event_id, 'SPAN' AS record_type, make_timestamp(ided.start_us) AS start_timestamp, "
+    "make_timestamp(ided.end_us) AS timestamp FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input'",
     "stream_sink": SPANNED + ", closed AS (SELECT ided.* FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> "
     "'end_of_input') " + ROLLUP.format(source="closed"),
     "stream_media_dedup": f"WITH {REFS} SELECT DISTINCT conv_id, path FROM paths",
@@ -387,6 +395,7 @@ ORACLES: dict[str, str] = {
     "'agent_end' THEN error END AS run_error FROM hooks",
     "redact_texts": f"WITH {TURNS} SELECT conv_id, turn, {redacted('text')} AS text FROM turns",
     "media_refs": f"WITH {REFS} SELECT conv_id, turn, ref FROM refs",
+    "media_json": f"WITH {REFS} SELECT conv_id, turn, path FROM paths",
     "media_paths": f"WITH {REFS} SELECT conv_id, turn, path FROM paths",
     "mime_counts": f"WITH e AS (SELECT lower(({_EXT_LIST})[p_partkey % {len(MIME_TYPES) + 3} + 1]) AS ext FROM part) SELECT CASE ext "
     f"{_CASE} ELSE '{OTHER_MIME}' END AS mime, count(*) AS files FROM e GROUP BY ALL",

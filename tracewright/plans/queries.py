@@ -24,7 +24,7 @@ from tracewright.operators.traces import gap_sessions as activity_runs
 from tracewright.options import Options
 from tracewright.plans import views as V
 from tracewright.sources import tables as T
-from tracewright.sources.hooks import canonical, union_hooks
+from tracewright.sources.hooks import canonical, read_hook_events, union_hooks
 from tracewright.streaming.assemble import assemble_traces
 from tracewright.streaming.media import new_media
 
@@ -431,6 +431,31 @@ def events_append_dedup(spark, sf_dir):
     )
 
 
+def _written_twice(spark, sf_dir) -> str:
+    """The tables after a write of the first half of the month's events and a write of all of them."""
+    root = _scratch(spark, "tables")
+    events = V.hooks_e(spark, sf_dir)
+    for part in (events.where("ts < '2024-01-15 12:00:00'"), events):
+        spans = assemble(part, HALF_DAY)
+        T.write_events(spans, f"{root}/events", HALF_DAY)
+        T.write_actions(spans, f"{root}/actions")
+    return root
+
+
+@query
+def events_written_twice(spark, sf_dir):
+    rows = spark.read.parquet(f"{_written_twice(spark, sf_dir)}/events")
+    return rows.selectExpr(
+        "event_id", "cast(event_date as string) as event_date", "record_type", "start_timestamp", "timestamp"
+    )
+
+
+@query
+def actions_written_twice(spark, sf_dir):
+    rows = spark.read.parquet(f"{_written_twice(spark, sf_dir)}/actions")
+    return rows.drop("input_params", "output_result", "event_date")
+
+
 @query
 def actions_append(spark, sf_dir):
     rows = actions(_spans(spark, sf_dir, HALF_DAY, V.hooks_diag))
@@ -544,6 +569,14 @@ def media_paths(spark, sf_dir):
     return _media_rows(spark, sf_dir)
 
 
+@query
+def media_json(spark, sf_dir):
+    """The same references inside JSON, in values at any depth; those in keys do not count."""
+    payload = "to_json(map('media:/tmp/key.png', struct(array(struct(concat(text, '\n', turn) as t)) as rows, turn as n)))"
+    rows = V.conversations(spark, sf_dir).selectExpr("conv_id", "turn", f"{payload} as payload")
+    return M.extract_media(rows, ["conv_id", "turn"], ["payload"], HOME)
+
+
 @query
 def mime_counts(spark, sf_dir):
     """MIME types of file names built from part sizes: known, unknown and missing extensions."""
@@ -591,6 +624,22 @@ def stream_assemble(spark, sf_dir):
     return rows.select("event_id", "record_type", "start_timestamp", "timestamp")
 
 
+@query
+def stream_batches(spark, sf_dir):
+    """The same stream as four arrivals, each at least one micro-batch; open traces go from batch to batch."""
+    root = _scratch(spark, "batches")
+    events = V.hooks_e(spark, sf_dir).where("session_key is not null")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    number = F.floor((F.unix_micros("ts") - F.lit(low)) * 4 / F.lit(high - low + 1))
+    for arrival in range(4):
+        events.where(number == arrival).write.mode("append").parquet(f"{root}/in")
+        stream = read_hook_events(spark, f"{root}/in", streaming=True, fmt="parquet")
+        run = assemble_traces(stream, f"{root}/out", f"{root}/checkpoint", HALF_DAY, "0 seconds", available_now=True)
+        run.awaitTermination()
+    rows = spark.read.parquet(f"{root}/out/events")
+    return rows.select("event_id", "record_type", "start_timestamp", "timestamp")
+
+
 @query
 def stream_sink(spark, sf_dir):
     return T.fold_sessions(spark.read.parquet(f"{_assembled(spark, sf_dir)}/sessions"))
