@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from helpers import frame
 from test_simulator import random_events
 
@@ -68,7 +69,8 @@ def test_access_paths_reach_the_scan(spark, tmp_path):
     assert rows.count() == T.final(spans).where("session_id = 'g0s0'").count()
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("options", [OPTIONS, OPTIONS.but(grace_ms=3_000, sweep_ms=4_000)], ids=["plain", "grace"])
+def test_stream_equals_batch(spark, tmp_path, options):
     events = sorted(random_events(23, 6, 30, lost=False), key=lambda e: (e["us"], e["seq"]))
     # Three files; within the delay the order is shuffled.
     rng = random.Random(1)
@@ -84,18 +86,20 @@ def test_stream_equals_batch(spark, tmp_path):
             (source / f"{i}-{name.name}").write_bytes(name.read_bytes())
             stream = read_hook_events(spark, str(source), streaming=True, fmt="parquet", max_files=1)
             run = assemble_traces(
-                stream, str(tmp_path / "out"), str(tmp_path / "cp"), OPTIONS, "5 seconds", available_now=True
+                stream, str(tmp_path / "out"), str(tmp_path / "cp"), options, "5 seconds", available_now=True
             )
             run.awaitTermination()
     horizon = max(e["us"] for e in events) - 5_000_000
-    known = OPTIONS.but(as_of_us=horizon)
+    known = options.but(as_of_us=horizon)
     routed = correlate(frame(spark, [e for e in events if e["us"] <= horizon]), known)
     spans = nest_spans(by_session(routed, known, lambda p, o, s: build_spans(annotate(p, o, s), o, s)))
-    closed = spans.where("kind = 'root' and close_reason <> 'end_of_input'").select("trace_id")
-    want = {r[0] for r in spans.join(closed, "trace_id", "left_semi").select("event_id").collect()}
+    over = f"close_reason <> 'end_of_input' and (close_reason <> 'agent_end' or end_us <= {horizon})"
+    closed = spans.where(f"kind = 'root' and {over}").select("trace_id")
+    want = {tuple(r) for r in spans.join(closed, "trace_id", "left_semi").select("event_id", "end_us").collect()}
     rows = spark.read.parquet(str(tmp_path / "out" / "events"))
-    got = [r[0] for r in rows.select("event_id").collect()]
+    got = [tuple(r) for r in rows.selectExpr("event_id", "unix_micros(timestamp)").collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
+    assert len(list((tmp_path / "out" / "pending").glob("batch_id=*"))) == 2
     totals = T.fold_sessions(spark.read.parquet(str(tmp_path / "out" / "sessions")))
     assert totals.agg({"total_actions": "sum"}).first()[0] == len(got)

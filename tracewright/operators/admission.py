@@ -56,7 +56,7 @@ def quality_report(events: DataFrame) -> DataFrame:
         F.expr("count_if(nullif(session_key, '') is null and event_name not like 'subagent%') as missing_session"),
         F.expr("count_if(event_name in ('before_tool_call', 'after_tool_call') and nullif(tool_call_id, '') is null)"
                " as missing_call_id"),
-        F.expr("count_if(params is not null and json_object_keys(params) is null) as malformed_params"),
+        F.expr("count_if(params is not null and try_parse_json(params) is null) as malformed_params"),
         F.expr("count_if(duration_ms < 0 or cost_usd < 0 or isnan(cost_usd)) as bad_numbers"),
         F.expr("count_if(event_name = 'llm_output' and usage is null) as missing_usage"),
         F.expr(f"{corrupt} as corrupt_rows"),

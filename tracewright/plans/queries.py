@@ -332,7 +332,7 @@ def host_routing(spark, sf_dir):
 
 @query
 def routed_spans(spark, sf_dir):
-    """Spans with everything on: lost sessions, child sessions, nesting, stale traces."""
+    """Spans with child sessions routed and nested; no trace goes stale."""
     routed = correlate(V.hooks_sub(spark, sf_dir), NEVER_STALE)
     spans = by_session(
         routed, NEVER_STALE, lambda part, known, split: build_spans(annotate(part, known, split), known, split)
