@@ -133,6 +133,34 @@ def test_split_scans_give_the_same(spark):
     compare(spark, events, STALE.but(max_group_rows=20), TIMEOUT * SECOND)
 
 
+def test_repeated_events_count_once(spark):
+    events = random_events(13, 3, 40)
+    repeats = [dict(e) for e in events[::3]]
+    got = spark_spans(spark, events + repeats, NEVER)
+    assert got == spark_spans(spark, events, NEVER)
+    plain = random_events(14, 3, 40, lost=False, runs=False)
+    want = spark_spans(spark, plain, STALE)
+    assert spark_spans(spark, plain + plain[::2], STALE) == want
+    assert spark_spans(spark, plain + plain[::2], STALE.but(max_group_rows=20)) == want
+
+
+def test_split_scans_store_no_payload(spark, monkeypatch):
+    from tracewright.operators import scan
+
+    stored, plain = [], scan.cut
+
+    def watched(session, df):
+        stored.append(set(df.columns))
+        return plain(session, df)
+
+    monkeypatch.setattr(scan, "cut", watched)
+    events = frame(spark, random_events(11, 3, 80, lost=False, runs=False))
+    spans = by_session(events, STALE.but(max_group_rows=20), lambda p, o, s: build_spans(annotate(p, o, s), o, s))
+    assert spans.count() and len(stored) > 4
+    payloads = {"prompt", "assistant_texts", "messages", "params", "result", "error", "input", "output", "metadata", "error_info"}
+    assert not set().union(*stored) & payloads
+
+
 def test_split_look_ups_give_the_same(spark):
     rng = random.Random(5)
     times = rng.sample(range(10_000), 600)

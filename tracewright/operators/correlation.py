@@ -207,6 +207,9 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
     lost = find_missing and bool(events.where(named(TOOL_END) & F.col("host_key").isNull()).take(1))
     if not subagents and not lost:
         return events
+    # Rows are joined by their number below. Repeats are looked for by the numbers alone and dropped only if there are any.
+    if events.groupBy("event_seq").count().where("count > 1").limit(1).count():
+        events = events.dropDuplicates(["event_seq"])
     split = correlation_split(events, options)
     # The first round lets no trace go stale: links then reach as far as they can, and a few rounds cut them
     # back. Starting from stale traces would lengthen them by one event per round.

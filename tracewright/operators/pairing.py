@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import present
-from tracewright.operators.scan import PLAIN, Scan, Split, running
-from tracewright.operators.traces import ORDER, TOOL_END, TOOL_START, TRACE, named
+from tracewright.operators.scan import PLAIN, Scan, Split, beside, running
+from tracewright.operators.traces import ORDER, ROW, TOOL_END, TOOL_START, TRACE, named
 
 # Open tool calls are kept per trace and own session, and all forgotten at a run end (the phase).
 SCOPE = [*TRACE, "phase", "session_key"]
@@ -23,6 +23,12 @@ def match_tools(reached: DataFrame, split: Split = PLAIN) -> DataFrame:
     A start and the end that closes it share ``slot_kind``, ``slot_name`` and ``slot_no``. ``matched`` is
     false for an end no start was open for; ``replaced_us`` is when a repeated call id replaced the start.
     """
+    if not split.active:
+        return _match(reached, split)
+    return beside(reached, ROW, [*SCOPE, *ORDER, "tool_call_id", "tool_name"], lambda part: _match(part, split))
+
+
+def _match(reached: DataFrame, split: Split) -> DataFrame:
     tools = reached.withColumn("call_id", F.expr(present("tool_call_id")))
     start, end = named(TOOL_START), named(TOOL_END)
 

@@ -139,6 +139,21 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
     return joined.select(*[c for c in df.columns if c != CHUNK], *values)
 
 
+def beside(df: DataFrame, row: list[str], read: list[str], plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns ``plan`` adds to it, found on the columns it reads alone.
+
+    Split scans store their rows; this keeps payloads out of what is stored. ``row`` names one row.
+    """
+    slim = df.select(*dict.fromkeys([*row, *read]))
+    found = plan(slim)
+    added = [c for c in found.columns if c not in slim.columns]
+    named = found.select(*[F.col(c).alias(f"_r_{c}") for c in row], *added)
+    same = F.lit(True)
+    for column in row:
+        same = same & F.col(column).eqNullSafe(F.col(f"_r_{column}"))
+    return df.join(named, same).select(*df.columns, *added)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share, which the session must name in spark.checkpoint.dir. Only a plain local session,
     where driver and executor are one process, may go without; it gets a new temporary one."""

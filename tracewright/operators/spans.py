@@ -13,7 +13,7 @@ from tracewright.functions import payloads as P
 from tracewright.functions import scalars as S
 from tracewright.functions.text import redact_json, redact_text
 from tracewright.operators.pairing import match_tools
-from tracewright.operators.scan import PLAIN, Scan, Split, running
+from tracewright.operators.scan import PLAIN, Scan, Split, beside, running
 from tracewright.operators.traces import TRACE, annotate, by_session
 from tracewright.options import Options
 
@@ -388,9 +388,13 @@ def build_spans(annotated: DataFrame, options: Options = Options(), split: Split
 def number_spans(spans: DataFrame, split: Split = PLAIN) -> DataFrame:
     """Number a trace's spans in creation order, root 0, and derive labels, ids and totals."""
     ranked = spans.selectExpr("*", "case kind when 'root' then 0 when 'llm' then 1 else 2 end as _rank")
-    numbered = running(
-        ranked, TRACE, ["start_us", "start_seq", "_rank"], [Scan("_count", "sum", F.lit(1))], split
-    ).withColumn("span_seq", F.expr("cast(_count - 1 as bigint)"))
+    order = ["start_us", "start_seq", "_rank"]
+
+    def count(part: DataFrame) -> DataFrame:
+        return running(part, TRACE, order, [Scan("_count", "sum", F.lit(1))], split)
+
+    numbered = beside(ranked, [*TRACE, *order], [], count) if split.active else count(ranked)
+    numbered = numbered.withColumn("span_seq", F.expr("cast(_count - 1 as bigint)"))
     return numbered.selectExpr(
         "host_key as session_id",
         "trace_no",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.scan import PLAIN, Scan, Split, by_heat, cut, measure, running
+from tracewright.operators.scan import PLAIN, Scan, Split, beside, by_heat, cut, measure, running
 from tracewright.options import Options
 
 INPUT, OUTPUT, TOOL_START, TOOL_END = "llm_input", "llm_output", "before_tool_call", "after_tool_call"
@@ -15,6 +15,8 @@ DELIVERY, ENDED = "subagent_delivery_target", "subagent_ended"
 SUBAGENT = (SPAWNING, SPAWNED, DELIVERY, ENDED)
 
 ORDER = ["ts_us", "event_seq"]
+# Names an event: routing adds resets that share the number of the event that caused them.
+ROW = ["event_seq", "event_name"]
 # Stands behind every event of its microsecond.
 LAST_SEQ = 9_223_372_036_854_775_807
 TRACE = ["host_key", "trace_no"]
@@ -35,8 +37,16 @@ def timed(events: DataFrame) -> DataFrame:
 
 
 def number_traces(events: DataFrame, split: Split = PLAIN) -> DataFrame:
-    """Each model input opens the next trace of its session; ``trace_no`` 0 is before the first one."""
+    """Each model input opens the next trace of its session; ``trace_no`` 0 is before the first one.
+
+    An event that was delivered again, which its number and name show, counts once.
+    """
     opens = named(INPUT)
+    if split.active:
+        events = events.dropDuplicates(ROW)
+    else:
+        events = running(events, ["host_key"], ORDER, [Scan("_before", "last", F.struct(*ROW), "before")])
+        events = events.where("not (_before <=> struct(event_seq, event_name))").drop("_before")
     return running(
         events,
         ["host_key"],
@@ -154,7 +164,13 @@ def annotate(events: DataFrame, options: Options = Options(), split: Split = PLA
     """Events that have a session, with their trace number, its bounds and whether they reached it."""
     options = at_end(events, options)
     keyed = timed(events).where(F.col("host_key").isNotNull())
-    return bound_traces(number_traces(keyed, split), options, split)
+
+    def bound(part: DataFrame) -> DataFrame:
+        return bound_traces(number_traces(part, split), options, split)
+
+    if not split.active:
+        return bound(keyed)
+    return beside(keyed.dropDuplicates(ROW), ROW, ["ts_us", "host_key"], bound)
 
 
 def by_session(events: DataFrame, options: Options, plan) -> DataFrame:
