@@ -4,6 +4,9 @@ Each language has a zstandard raw-content dictionary, made of texts of that lang
 every dictionary; the smallest result names the language. A text whose second-best result is hardly larger (less than
 ``margin`` of the best) is marked as rejected; the best language stays visible.
 
+Before that, texts are lower-cased and runs of anything but letters become one blank, in dictionaries too, so that
+capitals, digits and signs speak for no language.
+
 A dictionary is a bounded sample: whole training texts, least hash first, until ``size`` bytes are full (the last one is
 cut). Classification reads every text whole.
 
@@ -15,6 +18,7 @@ looked at. Empty tables give empty tables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,13 +33,19 @@ DICTIONARY_BYTES = 1 << 17
 DICTIONARY_TEXTS = 400  # per language, at most
 MOST_BYTES = 1 << 28  # of all dictionaries together
 MARGIN = 0.02
-LEVEL = 3
+LEVEL = 5
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def has_letter(text: Column) -> Column:
     return text.rlike(r"\p{L}")
 
 
+def plain(text: str) -> bytes:
+    """What is compressed: the letters of the whole text."""
+    return NOT_LETTERS.sub(" ", text.lower()).encode()
+
+
 def learn(docs: DataFrame, trains: Column, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
     """(language, dictionary), languages with more training documents first."""
     rows = docs.where(trains & F.col("lang").isNotNull() & has_letter(F.col("text")))
@@ -57,7 +67,7 @@ def learn(docs: DataFrame, trains: Column, size: int = DICTIONARY_BYTES) -> list
     )
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in texts:
-        parts.setdefault(r["__lang"], []).append((r["__k"], bytes(r["part"])))
+        parts.setdefault(r["__lang"], []).append((r["__k"], plain(bytes(r["part"]).decode(errors="ignore"))))
     order = sorted(counts, key=lambda name: (-counts[name], name))
     return [(name, b"\n".join(p for _, p in sorted(parts[name]))[:size]) for name in order]
 
@@ -80,12 +90,12 @@ def classify(
             names.append(name)
             packers.append(
                 zstandard.ZstdCompressor(
-                    dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False
+                    level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False
                 ).compress
             )
 
         def judge(text: str) -> tuple[str, float, bool]:
-            data = text.encode()
+            data = plain(text)
             sizes = [pack(data) for pack in packers]
             order = sorted((len(s), k) for k, s in enumerate(sizes))
             if len(order) < 2:
