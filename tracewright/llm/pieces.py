@@ -32,7 +32,7 @@ from tracewright.llm.common import unused
 
 MARK = "▁"
 UNKNOWN_COST = 10.0  # fixed by the published model: below the worst score
-REMEMBERED = 400_000  # parts in each of two generations
+REMEMBERED = 80_000  # parts in each of two generations
 ROWS = 256  # documents that are turned into one Arrow batch
 
 
