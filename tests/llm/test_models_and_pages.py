@@ -96,6 +96,18 @@ def test_scores_of_documents(spark, monkeypatch):
     assert ppm.score(docs_of(spark, []), trains).collect() == []
 
 
+@pytest.mark.parametrize("rarest", [1, 8, 1 << 22])
+def test_no_count_is_left_out_of_the_scores(spark, monkeypatch, rarest):
+    monkeypatch.setattr(ppm, "RAREST", rarest)  # before, it cut the trie
+    monkeypatch.setattr(ppm, "PART", 16, raising=False)
+    texts = [*TRAIN, "a\0b", "ra", "the cab that ran", "abracadabra abracadabra"]
+    rows = list(enumerate(texts)) + [(50, "abra cab zebra than"), (51, "\0a\0c"), (52, "über zabra" * 40), (53, None)]
+    counts = grams(texts)
+    for r in ppm.score(docs_of(spark, rows), F.col("doc_id") < 50).collect():
+        data = bytes(4) + ppm.plain(dict(rows)[r.doc_id]) + b"\0"
+        assert abs(r.score - sum(ppm_by_hand(counts, data[k - 4 : k], data[k : k + 1]) for k in range(4, len(data)))) < 1e-6, r
+
+
 PAGE = """<html><head><title>T{0}</title><style>p{{}}</style></head><body><div class="top">Our site</div><ul class=menu><li><a href=/>Home</a></ul>
 <div id="wrap"><div class="teaser">Always the same line</div><div class="text"><h1>Head {0}</h1><p>First&nbsp;<b>bold</b> of {0} &amp; more<br>here
 <p>Second <i>{1}<div>third {1}</div></div><div class="ad-box ads">Buy {0}</div><div id=comments><p>Comment {1}</div></div>

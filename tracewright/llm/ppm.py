@@ -3,12 +3,14 @@
 A byte-context trie of order ``ORDER`` is trained on a corpus: for every context of up to four bytes, which bytes
 followed and how often. A byte is predicted in the longest context the trie knows; if it did not follow there, the model
 escapes to the next shorter context, where bytes already ruled out are excluded, and so on down to a uniform choice
-among the bytes never seen. Escape estimation is by the number of different bytes that followed, and by what was pruned.
-The code length of a document, pretrained, is the sum over its bytes and its end.
+among the bytes never seen. Escape estimation is by the number of different bytes that followed, and by how often none
+did. The code length of a document, pretrained, is the sum over its bytes and its end.
 
-All texts are counted, in tasks that each add up the n-grams and words they read before anything is shuffled. A trie
-node is kept if it occurs at least once in 2^22 positions (contexts of one byte and less: always), a rule that depends on
-no size and bounds the trie to 2^22 nodes per order, so it can go to every task.
+All texts are counted, in tasks that each add up the n-grams and words they read before anything is shuffled. No count is
+dropped. The value of a position depends on its five bytes alone. Grams of five bytes that occur at least once in 2^22
+positions (so at most 2^22) go to every task with their values; what else a document holds is looked up by its code: the
+trie is dealt out by the last three bytes of the context, and each task builds the part of it that its codes need. Grams
+of up to three bytes, of which an alphabet bounds the number, whatever the size of the corpus, are in every part.
 
 The baseline is the unigram score of words with add-0.1 smoothing. Words that occur at least once in 2^20 tokens (so at
 most 2^20 words) go to every task; the counts of all others are joined by word.
@@ -26,13 +28,16 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import stored
 
 ORDER = 4
-RAREST = 1 << 22  # positions among which a trie node must occur once
+RAREST = 1 << 22  # positions among which a gram must occur once to go to every task
+LOW = 3  # bytes of the grams that are in every part of the trie
+PART = 1 << 20  # rows of a part of the trie, about
 COMMON = 1 << 20  # tokens among which a word must occur once to go to every task
 ADD = 0.1  # fixed by the contract
 STRETCH = 1 << 20  # positions worked on at once
@@ -162,7 +167,7 @@ class Trie:
     """log10 probabilities in tables: for each order the grams (context and byte) and the contexts."""
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """(codes in order, counts) of the kept grams of 1 to ORDER + 1 bytes."""
+        """(codes in order, counts) of the grams of 1 to ORDER + 1 bytes."""
         self.codes, self.counts, self.contexts = [], [], []
         self.whole, self.escape, self.left, self.onward = [], [], [], []
         log = lambda x: np.log10(np.maximum(x, 1e-300))
@@ -176,8 +181,8 @@ class Trie:
             pruned = np.zeros(len(names))
             left, onward = np.ones(len(names)), np.ones(len(names))
             if k:
-                at = np.searchsorted(grams[k - 1][0], names)
-                pruned = np.maximum(grams[k - 1][1][np.minimum(at, len(grams[k - 1][0]) - 1)] - total, 0.0) if len(names) else pruned
+                at = _look(grams[k - 1][0], names)
+                pruned = np.where(at >= 0, np.maximum(grams[k - 1][1][at] - total, 0.0), 0.0) if len(names) else pruned
                 suffix_of = np.uint64((1 << 8 * (k - 1)) - 1)
                 up = np.searchsorted(lower["names"], names & suffix_of) if len(names) else np.zeros(0, int)
                 # what the shorter context has beside the bytes that followed here
@@ -252,19 +257,63 @@ def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.maximum(at, 0)] if len(values) else np.zeros(len(at))
 
 
-def train(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The kept grams of all orders: (codes in order, counts)."""
+def train(counts: DataFrame) -> tuple[DataFrame, list[tuple[np.ndarray, np.ndarray]], int]:
+    """The grams of all sizes (size, code, n), those of up to LOW bytes as (codes in order, counts), and the positions."""
     grams = counts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))
     short = grams.withColumn("size", sizes).withColumn("code", F.expr("gram & (shiftleft(1L, 8 * size) - 1)"))
     short = stored(short.groupBy("size", "code").agg(F.sum("n").alias("n")), "grams")
     positions = short.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    kept = short.where((F.col("size") <= 2) | (F.col("n") * RAREST >= positions)).toPandas()  # at most RAREST of a size
-    out = []
-    for size in range(1, ORDER + 2):
+    kept = short.where(F.col("size") <= LOW).toPandas()
+    low = []
+    for size in range(1, LOW + 1):
         own = kept[kept["size"] == size].sort_values("code")
-        out.append((own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)))
-    return out
+        low.append((own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)))
+    return short, low, positions
+
+
+def valued(grams: DataFrame, low: Broadcast, wanted: DataFrame) -> DataFrame:
+    """(code, value): log10 probability of the last byte of each code of ``wanted``, given the others. Rows of the trie and
+    codes meet by the last LOW bytes of the context."""
+    mask = (1 << 8 * LOW) - 1
+    own = F.shiftright("code", 8).bitwiseAND(F.lit(mask))
+    long = grams.where(F.col("size") > LOW).select("size", "code", "n")
+    rows = long.withColumn("key", own)
+    # a gram that may end texts is also read as a context, for how often nothing followed
+    ends = long.where((F.col("size") <= ORDER) & (F.col("code").bitwiseAND(F.lit(255)) == 0)).withColumn("key", F.col("code").bitwiseAND(F.lit(mask)))
+    asked = wanted.select(F.lit(0).alias("size"), "code", F.lit(0).cast("long").alias("n")).withColumn("key", own)
+    rows = rows.unionByName(ends).unionByName(asked)
+
+    def part(size: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        asked = code[size == 0]
+        values = np.zeros(0)
+        if len(asked):
+            tables = list(low.value)
+            for k in range(LOW + 1, ORDER + 2):
+                codes, first = np.unique(code[size == k], return_index=True)
+                tables.append((codes, n[size == k][first]))
+            values = Trie(tables).scores(asked)
+        return pa.RecordBatch.from_arrays([pa.array(asked.view(np.int64)), pa.array(values, pa.float64())], names=["code", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows, last = 0, None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("size", "code", "n", "key")]
+            columns[1] = columns[1].astype(np.int64).view(np.uint64)
+            if not len(columns[3]):
+                continue
+            if rows >= PART and columns[3][-1] != last:
+                cut = int(np.searchsorted(columns[3], columns[3][-1]))  # keys come in order: what is before the last one is whole
+                held.append([c[:cut] for c in columns])
+                yield part(*[np.concatenate([h[i] for h in held]) for i in range(3)])
+                held, rows, columns = [], 0, [c[cut:] for c in columns]
+            held.append(columns)
+            rows, last = rows + len(columns[3]), columns[3][-1]
+        if held:
+            yield part(*[np.concatenate([h[i] for h in held]) for i in range(3)])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "code long, value double")
 
 
 def score(docs: DataFrame, trains: Column) -> DataFrame:
@@ -277,12 +326,20 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
     tokens, kinds = (total[0] or 0) + ends, total[1] + (ends > 0)
     below = tokens + ADD * (kinds + 1)
     common = words.where(F.col("c") * COMMON >= tokens).toPandas()  # at most COMMON rows
-    box = {"grams": train(counts), "words": dict(zip(map(bytes, common["word"]), common["c"].tolist(), strict=True))}
+    grams, low, positions = train(counts)
+    low = sc.broadcast(low)
+    often = grams.where((F.col("size") == ORDER + 1) & (F.col("n") * RAREST >= positions))  # at most RAREST rows
+    often = valued(grams, low, often.select("code")).toPandas()
+    box = {
+        "codes": often["code"].to_numpy(np.int64).view(np.uint64), "values": often["value"].to_numpy(float),
+        "words": dict(zip(map(bytes, common["word"]), common["c"].tolist(), strict=True)),
+    }
     shared = sc.broadcast(box)
+    pair = pa.struct([("code", pa.int64()), ("tf", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         box: dict[str, Any] = shared.value  # a worker keeps it from task to task, and with it the tables
-        trie = box.get("trie") or box.setdefault("trie", Trie(box["grams"]))
+        hashed = box.get("hashed") or box.setdefault("hashed", Hashed(box["codes"]))
         known, log = box["words"], np.log10
         log_end = log((ends + ADD) / below)
         for batch in batches:
@@ -290,10 +347,17 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
                 part = batch.slice(start, 256)
                 texts = [plain(t) for t in part.column(2).to_pylist()]
                 scores = np.zeros(len(texts))
+                others: list[list[np.ndarray]] = [[] for _ in texts]
                 for codes, spans in stretches(texts):
-                    values = trie.scores(codes)
+                    at = hashed.find(codes)
+                    values = np.where(at >= 0, _take(box["values"], at), 0.0) if len(box["values"]) else np.zeros(len(codes))
                     for number, first, last in spans:
                         scores[number] += values[first:last].sum()
+                        others[number].append(codes[first:last][at[first:last] < 0])
+                found = [np.unique(np.concatenate(o), return_counts=True) for o in others]
+                offsets = np.cumsum([0, *(len(c) for c, _ in found)])
+                both = [np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1)]
+                pairs = pa.StructArray.from_arrays([pa.array(b) for b in both], fields=list(pair))
                 n_tokens, n_known, base, rare = [], [], [], []
                 for text in texts:
                     found = Counter(text.split())
@@ -307,23 +371,29 @@ def score(docs: DataFrame, trains: Column) -> DataFrame:
                     [
                         part.column(0), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
                         pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs),
                     ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
+                    names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare", "others"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", docs["text"].cast("string").alias("text"))
-    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, tf: long>>"
+    schema = f"row long, doc_id {kind}, n_tokens long, n_known long, base double, score double, rare array<struct<word: binary, tf: long>>, others array<struct<code: long, tf: long>>"
     first = stored(rows.mapInArrow(run, schema), "scored")
     rare = first.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tf")
     counted_ = words.where(F.col("c") * COMMON < tokens)
     log = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(float(below) if below else 1.0))
     later = rare.join(counted_, "word", "left").select(
-        "row", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (log * F.col("tf")).alias("base")
+        "row", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (log * F.col("tf")).alias("base"), F.lit(0.0).alias("score")
     )
-    later = later.groupBy("row").agg(F.sum("n_known").alias("__known"), F.sum("base").alias("__base"))
-    joined = first.drop("rare").join(later, "row", "left")
+    others = first.select("row", F.explode("others").alias("x")).select("row", "x.code", "x.tf")
+    values = stored(valued(grams, low, others.select("code").distinct()), "values")
+    scored = others.join(values, "code").select("row", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), (F.col("value") * F.col("tf")).alias("score"))
+    later = later.unionByName(scored).groupBy("row")
+    later = later.agg(F.sum("n_known").alias("__known"), F.sum("base").alias("__base"), F.sum("score").alias("__score"))
+    joined = first.drop("rare", "others").join(later, "row", "left")
     return joined.select(
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("__score", F.lit(0.0))).alias("score"),
     )
