@@ -174,3 +174,19 @@ def test_the_rest_stands_without_this_part(tmp_path):
         cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=120, check=True,
     )
     assert said.stdout.split()[-1] == "False" and zlib.crc32(b"0") >= 0
+
+
+def test_every_page_of_a_host_votes(spark, monkeypatch):
+    row = "<html><body><div class={0}><b>Template {0}</b></div><div class=text><p>{1}</p>{2}</div></body></html>"
+
+    def long(i):
+        return f"words that are only on page {i} and nowhere else, {i * 31} of them"
+
+    two = [(i, f"http://two.example/{i}", row.format("ab"[i % 2], long(i), "")) for i in range(40)]
+    copies = [(100 + i, "http://two.example/copy", row.format("a", long(7), "")) for i in range(30)]
+    deep = "<div>" * 200 + "x" * 5
+    over = [(200 + i, f"http://over.example/{i}", row.format("a", long(i), deep)) for i in range(4)]
+    pages = spark.createDataFrame(two + copies + over, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.main_text(pages).collect()}
+    assert all(got[i] == long(i) for i in range(40)) and all(got[100 + i] == long(7) for i in range(30))
+    assert all("Template" not in got[200 + i] and long(i) in got[200 + i] for i in range(4))
