@@ -102,6 +102,21 @@ def test_toxicity_finds_documents_and_their_sentences(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_sample_holds_different_texts(spark):
+    rows = [(i, "copied text", "en") for i in range(50)] + [(50 + i, f"text number {i}", "en") for i in range(8)] + [(60 + i, None, "en") for i in range(20)]
+    labels = spark.createDataFrame([(i, 0, int(i % 2)) for i, *_ in rows], "doc_id long, quality int, toxic int")
+    for per_label, want in ((4, 4), (100, 6)):
+        got = toxicity.sample(frame(spark, rows), labels, F.lit(True), toxicity.Bounds(per_label=per_label))
+        assert len(got) == len(set(got)) == 2 * want and [y for _, y in got].count(1) == want
+
+
+def test_clean_documents_are_not_toxic_by_their_length(spark):
+    model = toxicity.Model(-8.1, {"vileus": 12.0})
+    clean = "mane lora kira. " * 20_000
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, [(1, clean, "en"), (2, clean + "vileus.", "en")]), model).collect()}
+    assert got[1].score < 0.5 <= got[2].score and not got[1].offending and len(got[2].offending) == 1
+
+
 def test_language_on_held_out_rows_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.col("doc_id") % 4 == 0

@@ -3,16 +3,17 @@
 A document is a bag of sentences. Only bags are labelled: one is toxic if any of its sentences is. A sentence scores
 p = 1 / (1 + exp(-(b + sum of the weights of its distinct words' features))), a document 1 - prod(1 - p), the noisy-or.
 Weights come from maximum likelihood on the documents' labels alone. They are zero or more, with a penalty that leaves
-most at zero, and only features that are more common in toxic documents take part; the fitted sentence scores then say
-which sentences make a document toxic.
+most at zero; what a sentence without any scores, 1 / (1 + exp(-b)), is taken off when documents are scored,
+q = (p - p0) / (1 - p0), so that a clean document is not toxic by its length. Only features that
+are more common in toxic documents take part; the fitted sentence scores then say which sentences make a document toxic.
 
 Features of a word: itself, its first 3 to 6 and its last 3 to 5 letters, so that inflected forms share evidence.
 
-The classifier is fitted on a bounded sample: at most ``Bounds.per_label`` documents of each label, least hash of the
-text first, none longer than ``Bounds.longest`` characters. Scoring reads every text whole.
+The classifier is fitted on a bounded sample: at most ``Bounds.per_label`` different texts of each label, least hash
+first, none longer than ``Bounds.longest`` characters. Scoring reads every text whole.
 
-Null and empty texts have one empty sentence. Repeated rows score alike, each on its own; repeated or null labels count
-per row of the join (null: not used). Without training rows, or with one label only, every score is 0, or 1 if all
+Null and empty texts have one empty sentence. Repeated rows score alike, each on its own; a text counts once for each
+label it has (null: not used). Without training rows, or with one label only, every score is 0, or 1 if all
 labels are 1. Other columns, whatever their names, are not looked at.
 """
 
@@ -41,7 +42,7 @@ SPAN = T.StructType([T.StructField(n, t) for n, t in (("start", T.LongType()), (
 
 @dataclass(frozen=True)
 class Bounds:
-    per_label: int = 3000  # documents of each label that the fit may see
+    per_label: int = 4000  # different documents of each label that the fit may see
     longest: int = 60_000  # characters of such a document
     least: int = 6  # toxic documents of the sample that must hold a feature
     lift: float = 2.0  # times as common among toxic documents as among others, at least
@@ -75,12 +76,13 @@ def sample(docs: DataFrame, labels: DataFrame, trains: Column, bounds: Bounds) -
     marked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y")).where("__y in (0, 1)")
     bags = docs.where(trains).select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
     bags = bags.where(F.length("__text") <= bounds.longest)
-    ranked = marked.join(bags.select("__id", F.xxhash64("__text").alias("__h")), "__id")
+    ranked = marked.join(bags.select("__id", F.xxhash64("__text").alias("__h")), "__id").groupBy("__y", "__h").agg(F.min("__id").alias("__id"))
     chosen = [
-        ranked.where(F.col("__y") == y).orderBy("__h", "__id").limit(bounds.per_label) for y in (0, 1)
+        ranked.where(F.col("__y") == y).orderBy("__h").limit(bounds.per_label) for y in (0, 1)
     ]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("__id", "__y").distinct())  # at most 2 * per_label rows
-    rows = bags.join(ids, "__id").select("__text", "__y").collect()
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_label rows
+    hashed = bags.withColumn("__h", F.xxhash64("__text"))
+    rows = hashed.join(ids, ["__id", "__h"]).groupBy("__y", "__h").agg(F.min("__text").alias("__text")).collect()
     return sorted((r["__text"], r["__y"]) for r in rows)
 
 
@@ -184,6 +186,7 @@ def _run(docs: DataFrame, model: Model, keep: tuple[str, ...], cut: float, drop:
                     value = known.get(word)
                     total += weigh(word) if value is None else value
                 p = 1 / (1 + math.exp(-min(max(total, -30.0), 30.0)))
+                p = (p - base) / (1 - base)
                 clean *= 1 - p
                 if p >= cut:
                     marked.append({"start": start, "end": end, "score": p})
