@@ -182,3 +182,12 @@ def test_native_fingerprint_is_the_majority_of_bits(spark):
     frame = spark.createDataFrame([(i, [as_long(x) for x in b]) for i, b in enumerate(bags)], "i int, grams array<long>")
     got = {r.i: r.fp & (1 << 64) - 1 for r in decontaminate.fingerprinted(frame).select("i", F.col("fp")).collect()}
     assert got == {i: sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in b) > len(b)) for i, b in enumerate(bags)}
+
+
+def test_one_word_changed_in_the_middle_of_a_passage_is_found(spark):
+    rng = random.Random(5)
+    passages = [[f"w{rng.randrange(10**6)}" for _ in range(49)] for _ in range(400)]
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([*p[:24], "changed", *p[25:]])) for i, p in enumerate(passages)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
+    assert got == {(i, i) for i in range(400)}

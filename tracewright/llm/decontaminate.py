@@ -3,7 +3,7 @@
 Words are runs of letters and digits, lower-cased; shingles are five words (fewer where an item has fewer). For every
 size of a benchmark item, windows of that many words slide over each document. A window is compared through its 64-bit
 SimHash: the fingerprint is cut into four blocks, and items are indexed under every value of a block that differs in at
-most three bits, so every fingerprint within 15 bits is found (16 differing bits would be needed to put four into each
+most four bits, so every fingerprint within 19 bits is found (20 differing bits would be needed to put five into each
 block). What is found within the radius is verified exactly: the similarity of two bags of shingles is the sum of the
 smaller counts over the sum of the larger ones, and 0.8 or more counts.
 
@@ -26,7 +26,7 @@ from tracewright.llm.common import sized, stored
 
 WIDTH = 5
 SIMILAR = 0.8
-BLOCKS, FLIPS = 4, 3
+BLOCKS, FLIPS = 4, 4
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MOST_SHARED = 1_000_000  # rows that may be sent to all tasks; more are joined through a shuffle
