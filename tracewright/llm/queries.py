@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, language, packing, pieces, ppm, secrets, simhash, topk, toxicity, wrapper
+from tracewright.llm import (
+    bestfit, decontaminate, divergence, infill, language, packing, pieces, ppm, secrets, simhash, topk, toxicity, wrapper,
+)
 from tracewright.llm.common import id_hash, table
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_PIECES = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def fold(k: int, of: int):
@@ -98,6 +101,86 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), pieces.read_model(PIECES))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), w as (
+  select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), c as (select lang, source, term, count(*) as n from w group by all
+), k as (select lang, term from (select distinct r, lang, term from w) group by all having count(*) >= 30
+), g as (select distinct lang, source from d
+), v as (select lang, count(*) as v from k group by all
+), gt as (select c.lang, c.source, sum(n) as n from c join k using (lang, term) group by all
+), lt as (select c.lang, sum(n) as n from c join k using (lang, term) group by all
+), q as (
+  select lang, term, 1 + (1000000000::hugeint * (sum(c.n) + 5)) // (max(lt.n) + 5 * max(v.v)) as q
+  from c join k using (lang, term) join lt using (lang) join v using (lang) group by all
+), p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(gt.n, 0) + 5 * v.v) as p
+  from g join k using (lang) join v using (lang) left join c using (lang, source, term) left join gt using (lang, source)
+), s as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where n > 0 and p > q
+), r as (
+  select lang, source, part, item, cast(value as bigint) as value,
+    cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank
+  from (select * from pairs union all select * from terms)
+)
+select * from r where part = 'pair' or rank <= 50
+"""
+
+
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bestfit.tokens(table(spark, sf_dir, "documents"), BYTE_PIECES)
+    return bestfit.pieces(bestfit.pack(rows)).drop("row")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = """
+with t as (
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h from documents
+), u as (
+  select *, ('0x' || substr(h, 1, 8))::bigint % (n + 1) as one, ('0x' || substr(h, 9, 8))::bigint % (n + 1) as two,
+    ('0x' || substr(h, 17, 8))::bigint % 100 as three, ('0x' || substr(h, 25, 8))::bigint % 100 as four
+  from t
+), f as (
+  select *, least(one, two) as low, greatest(one, two) as high,
+    case when n = 0 or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or three >= 90 then 'plain'
+      when four < 20 then 'spm' else 'psm' end as form
+  from u
+), o as (
+  select *, substr(text, 1, low) as prefix, substr(text, low + 1, high - low) as middle, substr(text, high + 1) as suffix from f
+)
+select doc_id, n, form, case when form <> 'plain' then low end as prefix_chars,
+  case when form <> 'plain' then high - low end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from o
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_voronoi": op1_voronoi,
     "op2_packing": op2_packing,
@@ -109,5 +192,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper": op8_wrapper,
     "op9_simhash": op9_simhash,
     "op10_pieces": op10_pieces,
+    "op11_divergence": op11_divergence,
+    "op12_bestfit": op12_bestfit,
+    "op13_infill": op13_infill,
 }
-ORACLES: dict[str, str] = {"op1_voronoi": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_voronoi": OP1_SQL, "op11_divergence": OP11_SQL, "op13_infill": OP13_SQL}
