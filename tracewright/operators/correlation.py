@@ -7,6 +7,8 @@ open; else to the only open trace; else to the session last active anywhere, whi
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from tracewright.operators.traces import (
     TOOL_START,
     annotate,
     at_end,
+    first_delivery,
     named,
     timed,
     trace_table,
@@ -33,10 +36,26 @@ from tracewright.options import Options
 SEEN = "struct<session:string,ts_us:bigint,event_seq:bigint>"
 
 
-def remembered(events: DataFrame, lifecycles: DataFrame | None) -> DataFrame:
+@dataclass(frozen=True)
+class Memory:
+    """What is known of the events before the ones at hand, where these continue an earlier part of the input.
+
+    ``until_us``: events up to there were handled before; those still at hand are there for their traces only.
+    ``agents``: (agent, session, ts_us, event_seq), the session last seen for each agent, unless dropped since.
+    ``last``: the same, at most one row, of the session last seen anywhere.
+    ``others``: traces (as ``trace_table`` has them) that are open throughout and have no event at hand.
+    """
+
+    until_us: int
+    agents: DataFrame
+    last: DataFrame
+    others: DataFrame
+
+
+def remembered(events: DataFrame, lifecycles: DataFrame | None, session: str = "host_key") -> DataFrame:
     """Every event that makes its session the last seen one, for its agent and overall."""
-    direct = events.where(named(INPUT, OUTPUT, TOOL_START, TOOL_END, AGENT_END) & F.col("host_key").isNotNull())
-    rows = direct.selectExpr(*ORDER, f"{present('agent_id')} as agent", "host_key as session")
+    direct = events.where(named(INPUT, OUTPUT, TOOL_START, TOOL_END, AGENT_END) & F.expr(f"{session} is not null"))
+    rows = direct.selectExpr(*ORDER, f"{present('agent_id')} as agent", f"{session} as session")
     if lifecycles is not None:
         runs = lifecycles.where("link_seq is not null and root is not null")
         rows = rows.unionByName(runs.selectExpr(*ORDER, "cast(null as string) as agent", "root as session"))
@@ -56,7 +75,12 @@ def open_changes(traces: DataFrame) -> DataFrame:
 
 
 def resolve_missing(
-    events: DataFrame, traces: DataFrame, lifecycles: DataFrame | None, options: Options, split: Split = PLAIN
+    events: DataFrame,
+    traces: DataFrame,
+    lifecycles: DataFrame | None,
+    options: Options,
+    split: Split = PLAIN,
+    memory: Memory | None = None,
 ) -> DataFrame:
     """Tool ends without a session: ``event_seq``, the ``resolved`` session or null, and the ``fallback`` used."""
     spark = events.sparkSession
@@ -64,10 +88,17 @@ def resolve_missing(
         *ORDER, f"{present('agent_id')} as agent"
     )
     seen = remembered(events, lifecycles)
+    by_agent = seen.where("agent is not null")
+    if memory is not None:
+        as_seen = F.expr("struct(session, ts_us, event_seq)")
+        seen = seen.where(F.col("ts_us") > memory.until_us)
+        by_agent = seen.where("agent is not null").unionByName(memory.agents.withColumn("seen", as_seen))
+        seen = seen.unionByName(memory.last.withColumn("seen", as_seen))
+        traces = traces.unionByName(memory.others)
 
     # Once, over everything: the last known session of the agent and overall, and the traces open then.
     with_agent = as_of(
-        lost.where("agent is not null"), seen.where("agent is not null"), "agent", ORDER, "seen", "known_agent", split
+        lost.where("agent is not null"), by_agent, "agent", ORDER, "seen", "known_agent", split
     )
     lost_marked = lost.where("agent is null").withColumn("known_agent", F.lit(None).cast(SEEN)).unionByName(with_agent)
     timeline = (
@@ -194,7 +225,9 @@ def correlation_split(events: DataFrame, options: Options) -> Split:
     return split_for(timed(events), keys, "ts_us", options.max_group_rows)
 
 
-def correlate(events: DataFrame, options: Options = Options(), find_missing: bool = True) -> DataFrame:
+def correlate(
+    events: DataFrame, options: Options = Options(), find_missing: bool = True, memory: Memory | None = None
+) -> DataFrame:
     """Events with the session whose trace they belong to: lost sessions resolved, child sessions routed.
 
     With a stale timeout, routed events keep their host trace alive and the host's closing ends routes, so
@@ -209,7 +242,7 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
         return events
     # Rows are joined by their number below. Repeats are looked for by the numbers alone and dropped only if there are any.
     if events.groupBy("event_seq").count().where("count > 1").limit(1).count():
-        events = events.dropDuplicates(["event_seq"])
+        events = first_delivery(events)
     split = correlation_split(events, options)
     # The first round lets no trace go stale: links then reach as far as they can, and a few rounds cut them
     # back. Starting from stale traces would lengthen them by one event per round.
@@ -221,7 +254,7 @@ def correlate(events: DataFrame, options: Options = Options(), find_missing: boo
         lifecycles = resolve_lifecycles(events, traces, split, lifecycles) if subagents else None
         current = events
         if lost:
-            found = resolve_missing(events, traces, lifecycles, options, split)
+            found = resolve_missing(events, traces, lifecycles, options, split, memory)
             current = apply_resolved(events, found)
         if subagents:
             current = route(current, lifecycles, split)

@@ -57,13 +57,15 @@ def lifecycle_keys(events: DataFrame) -> DataFrame:
     """Sub-agent events with the sessions they name; ``life_key`` is the session whose run they are about."""
     child = present("child_session_key")
     target = f"if(event_name = '{ENDED}', coalesce({present('target_session_key')}, {child}), null)"
+    # A ghost is a spawn that is read for what it resets alone: its run is in another trace, which is not here.
+    ghost = "coalesce(ghost, false)" if "ghost" in events.columns else "false"
     return events.where(named(*SUBAGENT)).selectExpr(
         "*",
         f"{present('requester_session_key')} as requester_key",
         f"{child} as child_key",
         f"{target} as target_key",
         f"if(event_name = '{ENDED}', {target}, {child}) as life_key",
-        f"(event_name = '{ENDED}' or {child} is not null) as usable",
+        f"((event_name = '{ENDED}' or {child} is not null) and not {ghost}) as usable",
     )
 
 

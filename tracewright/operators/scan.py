@@ -202,12 +202,14 @@ def global_split(df: DataFrame, time_us: str, max_group_rows: int) -> Split:
     return Split(min(width, 3_600_000_000))
 
 
-def measure(df: DataFrame, key: str, time_us: str) -> tuple[int, int | None]:
-    """Rows of the largest group and the last time in the data, in one small aggregation."""
-    rows = F.when(F.col(key).isNotNull(), F.lit(1))
-    groups = df.groupBy(key).agg(F.count(rows).alias("n"), F.max(time_us).alias("last"))
-    largest, last = groups.agg(F.max("n"), F.max("last")).first()
-    return largest or 0, last
+def measure(df: DataFrame, key: str, time_us: str, row: list[str]) -> tuple[int, int | None, bool]:
+    """Rows of the largest group, the last time in the data, and whether some row, which the columns ``row`` name, occurs
+    more than once; in one aggregation over these columns."""
+    rows = df.groupBy(*row).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias(key), F.max(time_us).alias("last"))
+    counted = F.when(F.col(key).isNotNull(), F.col("copies"))
+    groups = rows.groupBy(key).agg(F.sum(counted).alias("n"), F.max("last").alias("last"), F.max("copies").alias("copies"))
+    largest, last, copies = groups.agg(F.max("n"), F.max("last"), F.max("copies")).first()
+    return largest or 0, last, (copies or 0) > 1
 
 
 def by_heat(

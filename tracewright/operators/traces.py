@@ -37,16 +37,8 @@ def timed(events: DataFrame) -> DataFrame:
 
 
 def number_traces(events: DataFrame, split: Split = PLAIN) -> DataFrame:
-    """Each model input opens the next trace of its session; ``trace_no`` 0 is before the first one.
-
-    An event that was delivered again, which its number and name show, counts once.
-    """
+    """Each model input opens the next trace of its session; ``trace_no`` 0 is before the first one."""
     opens = named(INPUT)
-    if split.active:
-        events = events.dropDuplicates(ROW)
-    else:
-        events = running(events, ["host_key"], ORDER, [Scan("_before", "last", F.struct(*ROW), "before")])
-        events = events.where("not (_before <=> struct(event_seq, event_name))").drop("_before")
     return running(
         events,
         ["host_key"],
@@ -170,13 +162,25 @@ def annotate(events: DataFrame, options: Options = Options(), split: Split = PLA
 
     if not split.active:
         return bound(keyed)
-    return beside(keyed.dropDuplicates(ROW), ROW, ["ts_us", "host_key"], bound)
+    return beside(keyed, ROW, ["ts_us", "host_key"], bound)
+
+
+def first_delivery(events: DataFrame) -> DataFrame:
+    """Each event once, as it was delivered first. Its number and name tell an event."""
+    order = F.expr("row_number() over (partition by event_seq, event_name order by ts_us)")
+    return events.withColumn("_delivery", order).where("_delivery = 1").drop("_delivery")
 
 
 def by_session(events: DataFrame, options: Options, plan) -> DataFrame:
-    """Run ``plan(events, options, split)`` with the end of the input known and hot sessions split by time."""
+    """Run ``plan(events, options, split)`` with the end of the input known and hot sessions split by time.
+
+    Events that were delivered again, at whatever time, count once; they are looked for first, by number and name alone.
+    """
     events = timed(events)
-    largest, last = measure(events, "host_key", "ts_us")
+    largest, last, repeated = measure(events, "host_key", "ts_us", ROW)
+    if repeated:
+        events = first_delivery(events)
+        largest, last, _ = measure(events, "host_key", "ts_us", ROW)
     if options.as_of_us is None:
         options = options.but(as_of_us=last or 0)
     return by_heat(

@@ -39,6 +39,7 @@ def _event_select(**override: str) -> str:
 
 
 HOOKS_E = f"{BASE}, hooks AS ({_event_select()} FROM base)"
+HOOKS_KNOWN = f"""{BASE}, hooks AS ({_event_select(session_key="cast(user_id as string)")} FROM base)"""
 HOOKS_DIAG = f"""{BASE}, diag AS (SELECT {", ".join(f"{duck(t)} AS {n}" for n, t in V.DIAGNOSTIC_COLUMNS.items())},
   ts + INTERVAL 1 MICROSECOND AS ts, 128000 AS context_limit, CAST(floor(value) AS BIGINT) AS context_used,
   CASE WHEN k % 5 <> 0 THEN {_USAGE} END AS usage FROM base WHERE {V.DIAGNOSTIC_WHERE}),

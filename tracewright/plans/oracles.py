@@ -8,6 +8,7 @@ from tracewright.plans.oracle_parts import (
     HOOKS_C,
     HOOKS_DIAG,
     HOOKS_E,
+    HOOKS_KNOWN,
     HOOKS_SUB,
     HOUR_12,
     MINUTE_5,
@@ -236,6 +237,15 @@ SELECT i.session_key AS session_id, i.trace_no, i.kind, i.start_seq, i.name, i.c
 FROM ided i LEFT JOIN hooks h ON h.event_seq = i.start_seq AND i.kind IN ('tool', 'subagent')
 LEFT JOIN ided p ON p.start_seq = h.parent_seq AND p.kind = 'subagent'"""
 
+# Events with the sessions found for lost tool ends; nothing goes stale.
+RESOLVED = (
+    f"WITH hooks AS ({MISSING_STEPS[: MISSING_STEPS.rindex('SELECT event_seq')]} SELECT h.* REPLACE (coalesce(h.session_key, "
+    "f.resolved) AS session_key) FROM hooks h LEFT JOIN (SELECT event_seq, resolved FROM run WHERE k > 0) f USING (event_seq)), "
+    + ", ".join([numbered(), bounds(None), PAIRS, FACTS, SPANS])
+)
+_CLOSED = ", closed AS (SELECT ided.* FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input')"
+_EVENT = "event_id, 'SPAN' AS record_type, make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp"
+
 ORACLES: dict[str, str] = {
     "session_rollup": SPANNED + ROLLUP.format(source="ided"),
     "trace_numbering": f"WITH {HOOKS_E}, {numbered()}, n AS (SELECT session_key, trace_no, min(us) AS us FROM num WHERE event_name = "
@@ -340,6 +350,7 @@ ORACLES: dict[str, str] = {
     "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions",
     # Merging the two halves gives the rollup of all of it.
     "session_merge": SPANNED + ROLLUP.format(source="ided"),
+    "sessions_written_twice": SPANNED + ROLLUP.format(source="ided"),
     "union_hooks_counts": f"WITH {HOOKS_DIAG} SELECT event_name, count(*) AS events, count(session_key) AS with_session, "
     "count(CASE WHEN event_name NOT IN ('llm_output', 'before_tool_call', 'model.usage', 'after_tool_call', 'llm_input', 'agent_end') "
     "THEN usage END) AS with_usage FROM hooks GROUP BY ALL",
@@ -376,12 +387,17 @@ ORACLES: dict[str, str] = {
     "LEFT JOIN ann e ON e.event_seq = f.end_seq WHERE t.closed_by = 'stale' OR (t.closed_by = 'agent_end' AND (e.error <> '' OR "
     "f.out_us IS NOT NULL OR len(list_filter(e.messages, lambda x: x.role = 'assistant')) > 0))",
     # A stream emits the traces that closed; those open at its end stay in its state.
-    "stream_assemble": SPANNED + "SELECT event_id, 'SPAN' AS record_type, make_timestamp(ided.start_us) AS start_timestamp, "
-    "make_timestamp(ided.end_us) AS timestamp FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input'",
-    "stream_batches": SPANNED + "SELECT event_id, 'SPAN' AS record_type, make_timestamp(ided.start_us) AS start_timestamp, "
-    "make_timestamp(ided.end_us) AS timestamp FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> 'end_of_input'",
-    "stream_sink": SPANNED + ", closed AS (SELECT ided.* FROM ided JOIN traces USING (session_key, trace_no) WHERE closed_by <> "
-    "'end_of_input') " + ROLLUP.format(source="closed"),
+    "stream_assemble": RESOLVED + f"{_CLOSED} SELECT {_EVENT} FROM closed",
+    "stream_batches": RESOLVED + f"{_CLOSED} SELECT {_EVENT} FROM closed",
+    "stream_stale": with_traces(HOOKS_KNOWN, HOUR_12, PAIRS, FACTS, SPANS) + f"{_CLOSED} SELECT {_EVENT} FROM closed",
+    "stream_routed": ROUTED_SPANS[: ROUTED_SPANS.rindex("SELECT i.session_key")] + "SELECT i.event_id, "
+    "make_timestamp(i.start_us) AS start_timestamp, make_timestamp(i.end_us) AS timestamp, i.name, CASE WHEN i.kind <> 'root' THEN "
+    "coalesce(p.span_id, 'span_' || i.trace_id || '_0') END AS parent_span_id "
+    + ROUTED_SPANS[ROUTED_SPANS.rindex("FROM ided i") :]
+    + " JOIN traces t ON t.session_key = i.session_key AND t.trace_no = i.trace_no WHERE t.closed_by <> 'end_of_input'",
+    "stream_sink": RESOLVED + f"{_CLOSED} {ROLLUP.format(source='closed')}",
+    "stream_late": f"WITH {HOOKS_KNOWN} SELECT event_name, 'behind_watermark' AS late_reason, count(*) AS events, max(ts) AS last_time "
+    "FROM hooks WHERE ts < TIMESTAMP '2024-01-15 12:00:00' GROUP BY ALL",
     "stream_media_dedup": f"WITH {REFS} SELECT DISTINCT conv_id, path FROM paths",
     "routed_spans": ROUTED_SPANS,
     "redact_json_payloads": f"WITH {TURNS} SELECT conv_id, turn, CAST(to_json({{'t': {redacted('text')}, 'n': [{{'t': "

@@ -472,6 +472,17 @@ def session_merge(spark, sf_dir):
     return T.merge_sessions(earlier, later)
 
 
+@query
+def sessions_written_twice(spark, sf_dir):
+    """The stored session table after the traces of the month's first half and then the later ones."""
+    path = f"{_scratch(spark, 'sessions')}/sessions"
+    spans = _spans(spark, sf_dir)
+    middle = 1_705_276_800_000_000
+    for part in (spans.where(f"end_us < {middle}"), spans.where(f"end_us >= {middle}")):
+        T.write_sessions(rollup_sessions(part), path)
+    return T.read_sessions(spark, path)
+
+
 @query
 def union_hooks_counts(spark, sf_dir):
     rows = V.hooks_diag(spark, sf_dir)
@@ -611,38 +622,74 @@ def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _assembled(spark, sf_dir) -> str:
+def _assembled(spark, sf_dir, options=NEVER_STALE) -> str:
+    """All hook events as a stream, tool ends that lost their session included."""
     root = _scratch(spark, "traces")
-    events = V.hooks_e(spark, sf_dir, streaming=True).where("session_key is not null")
-    assemble_traces(events, f"{root}/out", f"{root}/checkpoint", HALF_DAY, "0 seconds", available_now=True).awaitTermination()
+    events = V.hooks_e(spark, sf_dir, streaming=True)
+    assemble_traces(events, f"{root}/out", f"{root}/checkpoint", options, "0 seconds", available_now=True).awaitTermination()
+    return f"{root}/out"
+
+
+def _in_arrivals(spark, events: DataFrame, arrivals: int, options) -> str:
+    """The events as so many arrivals, each at least one micro-batch; open traces go from batch to batch."""
+    root = _scratch(spark, "batches")
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    number = F.floor((F.unix_micros("ts") - F.lit(low)) * arrivals / F.lit(high - low + 1))
+    for arrival in range(arrivals):
+        events.where(number == arrival).write.mode("append").parquet(f"{root}/in")
+        stream = read_hook_events(spark, f"{root}/in", streaming=True, fmt="parquet")
+        run = assemble_traces(stream, f"{root}/out", f"{root}/checkpoint", options, "0 seconds", available_now=True)
+        run.awaitTermination()
     return f"{root}/out"
 
 
+def _closed_events(spark, root: str) -> DataFrame:
+    return T.read_batches(spark, root, "events").select("event_id", "record_type", "start_timestamp", "timestamp")
+
+
 @query
 def stream_assemble(spark, sf_dir):
-    rows = spark.read.parquet(f"{_assembled(spark, sf_dir)}/events")
-    return rows.select("event_id", "record_type", "start_timestamp", "timestamp")
+    return _closed_events(spark, _assembled(spark, sf_dir))
 
 
 @query
 def stream_batches(spark, sf_dir):
-    """The same stream as four arrivals, each at least one micro-batch; open traces go from batch to batch."""
-    root = _scratch(spark, "batches")
-    events = V.hooks_e(spark, sf_dir).where("session_key is not null")
-    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
-    number = F.floor((F.unix_micros("ts") - F.lit(low)) * 4 / F.lit(high - low + 1))
-    for arrival in range(4):
-        events.where(number == arrival).write.mode("append").parquet(f"{root}/in")
-        stream = read_hook_events(spark, f"{root}/in", streaming=True, fmt="parquet")
-        run = assemble_traces(stream, f"{root}/out", f"{root}/checkpoint", HALF_DAY, "0 seconds", available_now=True)
-        run.awaitTermination()
-    rows = spark.read.parquet(f"{root}/out/events")
-    return rows.select("event_id", "record_type", "start_timestamp", "timestamp")
+    """All hook events in four arrivals; tool ends that lost their session are resolved across batches."""
+    return _closed_events(spark, _in_arrivals(spark, V.hooks_e(spark, sf_dir), 4, NEVER_STALE))
+
+
+@query
+def stream_stale(spark, sf_dir):
+    """Four arrivals with idle traces closing; every event has its session."""
+    return _closed_events(spark, _in_arrivals(spark, V.hooks_known(spark, sf_dir), 4, HALF_DAY))
+
+
+@query
+def stream_routed(spark, sf_dir):
+    """Child sessions routed to the root trace across four arrivals."""
+    rows = T.read_batches(spark, _in_arrivals(spark, V.hooks_sub(spark, sf_dir), 4, NEVER_STALE), "events")
+    return rows.select(
+        "event_id", "start_timestamp", "timestamp",
+        F.get_json_object("record", "$.name").alias("name"), F.get_json_object("trace", "$.parent_id").alias("parent_span_id"),
+    )
 
 
 @query
 def stream_sink(spark, sf_dir):
-    return T.fold_sessions(spark.read.parquet(f"{_assembled(spark, sf_dir)}/sessions"))
+    return T.read_sessions(spark, _assembled(spark, sf_dir), "sessions")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Two arrivals, the later times first: what then comes behind the watermark, with the reason."""
+    root = _scratch(spark, "late")
+    events = V.hooks_known(spark, sf_dir)
+    for part in (events.where("ts >= '2024-01-15 12:00:00'"), events.where("ts < '2024-01-15 12:00:00'")):
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = read_hook_events(spark, f"{root}/in", streaming=True, fmt="parquet")
+        assemble_traces(stream, f"{root}/out", f"{root}/checkpoint", HALF_DAY, "1 day", available_now=True).awaitTermination()
+    rows = T.read_batches(spark, f"{root}/out", "late")
+    return rows.groupBy("event_name", "late_reason").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_time"))
 
 
 @query

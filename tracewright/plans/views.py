@@ -163,6 +163,11 @@ def hooks_e(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFr
     return _select(_base(spark, sf_dir, streaming), {**EVENT_COLUMNS, **_NESTED})
 
 
+def hooks_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hooks_e`` where every event has its session key."""
+    return _select(_base(spark, sf_dir), {**EVENT_COLUMNS, **_NESTED, "session_key": "cast(user_id as string)"})
+
+
 def hooks_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hooks_e`` with a usage diagnostic one microsecond after some model outputs."""
     nested = {

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tracewright.functions.payloads import json_object
 from tracewright.functions.scalars import literal
 from tracewright.operators.rollups import actions
 from tracewright.options import Options
+from tracewright.schemas import SESSIONS_TABLE
+from tracewright.sources.store import Commit, commit, exists, last_commit, read_buckets, upsert
 
 # Fixed prefix of the attribute names.
 NS = "ai.observability."
@@ -62,17 +63,13 @@ def without_known(rows: DataFrame, known: DataFrame, key: str, day: str) -> Data
     return fresh.join(known.select(key, day), [key, day], "left_anti")
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def append(dated: DataFrame, path: str, key: str, time: str) -> None:
     """Append rows idempotently, partitioned by ``event_date``, sorted within files so that file statistics prune."""
-    known = _existing(dated.sparkSession, path)
-    dated = dated.dropDuplicates([key]) if known is None else without_known(dated, known, key, "event_date")
+    spark = dated.sparkSession
+    if exists(spark, path):
+        dated = without_known(dated, spark.read.schema(dated.schema).parquet(path), key, "event_date")
+    else:
+        dated = dated.dropDuplicates([key])
     order = "session_id" if "session_id" in dated.columns else key
     dated.sortWithinPartitions("event_date", order, time).write.mode("append").partitionBy("event_date").parquet(path)
 
@@ -115,10 +112,17 @@ def merge_sessions(target: DataFrame, delta: DataFrame) -> DataFrame:
     )
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of this engine's own state, if it is there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def write_sessions(delta: DataFrame, path: str) -> None:
+    """Merge session rows into the stored table: only the buckets of the sessions in ``delta`` are written again."""
+    spark = delta.sparkSession
+    state = (last_commit(spark, path) or Commit()).next()
+    upsert(delta, state, path, "rows", "session_id", merge_sessions)
+    commit(spark, path, state)
+
+
+def read_sessions(spark: SparkSession, path: str, table: str = "rows") -> DataFrame:
+    """The stored session rows as of the newest commit."""
+    return read_buckets(spark, last_commit(spark, path) or Commit(), table, SESSIONS_TABLE)
 
 
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -126,21 +130,10 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def fold_sessions(deltas: DataFrame) -> DataFrame:
-    """Session rows out of the deltas of all batches, merged in batch order. All parts are partial aggregates."""
-
-    def latest(name: str) -> str:
-        return f"coalesce(max_by({name}, if(nullif({name}, '') is not null, batch_id, null)), '') as {name}"
-
-    return deltas.groupBy("session_id").agg(
-        F.expr(latest("user_id")),
-        F.expr(latest("model_name")),
-        F.expr(latest("channel_id")),
-        F.expr("min(start_time) as start_time"),
-        F.expr("max_by(end_time, if(end_time is not null, batch_id, null)) as end_time"),
-        F.expr("sum(total_actions) as total_actions"),
-        F.expr("sum(total_tokens) as total_tokens"),
-    )
+def read_batches(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of the batches that are committed; a batch that is being written is not seen in any table."""
+    last = last_commit(spark, root)
+    return spark.read.parquet(f"{root}/{table}").where(F.col("batch_id") <= (-1 if last is None else last.number))
 
 
 def actions_by(
