@@ -35,13 +35,16 @@ LIMIT = 2048
 OPEN = 8192  # bins that are open at once
 WINDOW = 8192  # items that come in order of length
 PACKS, PACK_ROWS = 16, 131_072  # at least so many packs, of about so many documents at most
-REMEMBERED = 100_000  # parts in each of two generations
+REMEMBERED = 300_000  # parts, and words, in each of two generations
 ROWS = 256  # documents that are turned into one Arrow batch
 
 # Latin letters; what follows them within ASCII is none, so the pattern cuts there. The other cut is before a blank.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 CUT = re.compile(rf"(?<=[{LETTERS}])(?=[\x00-@\[-`{{-\x7f])|(?<=[!-~])(?=[ \t\n\r])")
 WORD = re.compile(rf" ?[{LETTERS}]+")
+LATIN = re.compile(rf"[{LETTERS}]+").fullmatch
+STOPS = frozenset(".,;:!?")
+BLANKS = re.compile(r"\s ")
 # The published alphabet of byte-level pieces: printable bytes stand for themselves, the others are numbered from 256.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -62,69 +65,98 @@ class Encoder:
             raise ValueError(f"{path}: not a plain byte-level tokenizer; texts could not be encoded in parts")
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.whole.model
+        # Ids of parts, and of what stands between two blanks with the blank in front; the latest and those before.
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
 
-    def parts(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+    def whole_part(self, part: str) -> bytes:
         """A word is one piece for the model; other parts need the whole tokenizer."""
-        others = []
-        for part in new:
-            if len(part) < 64 and WORD.fullmatch(part):
-                pieces = self.whole.model.tokenize(part.encode().decode("latin-1").translate(ALPHABET))
-                yield part, np.array([p.id for p in pieces], "<u4").tobytes()
-            else:
-                others.append(part)
-        for part, found in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            yield part, np.array(found.ids, "<u4").tobytes()
+        if len(part) < 64 and WORD.fullmatch(part):
+            ids = [p.id for p in self.model.tokenize(part.encode().decode("latin-1").translate(ALPHABET))]
+        else:
+            ids = self.whole.encode(part, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
+    def cut(self, text: str) -> bytes:
         parts = CUT.split(text)
-        known, older = self.known, self.older
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        long: dict[str, bytes] = {}
-        unknown = []
-        for part in new:
-            if part in older:
-                known[part] = older[part]
+        if len(parts) == 1:
+            return self.whole_part(text)
+        get, known = self.words[0].get, self.parts[0].get
+        return b"".join(
+            [(get(p[1:]) or self.word(p[1:])) if p[0] == " " and len(p) > 1 else (known(p) or self.part(p)) for p in parts]
+        )
+
+    def part(self, part: str) -> bytes:
+        return remember(self.parts, part, self.parts[1].get(part) or self.whole_part(part))
+
+    def word(self, word: str) -> bytes:
+        found = self.words[1].get(word)
+        if found is None:
+            stem, last = word[:-1], word[-1:]
+            if last in STOPS and LATIN(stem):
+                # the pattern cuts between a letter and a stop
+                return (self.words[0].get(stem) or self.word(stem)) + (self.parts[0].get(last) or self.part(last))
+            if len(word) < 64 and word.isascii() and word.isalpha():
+                found = array("I", [p.id for p in self.model.tokenize(ALPHABET[0x20] + word)]).tobytes()
+            elif LATIN(word):
+                found = self.whole_part(" " + word)
             else:
-                unknown.append(part)
-        for part, ids in self.parts(unknown):
-            (known if len(part) < 64 else long)[part] = ids
-        out = b"".join([known[p] if p in known else long[p] for p in parts])
-        if len(known) > REMEMBERED:
-            self.older, self.known = known, {}
-        return out
+                found = self.cut(" " + word)
+        return remember(self.words, word, found)
 
-
-def tokens(docs: DataFrame, path: str, end: int = 0, limit: int = LIMIT, text: str = "text") -> DataFrame:
-    """doc_id, row (unique), length, the checksum of each piece, and the ids; stored."""
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if BLANKS.search(text):
+            return self.cut(text)
+        # No white space in front of a blank: the pattern cuts before every blank.
+        first, *words = text.split(" ")
+        get, slow = self.words[0].get, self.word
+        return b"".join([self.cut(first) if first else b"", *[get(w) or slow(w) for w in words]])
+
+
+def remember(generations: list[dict[str, bytes]], key: str, value: bytes) -> bytes:
+    if len(key) < 64:
+        if len(generations[0]) >= REMEMBERED:
+            generations[:] = [{}, generations[0]]
+        generations[0][key] = value
+    return value
+
+
+def tokens(docs: DataFrame, path: str, end: int = 0, limit: int = LIMIT, text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """doc_id, row (unique), length, the checksum of each piece, and the ids, which ``sequences`` needs; stored."""
     schema = T.StructType(
         [
             docs.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("length", T.LongType()),
-            T.StructField("crcs", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("crcs", T.ArrayType(T.LongType())),
+            *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else []),
         ]
     )
     tail = np.array([end], "<u4").tobytes()
+    shared = docs.sparkSession.sparkContext.broadcast({})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        box = shared.value  # a worker keeps it from task to task, and with it the tokenizer and the latest parts
+        encoder = box.get("encoder") or box.setdefault("encoder", Encoder(path))
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(start, ROWS)
                 flat, ends, crcs, pieces = array("i"), [0], [], [0]
                 for value in rows.column(2).to_pylist():
                     ids = encoder.encode(value or "") + tail
-                    flat.frombytes(ids)
-                    ends.append(len(flat))
+                    ends.append(ends[-1] + len(ids) // 4)
+                    if keep_ids:
+                        flat.frombytes(ids)
                     first = len(ids) % (4 * limit)
                     cuts = [0, *range(first or 4 * limit, len(ids) + 1, 4 * limit)]
                     crcs.extend(crc32(ids[a:b]) for a, b in zip(cuts, cuts[1:]))
                     pieces.append(len(crcs))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 sums = pa.ListArray.from_arrays(pa.array(pieces, pa.int32()), pa.array(crcs, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(np.diff(ends), pa.int64()), sums, lists], names=schema.names
-                )
+                columns = [rows.column(0), rows.column(1), pa.array(np.diff(ends), pa.int64()), sums]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text].cast("string").alias("text"))
     return stored(rows.mapInArrow(run, schema), "tokens")

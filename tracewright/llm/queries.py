@@ -144,7 +144,7 @@ select * from r where part = 'pair' or rank <= 50
 
 
 def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bestfit.tokens(table(spark, sf_dir, "documents"), BYTE_PIECES)
+    rows = bestfit.tokens(table(spark, sf_dir, "documents"), BYTE_PIECES, keep_ids=False)
     return bestfit.pieces(bestfit.pack(rows)).drop("row")
 
 
