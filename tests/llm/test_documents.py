@@ -59,6 +59,15 @@ def test_ledger_reads_only_what_is_new(spark):
     assert secrets.scan(frame(spark, []), ledger).collect() == []
 
 
+def test_versions_of_one_path_do_not_meet(spark):
+    """Ten thousand versions of one path, half of them one blob: each blob is read once."""
+    rows = spark.range(10_000).selectExpr("1L as doc_id", "if(id % 2 = 0, 'password=hunter2x', concat('version ', id)) as text", "'en' as lang")
+    ledger = secrets.empty_ledger(spark)
+    found = secrets.scan(rows, ledger)
+    assert found.selectExpr("sum(size(findings))", "count(1)").first() == (5_000, 10_000)
+    assert spark.read.schema(secrets.LEDGER).parquet(ledger).count() == 5_001 * len(secrets.RULES)
+
+
 def test_redaction_blanks_findings_and_nothing_else(spark):
     rows = [(1, SECRET, "en"), (2, "clean é", "en"), (3, None, None), (None, SECRET, "de"), (4, "", "en")]
     docs = frame(spark, rows)

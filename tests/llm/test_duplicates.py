@@ -100,6 +100,10 @@ def test_groups_and_what_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9, 10, 20]
     alone = simhash.distinct(docs_of(spark, [(None, "a b c d e"), (None, "a b c d e"), (None, "quite another text"), (1, "third one")]))
     assert sorted(r.text for r in alone.collect()) == ["a b c d e", "quite another text", "third one"]
+    # one id on the smallest texts of two groups: both groups keep a row
+    twice = [(1, "a b c d e f g"), (1, "quite another text of some words"), (2, "a b c d e f g"), (3, "quite another text of some words"), (4, "third")]
+    kept = simhash.distinct(docs_of(spark, twice + twice[:2]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c d e f g"), (1, "quite another text of some words"), (4, "third")]
     assert simhash.groups(docs.limit(0)).collect() == [] and simhash.distinct(docs.limit(0)).collect() == []
 
 

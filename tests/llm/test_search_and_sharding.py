@@ -14,16 +14,14 @@ def brute(rows, k):
     def clean(v):
         return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
-    known = {}
-    for i, v in rows:
-        if i is not None and clean(v):
-            known[i] = min(known.get(i, v), v)
-    ints = {i: [math.floor(256 * x) for x in v] for i, v in known.items()}
-    out = set()
-    for q in (i for i in ints if i % 5 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=False)), i) for i, v in ints.items() if i != q)
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)}
-    return out
+    ints = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and clean(v)]
+    out = []
+    for n, (q, u) in enumerate(ints):
+        if q % 5 == 0:
+            exact = [(sum(a * b for a, b in zip(u, v, strict=False)), i) for m, (i, v) in enumerate(ints) if m != n]
+            scores = sorted((-max(min(s, 2**63 - 1), 1 - 2**63), i) for s, i in exact)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
 
 
 def search(spark, rows, **more):
@@ -37,8 +35,10 @@ def test_top_k_is_exact_with_ties_hot_vectors_and_bad_rows(spark):
     rows += [(None, [1.0] * 4), (301, None), (305, [math.nan, 0, 0, 0]), (310, [math.inf, 0, 0, 0]), (315, [None, 0.5, 0, 0])]
     rows += [(7, rows[7][1]), (10, [0.5, 0.5, 0.5, 0.5]), (320, [0.5]), (321, []), (325, [1.5, 1.5])]
     got = search(spark, rows, pivots=6, block=8, chunk=40)
-    assert len(got) == len(set(got))
-    assert set(got) == brute(rows, 3)
+    assert sorted(got) == brute(rows, 3)
+    large = [(i, [rng.choice([1.0, -3.0, 3e5, 4e5, 2.5e8, 2.0**43])] * rng.randint(1, 3)) for i in range(60)]
+    assert sorted(search(spark, large, pivots=6, block=8, chunk=40)) == brute(large, 3)
+    assert set(search(spark, [(0, [1.0]), (1, [300000.0]), (2, [400000.0])])) == {(0, 1, 2, 26_214_400_000), (0, 2, 1, 19_660_800_000)}
 
 
 def test_top_k_of_few_or_no_vectors(spark):
@@ -46,7 +46,7 @@ def test_top_k_of_few_or_no_vectors(spark):
     assert search(spark, [(5, [1.0])]) == []
     assert search(spark, [(1, [1.0]), (2, [1.0])]) == []
     assert set(search(spark, [(0, [1.0]), (2, [-1.0])])) == {(0, 1, 2, -65536)}
-    assert set(search(spark, [(0, [3e38]), (2, [3e38])])) == {(0, 1, 2, 1 << 52)}
+    assert set(search(spark, [(0, [3e38]), (2, [3e38])])) == {(0, 1, 2, (1 << 63) - 1)}
 
 
 DOCS = "doc_id long, text string, size string, shard string, __group int"

@@ -31,6 +31,7 @@ from tracewright.llm.common import unused
 UNKNOWN = "und"
 DICTIONARY_BYTES = 1 << 17
 DICTIONARY_TEXTS = 400  # per language, at most
+SHARES = 64  # of a language, whose texts are ranked apart first
 MOST_BYTES = 1 << 28  # of all dictionaries together
 MARGIN = 0.02
 LEVEL = 5
@@ -55,6 +56,10 @@ def learn(docs: DataFrame, trains: Column, size: int = DICTIONARY_BYTES) -> list
         raise ValueError(f"{len(counts)} languages need smaller dictionaries than {size} bytes")
     first = Window.partitionBy("__lang").orderBy("__h", "__n")
     slim = rows.select("__lang", F.xxhash64("__text").alias("__h"), F.octet_length("__text").alias("__n")).distinct()
+    # The first of each share of a language, then of the shares: how many there are does not depend on the input.
+    share = Window.partitionBy("__lang", "__share").orderBy("__h", "__n")
+    slim = slim.withColumn("__share", F.pmod("__h", F.lit(SHARES)))
+    slim = slim.withColumn("__k", F.row_number().over(share)).where(F.col("__k") <= DICTIONARY_TEXTS).select("__lang", "__h", "__n")
     ranked = slim.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= DICTIONARY_TEXTS)
     filled = F.sum("__n").over(first.rowsBetween(Window.unboundedPreceding, -1))
     chosen = ranked.withColumn("__full", F.coalesce(filled, F.lit(0))).where(F.col("__full") < size)

@@ -28,13 +28,13 @@ def op1_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with v as (
-  select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+  select row_number() over () as r, vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
   where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
-  select q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
-  from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0
+  select q.r, q.vec_id as query_id, d.vec_id, cast(list_inner_product(q.e, d.e) as bigint) as score
+  from v q join v d on q.r <> d.r where q.vec_id % 50 = 0
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as int) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
 """

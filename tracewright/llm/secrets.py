@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import new_path, sized, stored
 
 FINDINGS = "array<struct<kind: string, start: bigint, end: bigint>>"
+FEW = 200_000  # blobs that are sent to all tasks, at most
 LEDGER = f"blob string, rule string, findings {FINDINGS}"
 
 
@@ -84,15 +85,18 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
         "versions",
     )
     names = spark.createDataFrame([(r.name,) for r in rules], "rule string")
-    wanted = paths.groupBy("__blob").agg(F.min(path).alias("__least"))
+    wanted = paths.select("__blob").distinct()
     done = spark.read.schema(LEDGER).parquet(ledger).join(F.broadcast(names), "rule", "left_semi")  # one row per rule
     seen = done.groupBy("blob").agg(F.collect_set("rule").alias("done"))
     lacking = wanted.join(seen, wanted["__blob"] == seen["blob"], "left").where(F.coalesce(F.size("done"), F.lit(0)) < len(rules))
     todo = F.filter(F.lit([r.name for r in rules]), lambda r: ~F.array_contains(F.coalesce("done", F.array().cast("array<string>")), r))
-    lacking = lacking.select(F.col("__blob").alias("__need"), F.col("__least"), todo.alias("__todo")).hint("shuffle_hash")
-    texts = versions.select(versions[path].alias("__path"), F.coalesce(versions[text], F.lit("")).alias("__text"))
-    reads = lacking.join(texts, F.col("__least").eqNullSafe(F.col("__path")))
-    reads = reads.where(F.col("__need") == blob_name(F.col("__text"))).select("__need", "__todo", "__text")
+    lacking = stored(lacking.select(F.col("__blob").alias("__need"), todo.alias("__todo")), "lacking")
+    texts = versions.select(blob_name(versions[text]).alias("__of"), F.coalesce(versions[text], F.lit("")).alias("__text"))
+    if lacking.limit(FEW + 1).count() <= FEW:  # most blobs are known: their texts stay where they are
+        texts = texts.join(F.broadcast(lacking.select("__need")), F.col("__of") == F.col("__need"), "left_semi")
+    # One text of each blob, found before the shuffle: copies and versions of one path never meet.
+    texts = texts.groupBy("__of").agg(F.first("__text").alias("__text"))
+    reads = lacking.hint("shuffle_hash").join(texts, F.col("__need") == F.col("__of")).select("__need", "__todo", "__text")
     _read(reads, rules).write.mode("append").parquet(ledger)
 
     of_blob = findings(spark, ledger, rules)

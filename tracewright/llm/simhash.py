@@ -249,31 +249,37 @@ def _rows(**given: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
 
-def groups(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
+def rooted(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """doc_id, __fp, __root (a number of the group) and component_id, the smallest id of the group."""
     own = stored(fingerprints(docs, width), "fingerprints")
     classes = stored(own.groupBy("__fp").agg(F.min("doc_id").alias("__least")), "classes")
     roots = stored(components(links(classes, radius)), "roots")
     reached = classes.join(roots, classes["__fp"] == roots["node"], "left").withColumn("__root", F.coalesce("root", "__fp"))
     least = reached.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    named = reached.select("__fp", "__root").join(least, "__root").select("__fp", "component_id")
+    named = reached.select("__fp", "__root").join(least, "__root").select("__fp", "__root", "component_id")
+    return own.join(named, "__fp").select("doc_id", "__fp", "__root", "component_id")
+
+
+def groups(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable."""
     hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
-    return own.join(named, "__fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rooted(docs, width, radius).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def distinct(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns, with one document of each group: the one with the smallest id. Rows that repeat an id count as
-    one document (any row of it stays); documents without an id stay only where no document of their group has one, one
-    for each fingerprint."""
-    found = groups(docs, width, radius)
+    """docs, all columns, with one row of each group: one with the smallest id (of rows that share it, one with the least
+    fingerprint). Documents without an id stay only where no document of their group has one."""
+    found = rooted(docs, width, radius)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct().hint("shuffle_hash")
     named = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi")
-    if found.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-        alone = found.where("doc_id is null and component_id is null").select("fingerprint").distinct()
-        nameless = docs.where(docs["doc_id"].isNull())
-        columns, own = nameless.columns, unused(docs, "__fp")
-        marked = fingerprints(nameless, width, tuple(columns), own)
-        marked = marked.join(alone.withColumnRenamed("fingerprint", "__alone"), F.lower(F.lpad(F.hex(marked[own]), 16, "0")) == F.col("__alone"), "left_semi")
-        named = named.unionByName(marked.dropDuplicates([own]).select(*columns))
+    # Ids that several rows share, and rows without one, are told apart by their fingerprints.
+    shared = found.groupBy("doc_id").count().where("doc_id is null or count > 1").select(F.col("doc_id").alias("__shared"))
+    if shared.limit(1).count():
+        chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("__root", "doc_id").agg(F.min("__fp").alias("__chosen"))
+        unclear = docs.join(shared, docs["doc_id"].eqNullSafe(shared["__shared"]), "left_semi")
+        columns, own = unclear.columns, unused(docs, "__fp")
+        marked = fingerprints(unclear, width, tuple(columns), own)
+        same = marked["doc_id"].eqNullSafe(chosen["doc_id"]) & (marked[own] == chosen["__chosen"])
+        marked = marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", own])
+        named = named.join(shared, named["doc_id"] == shared["__shared"], "left_anti").unionByName(marked.select(*columns))
     return named

@@ -9,10 +9,10 @@ split into blocks of queries, their vectors dealt by hash into even chunks, the
 
 Everything that is collected or sent to all tasks depends on the numbers of pivots and dimensions alone.
 
-The id is the key: of rows that repeat it, the smallest vector counts. Rows without an id, null vectors, and vectors that
-hold a null or a non-finite component take no part. Shorter vectors count as filled up with zeros. Components beyond
-2^26 either way count as 2^26, so that scores stay exact in 64 bits. Ties go to the smaller id. Fewer than k other
-vectors give fewer results; an empty table gives none. Extra columns are not looked at.
+Every row is a candidate for every query but itself, rows that repeat an id included; a repeated query is asked for each
+of its rows. Rows without an id, null vectors, and vectors that hold a null or a non-finite component take no part. Shorter
+vectors count as filled up with zeros. Scores are exact; one that a long cannot hold counts as the nearest long. Ties go to
+the smaller id. Fewer than k other vectors give fewer results; an empty table gives none. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import stored
 
 SCALE = 256.0
-MOST = float(1 << 26)
+LONGEST = (1 << 63) - 1
 PIVOTS = 32
 BLOCK = 512  # queries of a task
 CHUNK = 8192  # vectors of a task, about
 EXACT = float(1 << 53)
+USUAL = float(1 << 26)
 
 
 def quantised(vectors: pd.Series, size: int) -> np.ndarray:
@@ -43,19 +44,35 @@ def quantised(vectors: pd.Series, size: int) -> np.ndarray:
     else:
         for k, v in enumerate(vectors):
             out[k, : len(v)] = v
-    return np.clip(np.floor(SCALE * out), -MOST, MOST)
+    return np.floor(SCALE * out)
 
 
-def unpack(blobs: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int32).reshape(len(blobs), size).astype(float)
+def unpack(blobs: pd.Series, size: int, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), size).astype(float)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in doubles where all sums fit, else in integers."""
-    bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    """Inner products of vectors of whole numbers, exact: in doubles where all sums fit, else in integers, of any length
+    for the vectors that need it."""
+    high_a, high_b = np.abs(a).max(axis=1, initial=0), np.abs(b).max(axis=1, initial=0)
+    bound = high_a.max(initial=0) * high_b.max(initial=0) * max(1, a.shape[1])
     if bound < EXACT:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if bound < float(1 << 62):
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    out = np.empty((len(a), len(b)), np.int64)
+    for rows in (high_a < USUAL, high_a >= USUAL):
+        for columns in (high_b < USUAL, high_b >= USUAL):
+            if rows.any() and columns.any():
+                part = a[rows], b[columns]
+                out[np.ix_(rows, columns)] = _long_products(*part) if rows.all() and columns.all() else products(*part)
+    return out
+
+
+def _long_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    left, right = (np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (a, b))
+    exact = left @ right.T if a.shape[1] else np.zeros((len(a), len(b)), object)
+    return np.clip(exact, -LONGEST, LONGEST).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -77,14 +94,16 @@ def search(
     v = vectors[vector].cast("array<double>")
     valid = vectors[vec_id].isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     data = vectors.where(F.coalesce(valid, F.lit(False))).select(
-        vectors[vec_id].cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")
-    )
-    data = data.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
-    sizes = vectors.where(F.coalesce(valid, F.lit(False))).agg(F.max(F.size(v))).first()[0]
+        vectors[vec_id].cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    data = stored(data, "vectors")
+    sizes, largest = data.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     result = "query_id long, rank int, vec_id long, score long"
     if sizes is None:
         return spark.createDataFrame([], result)
     size = int(sizes)
+    kind = np.int32 if SCALE * (largest or 0) < 2**31 - 1 else np.float64
     spread = data.groupBy(F.xxhash64("v").alias("h")).agg(F.min("v").alias("v")).orderBy("h").limit(pivots).toPandas()
     centres = quantised(spread["v"], size)
     norms = (centres * centres).sum(1)
@@ -94,13 +113,13 @@ def search(
             x = quantised(batch["v"], size)
             cells = np.argmin(norms - 2 * (x @ centres.T), axis=1).astype(np.int32)
             far = np.sqrt(((x - centres[cells]) ** 2).sum(1))
-            packed = [r.tobytes() for r in x.astype(np.int32)]
-            yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "cell": cells, "far": far, "x": packed})
+            packed = [r.tobytes() for r in x.astype(kind)]
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "q": batch["q"], "cell": cells, "far": far, "x": packed})
 
-    cells = stored(data.mapInPandas(assign, "id long, q boolean, cell int, far double, x binary"), "cells")
+    cells = stored(data.mapInPandas(assign, "id long, row long, q boolean, cell int, far double, x binary"), "cells")
     nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)
     # in two steps: a few distances of each (cell, salt), then of each cell
-    salted = cells.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64)))
     ranked = salted.select("cell", "salt", "far", F.expr("row_number() over (partition by cell, salt order by far)").alias("n"))
     few = ranked.where(F.col("n") <= k + 1).groupBy("cell", "salt").agg(F.collect_list("far").alias("near"))
     summary = few.groupBy("cell").agg(nearest.alias("near")).collect()  # pivots x (k + 1) numbers
@@ -111,12 +130,16 @@ def search(
         """For each query cell: queries, and for each data cell the most that q.p may exceed what q surely reaches."""
         most, norm, count = np.full((pivots, pivots), -np.inf), np.zeros(pivots), np.zeros(pivots, np.int64)
         for batch in batches:
-            q = unpack(batch["x"], size)
+            q = unpack(batch["x"], size, kind)
             own, near, length = batch["cell"].to_numpy(), q @ centres.T, np.sqrt((q * q).sum(1))
             sure = near[:, at] - length[:, None] * radius
             # the query itself may be one of the k + 1
             reach = -np.partition(-sure, k, axis=1)[:, k] if sure.shape[1] > k else np.full(len(q), -np.inf)
-            gap = near - (reach - 1e-6 * (np.abs(reach) + 1))[:, None]
+            # scores beyond a long are equal
+            reach = np.where(reach <= -LONGEST, -np.inf, np.minimum(reach, LONGEST))
+            # what rounding may take away, of the sums and of their terms
+            slack = 1e-6 * (np.where(np.isfinite(reach), np.abs(reach), 0) + 1) + 1e-12 * size * length * (np.sqrt(norms.max()) + radius.max())
+            gap = near - (reach - slack)[:, None]
             for c in np.unique(own):
                 mine = own == c
                 most[c, : len(centres)] = np.maximum(most[c, : len(centres)], gap[mine].max(0))
@@ -143,35 +166,41 @@ def search(
         ]
         return F.array_compact(F.array(*tests))
 
-    needed = cells.select("id", "cell", "far", "x", F.explode(needs(F.col("cell"), F.col("far"))).alias("g"))
+    needed = cells.select("id", "row", "cell", "far", "x", F.explode(needs(F.col("cell"), F.col("far"))).alias("g"))
     counts = {r["g"]: r["n"] for r in needed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     chunks = {c: max(1, -(-n // chunk)) for c, n in counts.items()}
 
     def per_group(numbers: dict[int, int], column: str) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for pair in sorted(numbers.items()) for x in pair]), F.col(column))
 
-    copied = needed.withColumn("s", F.pmod(F.xxhash64("id"), per_group(chunks, "g")).cast("int"))
-    copied = copied.withColumn("b", F.explode(F.sequence(F.lit(0), per_group(blocks, "g") - 1))).select("g", "b", "s", "id", "x")
+    copied = needed.withColumn("s", F.pmod(F.xxhash64("row"), per_group(chunks, "g")).cast("int"))
+    copied = copied.withColumn("b", F.explode(F.sequence(F.lit(0), per_group(blocks, "g") - 1))).select("g", "b", "s", "id", "row", "x")
     asked = queries.withColumn("g", F.col("cell")).where(F.col("g").isin(*chunks))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), per_group(blocks, "g")).cast("int"))
-    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), per_group(chunks, "g") - 1))).select("g", "b", "s", "id", "x")
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("row", F.lit(1)), per_group(blocks, "g")).cast("int"))
+    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), per_group(chunks, "g") - 1))).select("g", "b", "s", "id", "row", "x")
 
     def solve(asked: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(copied):
-            copied = copied.sort_values("id")
-            ids, x = copied["id"].to_numpy(), unpack(copied["x"], size)
+            copied = copied.sort_values(["id", "row"])
+            ids, rows, x = copied["id"].to_numpy(), copied["row"].to_numpy(), unpack(copied["x"], size, kind)
             for start in range(0, len(asked), 128):
                 part = asked.iloc[start : start + 128]
-                scores = products(unpack(part["x"], size), x)
+                scores = products(unpack(part["x"], size, kind), x)
                 top = best(scores, ids, k + 1)  # one more, for the query itself
-                found = ids[top]
+                own = np.repeat(part["row"].to_numpy(), top.shape[1])
                 frame = pd.DataFrame(
-                    {"query_id": np.repeat(part["id"].to_numpy(), top.shape[1]), "vec_id": found.ravel(), "score": np.take_along_axis(scores, top, 1).ravel()}
+                    {
+                        "row": own,
+                        "query_id": np.repeat(part["id"].to_numpy(), top.shape[1]),
+                        "vec_id": ids[top].ravel(),
+                        "score": np.take_along_axis(scores, top, 1).ravel(),
+                    }
                 )
-                out.append(frame[frame["query_id"] != frame["vec_id"]])
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                out.append(frame[own != rows[top].ravel()])
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    solved = asked.groupBy("g", "b", "s").cogroup(copied.groupBy("g", "b", "s")).applyInPandas(solve, "query_id long, vec_id long, score long")
-    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
+    found = "row long, query_id long, vec_id long, score long"
+    solved = asked.groupBy("g", "b", "s").cogroup(copied.groupBy("g", "b", "s")).applyInPandas(solve, found)
+    rank = F.expr("row_number() over (partition by row order by score desc, vec_id)")
     return solved.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
