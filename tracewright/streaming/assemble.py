@@ -240,7 +240,8 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, delay_ms: int, opt
 
     seen = cut(spark, by_session(with_links(routed), known, annotate))
     is_open = still_open(horizon)
-    spans = cut(spark, nest_spans(by_session(seen.where(f"not {is_open}"), known, build_spans)))
+    # Stored before nesting, which reads them three times.
+    spans = nest_spans(cut(spark, by_session(seen.where(f"not {is_open}"), known, build_spans)))
     write_batch(event_rows(spans, options), f"{root}/events", batch_id)
     write_batch(actions(spans), f"{root}/actions", batch_id)
     upsert(cut(spark, rollup_sessions(spans)), draft, root, "sessions", "session_id", merge_sessions)
