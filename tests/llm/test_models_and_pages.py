@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -118,19 +119,19 @@ def test_template_and_slots_without_an_article():
     rare = "a much longer sentence that fills the slot number"
     pages = [PAGE.format(f"{rare} {i}", f"{rare} {i * 7}") for i in range(5)]
     constants, region = wrapper.induce(pages)
-    text = wrapper.extract(pages[2], frozenset(constants), region)
+    text = wrapper.extract(pages[2], frozenset(constants), (region,))
     assert text.split("\n") == [f"Head {rare} 2", f"First bold of {rare} 2 & more here", f"Second {rare} 14", f"third {rare} 14"]
 
 
 def test_broken_and_odd_pages():
     empty = frozenset()
-    assert wrapper.extract("just text &lt;x&gt; &#233;", empty, 0) == "just text <x> é"
-    assert wrapper.extract("<p>one<p>two</div></p>three<!-- open <p>x", empty, 0) == "one\ntwo\nthree"
-    assert wrapper.extract("<article><p>a < b</p><nav>no</nav><p class='x>y'>c</article><p>after", empty, 0) == "a < b\nc"
-    assert wrapper.extract("<div>" * 30_000 + "deep", empty, 0) == "deep"
-    assert wrapper.extract("<article><header><h1>Title</h1></header><p>x <a href='/'>y</a>, z</p></article>", empty, 0) == "Title\nx y, z"
-    assert wrapper.extract("<p>cut &am", empty, 0) == "cut &am" and wrapper.extract("<p", empty, 0) == ""
-    assert wrapper.extract("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", empty, 0) == "a\nb\nc\nd"
+    assert wrapper.extract("just text &lt;x&gt; &#233;", empty) == "just text <x> é"
+    assert wrapper.extract("<p>one<p>two</div></p>three<!-- open <p>x", empty) == "one\ntwo\nthree"
+    assert wrapper.extract("<article><p>a < b</p><nav>no</nav><p class='x>y'>c</article><p>after", empty) == "a < b\nc"
+    assert wrapper.extract("<div>" * 30_000 + "deep", empty) == "deep"
+    assert wrapper.extract("<article><header><h1>Title</h1></header><p>x <a href='/'>y</a>, z</p></article>", empty) == "Title\nx y, z"
+    assert wrapper.extract("<p>cut &am", empty) == "cut &am" and wrapper.extract("<p", empty) == ""
+    assert wrapper.extract("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", empty) == "a\nb\nc\nd"
 
 
 def test_pages_table(spark):
@@ -190,3 +191,56 @@ def test_every_page_of_a_host_votes(spark, monkeypatch):
     got = {r.page_id: r.text for r in wrapper.main_text(pages).collect()}
     assert all(got[i] == long(i) for i in range(40)) and all(got[100 + i] == long(7) for i in range(30))
     assert all("Template" not in got[200 + i] and long(i) in got[200 + i] for i in range(4))
+
+
+NEUTRAL = """<html><body><div class=qa><a href=/>Start</a><a href=/x>{0} of the day</a></div><div class=qb><div class=qc><h2>Title {0}</h2>
+<div>{1}</div><div>{1} once more</div></div><div class=qd>Note {0}</div><div class=qe>By the same hand</div></div></body></html>"""
+
+
+def prose(i):
+    return " ".join(f"sentence {i} word {i * k % 97}" for k in range(12))
+
+
+def test_templates_decide_without_words_and_tags(spark, monkeypatch):
+    """No tag and no class name tells anything; only what varies between pages, and where most of it stands."""
+    rows = [(i, f"http://n.example/{i}", NEUTRAL.format(f"item {i}", prose(i))) for i in range(9)]
+    # a second layout, beyond the references of the first one
+    other = "<html><body><section class=z>Same head</section><section class=y><div>{0}</div><div>Same foot</div></section></body></html>"
+    rows += [(50 + i, f"http://n.example/o{i}", other.format(prose(50 + i))) for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Title item {i}\n{prose(i)}\n{prose(i)} once more" for i in range(9)} | {50 + i: prose(50 + i) for i in range(7)}
+    assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == want
+    alone = {i: wrapper.extract(html, frozenset()) for i, _, html in rows}
+    assert all(alone[i] != want[i] for i in want)
+    monkeypatch.setattr(wrapper, "MARKS", frozenset())
+    monkeypatch.setattr(wrapper, "MOST_SHARED", 0)  # references through a shuffle
+    assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == want
+
+
+def tree(html):
+    return wrapper.parse(html, words=False)[0][0]
+
+
+def test_long_sibling_lists(monkeypatch):
+    import time
+
+    rng = random.Random(8)
+    for _ in range(60):  # the cut lists match as many nodes where texts tell them apart, and no pair crosses
+        words = [f"<p>t{i}</p>" for i in rng.sample(range(99), 25)]
+        other = [w for w in words if rng.random() < 0.8]
+        for k in range(5):
+            other.insert(rng.randrange(len(other) + 1), f"<h2>n{k}</h2>")
+        a, b = tree("<div>" + "".join(words) + "</div>"), tree("<div>" + "".join(other) + "</div>")
+        full = wrapper.alignment(a, b)
+        with monkeypatch.context() as patched:
+            patched.setattr(wrapper, "CELLS", 10)
+            cut = wrapper.alignment(a, b)
+        assert len(cut) == len(full)
+        equal = [(x, y) for x, y in cut if x.runs and x.text() == y.text()]
+        assert len(equal) == sum(w in other for w in words)
+        places = sorted((a.children[0].children.index(x), b.children[0].children.index(y)) for x, y in cut if x.tag in ("p", "h2"))
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(places, places[1:], strict=False))
+    a, b = (tree("<div>" + "".join(f"<p>{'same' if i % 3 else f'own {k} {i}'}</p>" for i in range(20_000)) + "</div>") for k in (1, 7))
+    start = time.time()
+    assert len(wrapper.alignment(a, b)) > 19_000
+    assert time.time() - start < 20
