@@ -144,6 +144,33 @@ def test_repeated_events_count_once(spark):
     assert spark_spans(spark, plain + plain[::2], STALE.but(max_group_rows=20)) == want
 
 
+def test_many_events_of_one_moment_are_dealt_evenly(spark):
+    """A million rows of one session and one microsecond: chunks are even, and the scan is that of a window."""
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import scan
+
+    rows = spark.range(1_000_000).selectExpr("'s' as host_key", "7L as ts_us", "id as event_seq", "id % 1000 as v")
+    split = scan.chunks_for(1_000_000, 250_000)
+    dealt = rows.repartitionByRange(split.chunks, "host_key", "ts_us", "event_seq").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in dealt.collect()) < 250_000
+    scans = [scan.Scan("total", "sum", F.col("v")), scan.Scan("before", "last", F.when(F.col("v") % 7 == 0, F.col("v")), "before")]
+    found = [
+        scan.running(rows, ["host_key"], ["ts_us", "event_seq"], scans, s).agg(F.sum(F.xxhash64("event_seq", "total", "before").cast("decimal(38,0)"))).first()
+        for s in (scan.PLAIN, split)
+    ]
+    assert found[0] == found[1]
+
+
+def test_repeats_at_other_times_count_once_on_both_paths(spark):
+    """Every fifth event is delivered again seven seconds later; the first delivery counts."""
+    events = random_events(15, 3, 40, lost=False, runs=False)
+    again = [{**e, "us": e["us"] + 7 * SECOND} for e in events[::5]]
+    want = spark_spans(spark, events, STALE.but(as_of_us=10**12))
+    for limit in (1_000_000, 20):
+        assert spark_spans(spark, events + again, STALE.but(as_of_us=10**12, max_group_rows=limit)) == want
+
+
 def test_split_scans_store_no_payload(spark, monkeypatch):
     from tracewright.operators import scan
 
@@ -169,7 +196,7 @@ def test_split_look_ups_give_the_same(spark):
     probes = spark.createDataFrame(rows[300:], "key string, ts_us long, event_seq long, v string").drop("v")
     order = ["ts_us", "event_seq"]
     plain = as_of(probes, facts, "key", order, "v", "found")
-    split = as_of(probes, facts, "key", order, "v", "found", Split(500_000))
+    split = as_of(probes, facts, "key", order, "v", "found", Split(5))
     want = {
         seq: max(((t, v) for k, t, _, v in rows[:300] if k == key and t < us), default=(0, None))[1]
         for key, us, seq, _ in rows[300:]

@@ -106,7 +106,7 @@ def resolve_missing(
         .unionByName(seen.select(*ORDER, "seen"), allowMissingColumns=True)
         .unionByName(open_changes(traces), allowMissingColumns=True)
     )
-    everywhere = global_split(timeline, "ts_us", options.max_group_rows)
+    everywhere = global_split(timeline, options.max_group_rows)
     placed = running(
         timeline,
         [],
@@ -222,7 +222,7 @@ def memory_spans(events: DataFrame, traces: DataFrame, split: Split = PLAIN) ->
 def correlation_split(events: DataFrame, options: Options) -> Split:
     """The split that fits every key events are looked up by."""
     keys = ["host_key", "agent_id", "requester_session_key", "child_session_key", "target_session_key"]
-    return split_for(timed(events), keys, "ts_us", options.max_group_rows)
+    return split_for(timed(events), keys, options.max_group_rows)
 
 
 def correlate(

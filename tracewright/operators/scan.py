@@ -2,9 +2,9 @@
 
 A window partitioned by session puts a whole session into one task. That is the best plan while every
 session is small, and no plan at all when one session holds a third of the data. The scans here take
-both: with ``PLAIN`` they are ordinary windows; with a split they run in two levels, first inside
-(group, time chunk), then over one total row per chunk, whose number depends on the time span and not
-on the number of rows. Both give the same values.
+both: with ``PLAIN`` they are ordinary windows; with a split they run in two levels. The rows are dealt
+by ranges of group and order into even chunks, however close in time they lie; the scan runs inside
+(group, chunk), then over one total row per chunk. Both give the same values.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
-# Chunk widths tried from coarse to fine, in microseconds: day, hour, minute, second, 10 ms, 0.1 ms.
-WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 10_000, 100)
 # Hot keys are broadcast up to this many, else joined like any other table.
 BROADCAST_KEYS = 200_000
 
@@ -40,13 +38,13 @@ class Scan:
 
 @dataclass(frozen=True)
 class Split:
-    """How groups are cut along the order column; ``width_us`` None means not at all."""
+    """Into how many chunks rows are dealt along groups and order; None means not at all."""
 
-    width_us: int | None = None
+    chunks: int | None = None
 
     @property
     def active(self) -> bool:
-        return self.width_us is not None
+        return self.chunks is not None
 
 
 PLAIN = Split()
@@ -96,16 +94,15 @@ def _filled(scan: Scan, column: Column) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan], split: Split = PLAIN) -> DataFrame:
-    """Add one column per scan, computed over the rows with equal ``keys`` in the given order.
-
-    ``order[0]`` must be the time in microseconds when ``split`` is active.
-    """
+    """Add one column per scan, computed over the rows with equal ``keys`` in the given order."""
     if not split.active:
         return df.select("*", *[_filled(s, _over(s, s.value, keys, order)).alias(s.name) for s in scans])
 
     spark = df.sparkSession
-    # Both branches below read the same rows: store them once instead of computing them twice per scan.
-    df = cut(spark, df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(split.width_us)).cast("long")))
+    # Ranges are numbered in order, and rows equal in keys and order share one. Both branches below read the same rows:
+    # they are stored once instead of being computed twice.
+    dealt = df.repartitionByRange(split.chunks, *keys, *order)
+    df = cut(spark, dealt.withColumn(CHUNK, F.spark_partition_id()))
     inner = [*keys, CHUNK]
     local = df.select(
         "*", *[_over(s, s.value, inner, order).alias(f"_l_{s.name}") for s in scans if s.scope != "all"]
@@ -175,31 +172,23 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def chunk_width(hot: DataFrame, key: str, time_us: str, max_group_rows: int) -> int:
-    """The coarsest width at which no (key, chunk) holds more rows than one task should take."""
-    for width in WIDTHS:
-        chunk = F.floor(F.col(time_us) / F.lit(width))
-        largest = hot.groupBy(key, chunk).count().agg(F.max("count")).first()[0]
-        if largest is None or largest <= max_group_rows:
-            return width
-    return WIDTHS[-1]
+def chunks_for(rows: int, max_group_rows: int) -> Split:
+    """Chunks of at most about half the rows that one task should take."""
+    return Split(max(2, -(-2 * rows // max_group_rows)))
 
 
-def split_for(df: DataFrame, keys: list[str], time_us: str, max_group_rows: int) -> Split:
+def split_for(df: DataFrame, keys: list[str], max_group_rows: int) -> Split:
     """The split under which no group of any of the keys is too large for one task; usually none is needed."""
     roles = F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.col(k).alias("key")) for i, k in enumerate(keys)]))
-    grouped = df.select(roles.alias("_key"), F.col(time_us).alias("_us")).where("_key.key is not null")
-    counts = grouped.groupBy("_key").count()
-    if (counts.agg(F.max("count")).first()[0] or 0) <= max_group_rows:
-        return PLAIN
-    hot = counts.where(F.col("count") > max_group_rows).select("_key")
-    return Split(chunk_width(grouped.join(hot, "_key", "left_semi"), "_key", "_us", max_group_rows))
+    counts = df.select(roles.alias("_key")).where("_key.key is not null").groupBy("_key").count()
+    largest, rows = counts.agg(F.max("count"), F.sum("count")).first()
+    return PLAIN if (largest or 0) <= max_group_rows else chunks_for(rows, max_group_rows)
 
 
-def global_split(df: DataFrame, time_us: str, max_group_rows: int) -> Split:
-    """A split for scans over all rows in time order: an hour at most, less when hours are large."""
-    width = chunk_width(df.withColumn("_all", F.lit(0)), "_all", time_us, max_group_rows)
-    return Split(min(width, 3_600_000_000))
+def global_split(df: DataFrame, max_group_rows: int) -> Split:
+    """A split for scans over all rows, where these are more than one task should take."""
+    rows = df.count()
+    return PLAIN if rows <= max_group_rows else chunks_for(rows, max_group_rows)
 
 
 def measure(df: DataFrame, key: str, time_us: str, row: list[str]) -> tuple[int, int | None, bool]:
@@ -213,20 +202,20 @@ def measure(df: DataFrame, key: str, time_us: str, row: list[str]) -> tuple[int,
 
 
 def by_heat(
-    df: DataFrame, key: str, time_us: str, largest: int, limit: int, plan: Callable[[DataFrame, Split], DataFrame]
+    df: DataFrame, key: str, largest: int, limit: int, plan: Callable[[DataFrame, Split], DataFrame]
 ) -> DataFrame:
     """Run ``plan`` with plain windows on ordinary keys and with split scans on hot ones."""
     if largest <= limit:
         return plan(df, PLAIN)
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     # At most (all rows / limit) keys are hot; broadcast them only while they are few.
-    hot = cut(df.sparkSession, counts.where(F.col("n") > limit).select(key))
-    if hot.count() <= BROADCAST_KEYS:
+    hot = cut(df.sparkSession, counts.where(F.col("n") > limit))
+    keys, rows = hot.agg(F.count(F.lit(1)), F.sum("n")).first()
+    hot = hot.select(key)
+    if keys <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    hot_rows = df.join(hot, key, "left_semi")
-    width = chunk_width(hot_rows, key, time_us, limit)
     cold = plan(df.join(hot, key, "left_anti"), PLAIN)
-    return cold.unionByName(plan(hot_rows, Split(width)))
+    return cold.unionByName(plan(df.join(hot, key, "left_semi"), chunks_for(rows, limit)))
 
 
 def as_of(

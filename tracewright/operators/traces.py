@@ -186,7 +186,6 @@ def by_session(events: DataFrame, options: Options, plan) -> DataFrame:
     return by_heat(
         events,
         "host_key",
-        "ts_us",
         largest,
         options.max_group_rows,
         lambda part, split: plan(part, options, split),
