@@ -47,27 +47,32 @@ def skip_reasons(events: DataFrame, options: Options = Options()) -> DataFrame:
     return classify_events(events, options).groupBy("event_name", "reason").agg(F.count(F.lit(1)).alias("events"))
 
 
+# What is counted of each row.
+QUALITY = {
+    "missing_session": "nullif(session_key, '') is null and event_name not like 'subagent%'",
+    "missing_call_id": "event_name in ('before_tool_call', 'after_tool_call') and nullif(tool_call_id, '') is null",
+    "malformed_params": "params is not null and try_parse_json(params) is null",
+    "bad_numbers": "duration_ms < 0 or cost_usd < 0 or isnan(cost_usd)",
+    "missing_usage": "event_name = 'llm_output' and usage is null",
+}
+
+
+def quality_metrics() -> list:
+    """The counts that need no memory of other rows, as aggregates: for one batch, or observed while it is written."""
+    return [F.expr("count(1) as event_rows"), *[F.expr(f"count_if({test}) as {name}") for name, test in QUALITY.items()]]
+
+
 def quality_report(events: DataFrame) -> DataFrame:
     """One row of counts over raw or canonical events: missing keys, malformed values, repeated sequence numbers."""
     corrupt = "count_if(_corrupt_record is not null)" if "_corrupt_record" in events.columns else "0L"
     # Repeats are found per number first, so that no group travels whole.
     per_seq = events.groupBy("event_seq").agg(
         F.expr("count(1) as copies"),
-        F.expr("count_if(nullif(session_key, '') is null and event_name not like 'subagent%') as missing_session"),
-        F.expr("count_if(event_name in ('before_tool_call', 'after_tool_call') and nullif(tool_call_id, '') is null)"
-               " as missing_call_id"),
-        F.expr("count_if(params is not null and try_parse_json(params) is null) as malformed_params"),
-        F.expr("count_if(duration_ms < 0 or cost_usd < 0 or isnan(cost_usd)) as bad_numbers"),
-        F.expr("count_if(event_name = 'llm_output' and usage is null) as missing_usage"),
+        *[F.expr(f"count_if({test}) as {name}") for name, test in QUALITY.items()],
         F.expr(f"{corrupt} as corrupt_rows"),
     )
     return per_seq.agg(
         F.expr("sum(copies) as event_rows"),
         F.expr("sum(copies - 1) as duplicate_rows"),
-        *[
-            F.expr(f"sum({name}) as {name}")
-            for name in (
-                "missing_session", "missing_call_id", "malformed_params", "bad_numbers", "missing_usage", "corrupt_rows",
-            )
-        ],
+        *[F.expr(f"sum({name}) as {name}") for name in (*QUALITY, "corrupt_rows")],
     )

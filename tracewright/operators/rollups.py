@@ -69,7 +69,7 @@ def rollup_actions(action_rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def summarize_traces(spans: DataFrame) -> DataFrame:
-    """Per trace: spans by kind, starts nobody ended, close reason, duration and tokens."""
+    """Per trace: spans by kind, starts nobody ended, close reason, duration, tokens, and the last known cost and context."""
     return spans.groupBy("session_id", "trace_no", "trace_id").agg(
         F.expr("max(if(kind = 'root', close_reason, null)) as closed_by"),
         F.expr("max(if(kind = 'root', duration_ms, null)) as duration_ms"),
@@ -78,4 +78,5 @@ def summarize_traces(spans: DataFrame) -> DataFrame:
         F.expr("count_if(kind = 'subagent') as subagent_spans"),
         F.expr("count_if(kind <> 'root' and close_reason <> 'ended') as unmatched_starts"),
         F.expr("sum(tokens) as tokens"),
+        *[F.expr(f"max(if(kind = 'root', {name}, null)) as {name}") for name in ("cost_usd", "context_limit", "context_used")],
     )

@@ -154,6 +154,7 @@ SPAN_FIELDS = {
     "name": "string", "start_us": "bigint", "start_seq": "bigint", "end_us": "bigint", "close_reason": "string",
     "model": "string", "provider": "string", "channel": "string", "parent_seq": "bigint", "input": "string",
     "output": "string", "metadata": "string", "error_info": "string", "usage": USAGE_TYPE,
+    "cost_usd": "double", "context_limit": "bigint", "context_used": "bigint",
 }
 # JSON of unknown shape, redacted once per row before the spans are made.
 OPEN_JSON = {
@@ -174,6 +175,7 @@ def root_span(options: Options) -> dict[str, str]:
         "end_us": "close_us",
         "close_reason": "closed_by",
         "channel": "channel",
+        **{name: name for name in ("cost_usd", "context_limit", "context_used")},
         "input": P.json_object(
             {
                 "prompt": redact_text("prompt"),

@@ -321,10 +321,14 @@ ORACLES: dict[str, str] = {
     "trace_usage": with_traces(HOOKS_DIAG, HOUR_12, FACTS, _COST) + f", d AS (SELECT session_key, trace_no, {_last('usage')} AS du "
     "FROM cost GROUP BY ALL) SELECT f.session_key, f.trace_no, coalesce(f.usage, du).input AS input, coalesce(f.usage, du).output AS "
     "output, coalesce(f.usage, du).total AS total FROM facts f LEFT JOIN d USING (session_key, trace_no)",
-    "trace_summary": SPANNED + "SELECT session_key AS session_id, trace_no, max(close_reason) FILTER (WHERE kind = 'root') AS closed_by, "
+    "trace_summary": with_traces(HOOKS_DIAG, HOUR_12, PAIRS, FACTS, SPANS, _COST) + f", c AS (SELECT session_key, trace_no, "
+    f"{_last('cost_usd')} AS cost_usd, {_last('context_limit')} AS context_limit, {_last('context_used')} AS context_used FROM cost "
+    "GROUP BY ALL) SELECT i.session_key AS session_id, i.trace_no, max(close_reason) FILTER (WHERE kind = 'root') AS closed_by, "
     "max(duration_ms) FILTER (WHERE kind = 'root') AS duration_ms, count(*) FILTER (WHERE kind = 'llm') AS llm_spans, "
     "count(*) FILTER (WHERE kind = 'tool') AS tool_spans, 0 AS subagent_spans, count(*) FILTER (WHERE kind <> 'root' AND close_reason "
-    "<> 'ended') AS unmatched_starts, CAST(sum(tokens) AS BIGINT) AS tokens FROM ided GROUP BY ALL",
+    "<> 'ended') AS unmatched_starts, CAST(sum(tokens) AS BIGINT) AS tokens, max(c.cost_usd) AS cost_usd, max(c.context_limit) AS "
+    "context_limit, max(c.context_used) AS context_used FROM ided i LEFT JOIN c ON c.session_key = i.session_key AND c.trace_no = "
+    "i.trace_no GROUP BY ALL",
     "action_rollup_type": SPANNED + f", {ACTIONS} SELECT action_type, model_name, {ROLL} FROM actions GROUP BY ALL",
     "action_rollup_day": SPANNED + f", {ACTIONS} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, action_type, {ROLL} FROM actions GROUP BY ALL",
     "sessions_by_start": SPANNED + f", r AS ({ROLLUP.format(source='ided')}) SELECT session_id, start_time, total_actions FROM r "
@@ -341,10 +345,18 @@ ORACLES: dict[str, str] = {
     "events_append_dedup": SPANNED + "SELECT event_id, CAST(CAST(make_timestamp(end_us) AS DATE) AS VARCHAR) AS event_date, 'SPAN' AS record_type, "
     "make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp FROM ided WHERE day(make_timestamp(end_us)) % 2 = 1",
     "events_written_twice": SPANNED + "SELECT event_id, CAST(CAST(make_timestamp(start_us) AS DATE) AS VARCHAR) AS event_date, 'SPAN' AS "
-    "record_type, make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp FROM ided WHERE close_reason <> "
-    "'end_of_input'",
-    "actions_written_twice": SPANNED + f", {ACTIONS} SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
-    "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions WHERE event_id IN "
+    "record_type, make_timestamp(start_us) AS start_timestamp, make_timestamp(end_us) AS timestamp, name, CASE kind WHEN 'root' THEN "
+    "'record_root' WHEN 'llm' THEN 'generation' ELSE 'tool' END AS span_type, ided.session_key AS record_id, model, CASE WHEN "
+    "close_reason = 'ended' OR (kind = 'root' AND close_reason IN ('agent_end', 'stale')) THEN name END AS call_function, CASE kind "
+    "WHEN 'root' THEN prompt END AS prompt, trace_id, span_id, CASE WHEN kind <> 'root' THEN 'span_' || trace_id || '_0' END AS "
+    "parent_id FROM ided JOIN facts USING (session_key, trace_no) WHERE close_reason <> 'end_of_input'",
+    "actions_written_twice": SPANNED + f", {ACTIONS}, calls AS (SELECT i.event_id, coalesce(json_extract_string(e.params, '$.q'), "
+    "json_extract_string(s.params, '$.q')) AS q, nullif(e.error, '') AS failure FROM ided i JOIN pairs p ON p.start_seq = i.start_seq "
+    "AND i.kind = 'tool' JOIN ann s ON s.event_seq = p.start_seq LEFT JOIN ann e ON e.event_seq = p.end_seq), asked AS (SELECT "
+    "event_id, f.prompt FROM ided i JOIN facts f USING (session_key, trace_no) WHERE kind <> 'tool') "
+    f"SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
+    "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id, prompt, q, failure FROM actions "
+    "LEFT JOIN calls USING (event_id) LEFT JOIN asked USING (event_id) WHERE event_id IN "
     "(SELECT event_id FROM ided WHERE close_reason <> 'end_of_input')",
     "actions_append": SPANNED_DIAG + f", {ACTIONS} SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
     "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions",
@@ -396,6 +408,10 @@ ORACLES: dict[str, str] = {
     + ROUTED_SPANS[ROUTED_SPANS.rindex("FROM ided i") :]
     + " JOIN traces t ON t.session_key = i.session_key AND t.trace_no = i.trace_no WHERE t.closed_by <> 'end_of_input'",
     "stream_sink": RESOLVED + f"{_CLOSED} {ROLLUP.format(source='closed')}",
+    "stream_quality": f"WITH {HOOKS_E}, m AS (SELECT count(*) AS event_rows, count(*) FILTER (WHERE session_key IS NULL) AS "
+    "missing_session, count(*) FILTER (WHERE event_name LIKE '%tool_call' AND nullif(tool_call_id, '') IS NULL) AS missing_call_id, "
+    "0::BIGINT AS malformed_params, 0::BIGINT AS bad_numbers, count(*) FILTER (WHERE event_name = 'llm_output' AND usage IS NULL) AS "
+    "missing_usage, 0::BIGINT AS late_rows FROM hooks) SELECT metric, events FROM (UNPIVOT m ON * INTO NAME metric VALUE events)",
     "stream_late": f"WITH {HOOKS_KNOWN} SELECT event_name, 'behind_watermark' AS late_reason, count(*) AS events, max(ts) AS last_time "
     "FROM hooks WHERE ts < TIMESTAMP '2024-01-15 12:00:00' GROUP BY ALL",
     "stream_media_dedup": f"WITH {REFS} SELECT DISTINCT conv_id, path FROM paths",

@@ -374,7 +374,7 @@ def trace_usage(spark, sf_dir):
 
 @query
 def trace_summary(spark, sf_dir):
-    return summarize_traces(_spans(spark, sf_dir)).drop("trace_id")
+    return summarize_traces(_spans(spark, sf_dir, HALF_DAY, V.hooks_diag)).drop("trace_id")
 
 
 @query
@@ -445,15 +445,29 @@ def _written_twice(spark, sf_dir) -> str:
 @query
 def events_written_twice(spark, sf_dir):
     rows = spark.read.parquet(f"{_written_twice(spark, sf_dir)}/events")
+
+    def attribute(name: str, column: str) -> str:
+        return f"get_json_object(record_attributes, '$[\\'{T.NS}{name}\\']') as {column}"
+
     return rows.selectExpr(
-        "event_id", "cast(event_date as string) as event_date", "record_type", "start_timestamp", "timestamp"
+        "event_id", "cast(event_date as string) as event_date", "record_type", "start_timestamp", "timestamp",
+        "get_json_object(record, '$.name') as name", attribute("span_type", "span_type"), attribute("record_id", "record_id"),
+        attribute("model", "model"), attribute("call.function", "call_function"),
+        f"get_json_object(get_json_object(record_attributes, '$[\\'{T.NS}trace.input\\']'), '$.prompt') as prompt",
+        *[f"get_json_object(trace, '$.{c}') as {c}" for c in ("trace_id", "span_id", "parent_id")],
     )
 
 
 @query
 def actions_written_twice(spark, sf_dir):
     rows = spark.read.parquet(f"{_written_twice(spark, sf_dir)}/actions")
-    return rows.drop("input_params", "output_result", "event_date")
+    return rows.withColumns(
+        {
+            "prompt": F.get_json_object("input_params", "$.prompt"),
+            "q": F.get_json_object("input_params", "$.q"),
+            "failure": F.get_json_object("output_result", "$.error"),
+        }
+    ).drop("input_params", "output_result", "event_date")
 
 
 @query
@@ -679,6 +693,13 @@ def stream_sink(spark, sf_dir):
     return T.read_sessions(spark, _assembled(spark, sf_dir), "sessions")
 
 
+@query
+def stream_quality(spark, sf_dir):
+    """Counts observed while the batches of four arrivals were stored, added up."""
+    rows = T.read_batches(spark, _in_arrivals(spark, V.hooks_e(spark, sf_dir), 4, NEVER_STALE), "quality")
+    return rows.groupBy("metric").agg(F.sum("events").alias("events"))
+
+
 @query
 def stream_late(spark, sf_dir):
     """Two arrivals, the later times first: what then comes behind the watermark, with the reason."""

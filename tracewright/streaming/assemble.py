@@ -21,12 +21,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewright.functions.scalars import present
+from tracewright.operators.admission import quality_metrics
 from tracewright.operators.correlation import Memory, correlate, remembered
 from tracewright.operators.rollups import actions, rollup_sessions
 from tracewright.operators.routing import RESET
@@ -190,7 +191,10 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, delay_ms: int, opt
     # Events behind the watermark came too late: their trace may be written already.
     fresh = timed(batch.select(*EVENT_COLUMNS)).drop("host_key").withColumn("late", F.col("ts_us") <= before_us)
     path = new_folder(root, "arrived")
-    fresh.select(*ARRIVED.fieldNames()).write.parquet(path)
+    counts = Observation(f"batch-{batch_id}-{path[-32:]}")
+    fresh.select(*ARRIVED.fieldNames()).observe(counts, *quality_metrics(), F.expr("count_if(late) as late_rows")).write.parquet(path)
+    quality = [(name, int(n or 0)) for name, n in counts.get.items()]
+    write_batch(spark.createDataFrame(quality, "metric string, events long").coalesce(1), f"{root}/quality", batch_id)
     came = spark.read.schema(ARRIVED).parquet(path)
     write_batch(came.where("late").select(*EVENT_COLUMNS, F.lit("behind_watermark").alias("late_reason")), f"{root}/late", batch_id)
     high = came.where("not late").agg(F.max("ts_us")).first()[0]
@@ -291,7 +295,8 @@ def assemble_traces(
     available_now: bool = False,
 ) -> StreamingQuery:
     """Write closed traces into ``root``/events, /actions and /sessions; idempotent by batch. Read them with
-    ``read_batches`` and ``read_sessions``, which see whole batches only.
+    ``read_batches`` and ``read_sessions``, which see whole batches only. /quality holds the counts of each batch, observed
+    while its events were stored.
 
     ``delay`` is how late an event may come; events later than that, or with the time of the horizon itself, go to
     /late with a reason. ``root`` and ``checkpoint`` must be shared folders, used by one stream at a time.
