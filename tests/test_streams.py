@@ -161,3 +161,36 @@ def test_a_re_spawned_child_is_reset_in_the_old_root_across_batches(spark, tmp_p
     want = {tuple(r) for r in T.event_rows(spans).where("event_id is not null").select("event_id", "record", "timestamp", "trace").collect()}
     got = {tuple(r) for r in T.read_batches(spark, root, "events").select("event_id", "record", "timestamp", "trace").collect()}
     assert got == want and len(got) == 7
+
+
+def test_the_oldest_key_is_forgotten(spark, tmp_path):
+    """A budget of 2,048 keys against a plain model: first in, first out, by shard."""
+    from tracewright.streaming.media import first_seen
+
+    rng = random.Random(3)
+    batches = [[(f"e{rng.randrange(40)}", f"/p{min(int(rng.expovariate(1 / 900)), 9000)}", 10_000 * b + i) for i in range(6_000)] for b in range(3)]
+    source = tmp_path / "in"
+    for budget, shards in ((2048, 16), (40, 4)):
+        known, want = {}, []
+        shard_of = {}
+        keys = spark.createDataFrame(sorted({r[:2] for b in batches for r in b}), "entity string, path string")
+        for r in keys.selectExpr("entity", "path", f"pmod(xxhash64(to_json(struct(entity, path))), {shards}) as s").collect():
+            shard_of[r.entity, r.path] = r.s
+        for row in (r for b in batches for r in b):
+            own = known.setdefault(shard_of[row[:2]], {})
+            if row[:2] not in own:
+                own[row[:2]] = None
+                want.append(row)
+                if len(own) > budget // shards:
+                    del own[next(iter(own))]
+        root = tmp_path / f"run{budget}"
+        for number, batch in enumerate(batches):
+            if budget == 2048:
+                spark.createDataFrame(batch, "entity string, path string, ts long").coalesce(1).write.parquet(str(source / f"b={number}"))
+        stream = spark.readStream.schema("entity string, path string, ts long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        found = first_seen(stream.parquet(str(source)), ["entity", "path"], "ts", budget, shards)
+        run = found.writeStream.format("parquet").option("checkpointLocation", str(root / "cp")).trigger(availableNow=True)
+        run.start(str(root / "out")).awaitTermination()
+        got = sorted((r.entity, r.path, r.ts) for r in spark.read.parquet(str(root / "out")).collect())
+        assert got == sorted(want)
+        assert len(want) > len(keys.collect())  # some keys were forgotten and came again

@@ -26,7 +26,7 @@ from tracewright.plans import views as V
 from tracewright.sources import tables as T
 from tracewright.sources.hooks import canonical, read_hook_events, union_hooks
 from tracewright.streaming.assemble import assemble_traces
-from tracewright.streaming.media import new_media
+from tracewright.streaming.media import new_media, new_media_by_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -713,18 +713,27 @@ def stream_late(spark, sf_dir):
     return rows.groupBy("event_name", "late_reason").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_time"))
 
 
-@query
-def stream_media_dedup(spark, sf_dir):
+def _media_stream(spark, sf_dir, found_in) -> DataFrame:
     root = _scratch(spark, "media")
     turns = V.conversations(spark, sf_dir, streaming=True).withColumn(
         "ts", F.expr("timestamp_micros(1704067200000000 + conv_id * 3600000000 + turn * 60000000)")
     )
-    found = new_media(turns, ["conv_id"], ["text"], HOME, "1 day")
-    run = found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    run = found_in(turns).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
     run.trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("conv_id", "path")
 
 
+@query
+def stream_media_dedup(spark, sf_dir):
+    return _media_stream(spark, sf_dir, lambda turns: new_media(turns, ["conv_id"], ["text"], HOME, "1 day"))
+
+
+@query
+def stream_media_budget(spark, sf_dir):
+    """References that are not among the last keys remembered, by number of keys."""
+    return _media_stream(spark, sf_dir, lambda turns: new_media_by_count(turns, ["conv_id"], ["text"], HOME))
+
+
 # --- redaction of JSON, decoding ---
 
 
