@@ -6,7 +6,9 @@ dies when the run ends or is spawned again, or when the root trace closes.
 
 Whether a link can be made depends on earlier links, so links are found by repetition: each round looks
 every key up in the links of the round before. A round fixes everything that depends only on what earlier
-rounds fixed; the number of rounds is the nesting depth and a few more, and the result is exact.
+rounds fixed, and the rounds end when nothing moves, so the result is exact. Between rounds, spawns that wait for
+one another in a chain take the root trace at the chain's head by pointer jumping, so that a chain of n spawns
+takes about log2(n) small joins and two rounds, not n rounds.
 """
 
 from __future__ import annotations
@@ -115,15 +117,17 @@ def resolve_lifecycles(
             "life_key as key",
             *ORDER,
             # An end, or a spawn without a home, leaves the key without a link.
-            f"if(creates and not {end}, struct(root, root_seq, root_next as next_start, root_cut as cut_us, "
-            f"event_seq as link_seq), cast(struct(null, null, null, null, null) as {LINK})) as link",
+            f"struct(if(creates and not {end}, struct(root, root_seq, root_next as next_start, root_cut as cut_us, "
+            f"event_seq as link_seq), cast(struct(null, null, null, null, null) as {LINK})) as link, "
+            f"if(usable and {spawn} and not creates, event_seq, null) as homeless) as fact",
         )
         hosts = _look_up(
-            _probes(state, {"r": "requester_key", "c": "life_key"}), facts, "link", ["r", "c"], split
+            _probes(state, {"r": "requester_key", "c": "life_key"}), facts, "fact", ["r", "c"], split
         )
-        host, current = "found_r", "found_c"
+        host, current = "found_r.link", "found_c.link"
         # A spawn drops the child's old link first, so a session that spawns itself is not nested in it.
-        nested = f"({_alive(host)} and not ({spawn} and requester_key <=> child_key))"
+        itself = f"({spawn} and requester_key <=> child_key)"
+        nested = f"({_alive(host)} and not {itself})"
         attached = f"({_alive(current)} and not {spawn})"
         container = f"if({nested}, {host}, own)"
         joined = state.join(hosts, F.col("event_seq") == F.col("_seq"), "left")
@@ -141,13 +145,46 @@ def resolve_lifecycles(
             f"if(usable and not {attached} and {nested}, {host}.link_seq, null) as parent_seq",
             f"if({attached}, {current}.link_seq, if(usable and {container} is not null, event_seq, null)) as link_seq",
             f"if({spawn} and {_alive(current)}, {current}, null) as resets",
+            f"if(usable and {spawn} and own is null and not {itself}, found_r.homeless, null) as waits_for",
         )
         renewed = cut(spark, renewed)
         differs = " or ".join(f"not (old_{c} <=> {c})" for c in STATE)
         moved = renewed.where(differs).take(1)
         state = renewed.drop(*[f"old_{c}" for c in STATE])
         if not moved:
-            return state
+            return state.drop("waits_for")
+        state = follow_chains(state)
+
+
+def follow_chains(state: DataFrame) -> DataFrame:
+    """Spawns that wait for a spawn without a home take the home at the head of their chain, if it is still open for them.
+
+    A trace that is open for an event is open for all events before it, so the spawns between need no look of their own.
+    What a round has settled is not touched: a settled spawn waits for settled ones only, and none of these has a home.
+    """
+    spark = state.sparkSession
+    of_head = [c for c in STATE if c not in ("parent_seq", "link_seq")]
+    heads = state.where("creates").select(F.col("event_seq").alias("_head"), *[F.col(c).alias(f"_{c}") for c in of_head])
+    waiting = state.where("waits_for is not null and not creates").selectExpr(*ORDER, "waits_for as at")
+    started = waiting.join(heads, F.col("at") == F.col("_head"), "left_semi")
+    if not started.take(1):
+        return state.drop("waits_for")
+    chain = cut(spark, waiting)
+    while True:
+        onward = chain.selectExpr("event_seq as _at", "at as _next")
+        further = chain.join(onward, F.col("at") == F.col("_at"), "left")
+        further = cut(spark, further.selectExpr(*ORDER, "coalesce(_next, at) as at", "_next is not null as jumped"))
+        chain = further.drop("jumped")
+        if not further.where("jumped").take(1):
+            break
+    link = "struct(_root as root, _root_next as next_start, _root_cut as cut_us)"
+    found = chain.join(heads, F.col("at") == F.col("_head")).where(_alive(link))
+    found = found.select(F.col("event_seq").alias("_seq"), *[f"_{c}" for c in of_head])
+    taken = {c: f"if(_seq is null, {c}, _{c})" for c in of_head}
+    taken |= {"parent_seq": "if(_seq is null, parent_seq, waits_for)", "link_seq": "coalesce(_seq, link_seq)"}
+    joined = state.join(found, F.col("event_seq") == F.col("_seq"), "left")
+    kept = [c for c in state.columns if c != "waits_for"]
+    return cut(spark, joined.selectExpr(*[f"{taken[c]} as {c}" if c in taken else c for c in kept]))
 
 
 STATE = ["creates", "root", "root_seq", "root_next", "root_cut", "parent_seq", "link_seq"]
