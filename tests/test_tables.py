@@ -35,7 +35,7 @@ def test_appending_twice_changes_nothing(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "actions"))
     assert (events.count(), stored.count()) == (n, n)
     assert types(events.drop("event_date").schema) == types(EVENTS_TABLE)
-    assert types(stored.drop("event_date").schema) == types(ACTIONS_TABLE)
+    assert types(stored.drop("event_date", *T.SLOTS).schema) == types(ACTIONS_TABLE)
     assert types(rollup_sessions(spans).schema) == types(SESSIONS_TABLE)
 
 
@@ -69,6 +69,61 @@ def test_access_paths_reach_the_scan(spark, tmp_path):
     assert rows.count() == T.final(spans).where("session_id = 'g0s0'").count()
 
 
+def scanned(df) -> tuple[int, int, int]:
+    """Rows of a plain scan, and how many files and rows it read."""
+    rows = len(df.collect())
+    metrics = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    return rows, *(metrics.apply(name).value() for name in ("numFiles", "numOutputRows"))
+
+
+def test_each_access_path_reads_its_share(spark, tmp_path):
+    """Actions of 4 days, 3 types and 40 sessions; each path reads the folders that can hold its rows."""
+    path, day = str(tmp_path / "actions"), 86_400_000_000
+    types = ("llm", "tool", "agent")
+    rows = [
+        (f"e{i}", f"s{i % 40}", types[i % 3], f"u{i % 7}", i % 4 * day + i * 1000, "x") for i in range(1200)
+    ]
+    names = "event_id string, session_id string, action_type string, user_id string, us bigint, input_params string"
+    df = spark.createDataFrame(rows, names).selectExpr(
+        "*", "timestamp_micros(us) as created_at", "to_date(timestamp_micros(us)) as event_date"
+    )
+    for _ in range(2):  # the second time adds nothing
+        T.append(df.drop("us"), path, "event_id", "created_at", tuple(T.SLOTS), ("session_id", "user_id"))
+    stored = T.read_actions(spark, path)
+    assert stored.count() == 1200
+    n, files, _ = scanned(stored.where("length(input_params) = 1"))
+    folders = stored.select("event_date", *T.SLOTS).distinct().count()
+    assert n == 1200 and files == folders > 12
+    found = {
+        "session": T.actions_by(stored, session="s7"),
+        "type": T.actions_by(stored, action_type="tool"),
+        "both": T.actions_by(stored, session="s7", action_type="tool"),
+        "until": T.actions_by(stored, until="1970-01-02 00:00:00"),
+        "user": T.actions_by(stored, user="nobody"),
+    }
+    got = {name: scanned(rows) for name, rows in found.items()}
+    assert {name: n for name, (n, _, _) in got.items()} == {"session": 30, "type": 400, "both": 10, "until": 300, "user": 0}
+    assert got["session"][1] < files / 2 and got["type"][1] < files * 0.7  # two types may share a folder
+    assert got["both"][1] < files / 4 and got["until"][1] <= files / 2
+    assert got["user"][2] == 0  # no row group is read
+
+
+def test_stored_sessions_by_user_skip_row_groups(spark, tmp_path):
+    rows = [(f"s{i}", f"u{i % 50}", "m", "c", i, i + 1, 1, 2) for i in range(2000)]
+    names = [f.name for f in SESSIONS_TABLE.fields]
+    seconds = ("start_time", "end_time")
+    df = spark.createDataFrame(rows, names).selectExpr(
+        *[f"timestamp_seconds({f.name}) as {f.name}" if f.name in seconds else f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in SESSIONS_TABLE]
+    )
+    for _ in range(2):
+        T.write_sessions(df, str(tmp_path / "sessions"))
+    stored = T.read_sessions(spark, str(tmp_path / "sessions"))
+    n, _, read = scanned(T.sessions_by(stored, user="u7"))
+    assert n == 40 and read < 2000
+    assert scanned(T.sessions_by(stored, user="u07"))[2] == 0
+    assert stored.where("total_actions <> 2").count() == 0 and stored.count() == 2000
+
+
 @pytest.mark.parametrize(
     "options, runs", [(OPTIONS, True), (OPTIONS.but(grace_ms=3_000, sweep_ms=4_000), False)], ids=["plain", "grace"]
 )

@@ -358,6 +358,11 @@ ORACLES: dict[str, str] = {
     "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id, prompt, q, failure FROM actions "
     "LEFT JOIN calls USING (event_id) LEFT JOIN asked USING (event_id) WHERE event_id IN "
     "(SELECT event_id FROM ided WHERE close_reason <> 'end_of_input')",
+    "stored_actions_by_session": SPANNED + f", {ACTIONS} SELECT event_id, session_id, action_name, duration_ms, created_at FROM actions "
+    "WHERE session_id = '7' AND action_type = 'tool' AND created_at < TIMESTAMP '2024-01-20' AND event_id IN "
+    "(SELECT event_id FROM ided WHERE close_reason <> 'end_of_input')",
+    "stored_sessions_by_start": SPANNED + f", r AS ({ROLLUP.format(source='ided')}) SELECT session_id, start_time, total_actions FROM r "
+    "WHERE start_time >= TIMESTAMP '2024-01-02' AND start_time < TIMESTAMP '2024-01-04'",
     "actions_append": SPANNED_DIAG + f", {ACTIONS} SELECT {ACTION_ID} AS id, session_id, action_type, action_name, model_name, "
     "prompt_tokens, completion_tokens, duration_ms, '' AS user_id, channel_id, created_at, event_id FROM actions",
     # Merging the two halves gives the rollup of all of it.

@@ -460,14 +460,29 @@ def events_written_twice(spark, sf_dir):
 
 @query
 def actions_written_twice(spark, sf_dir):
-    rows = spark.read.parquet(f"{_written_twice(spark, sf_dir)}/actions")
+    rows = T.read_actions(spark, f"{_written_twice(spark, sf_dir)}/actions")
     return rows.withColumns(
         {
             "prompt": F.get_json_object("input_params", "$.prompt"),
             "q": F.get_json_object("input_params", "$.q"),
             "failure": F.get_json_object("output_result", "$.error"),
         }
-    ).drop("input_params", "output_result", "event_date")
+    ).drop("input_params", "output_result", "event_date", *T.SLOTS)
+
+
+@query
+def stored_actions_by_session(spark, sf_dir):
+    """Tool calls of one session up to a time, read from the stored table along its folders."""
+    rows = T.read_actions(spark, f"{_written_twice(spark, sf_dir)}/actions")
+    found = T.actions_by(rows, session="7", action_type="tool", until="2024-01-20 00:00:00")
+    return found.select("event_id", "session_id", "action_name", "duration_ms", "created_at")
+
+
+@query
+def stored_sessions_by_start(spark, sf_dir):
+    """Sessions that began in a span of time, read from the stored table."""
+    found = T.sessions_by(sessions_written_twice(spark, sf_dir), since="2024-01-02 00:00:00", until="2024-01-04 00:00:00")
+    return found.select("session_id", "start_time", "total_actions")
 
 
 @query

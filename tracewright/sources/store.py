@@ -152,11 +152,18 @@ def read_buckets(spark: SparkSession, state: Commit, table: str, schema: T.Struc
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def blooms(columns: tuple[str, ...]) -> dict[str, str]:
+    """Options of a Parquet writer: Bloom filters, as large as what they hold, for columns that are looked up by value."""
+    enabled = {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+    return {**enabled, "parquet.bloom.filter.adaptive.enabled": "true"} if columns else {}
+
+
 def upsert(
     delta: DataFrame, state: Commit, root: str, table: str, key: str,
-    merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS,
+    merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS, near: tuple[str, ...] = (),
 ) -> None:
-    """Merge rows into a bucketed table. ``delta`` is read twice and should be stored."""
+    """Merge rows into a bucketed table. ``delta`` is read twice and should be stored. The rows of a bucket are sorted by
+    ``near``, so that statistics prune row groups; the key and the first of ``near`` get Bloom filters."""
     spark, schema = delta.sparkSession, delta.schema
     dealt = delta.withColumn("bucket", bucket_of(key, buckets))
     touched = sorted(r[0] for r in dealt.select("bucket").distinct().collect())
@@ -164,8 +171,8 @@ def upsert(
         return
     merged = merge(read_buckets(spark, state, table, schema, touched), delta).select(*delta.columns)
     path = new_folder(root, table)
-    merged = merged.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
-    merged.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+    merged = merged.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").sortWithinPartitions("bucket", *near)
+    merged.write.options(**blooms((key, *near[:1])), compression="zstd").partitionBy("bucket").parquet(path)
     held = state.buckets.setdefault(table, {})
     for bucket in map(str, touched):
         if bucket in held:

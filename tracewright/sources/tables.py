@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.payloads import json_object
@@ -10,8 +10,11 @@ from tracewright.functions.scalars import literal
 from tracewright.operators.rollups import actions
 from tracewright.options import Options
 from tracewright.schemas import SESSIONS_TABLE
-from tracewright.sources.store import Commit, commit, exists, last_commit, read_buckets, upsert
+from tracewright.sources.store import Commit, blooms, commit, exists, last_commit, read_buckets, upsert
 
+# The stored actions lie in folders by day, type and session. A folder is named by a hash, so that any text may be a type or
+# session; a table keeps the numbers it was begun with.
+SLOTS = {"type_slot": ("action_type", 8), "session_slot": ("session_id", 4)}
 # Fixed prefix of the attribute names.
 NS = "ai.observability."
 
@@ -63,15 +66,25 @@ def without_known(rows: DataFrame, known: DataFrame, key: str, day: str) -> Data
     return fresh.join(known.select(key, day), [key, day], "left_anti")
 
 
-def append(dated: DataFrame, path: str, key: str, time: str) -> None:
-    """Append rows idempotently, partitioned by ``event_date``, sorted within files so that file statistics prune."""
+def slot(name: str, value: Column) -> Column:
+    """The folder of a type or session."""
+    return F.pmod(F.xxhash64(value.cast("string")), F.lit(SLOTS[name][1])).cast("int")
+
+
+def append(dated: DataFrame, path: str, key: str, time: str, slots: tuple[str, ...] = (), looked_up: tuple[str, ...] = ()) -> None:
+    """Append rows idempotently, in folders by ``event_date`` and ``slots``, sorted within files so that file statistics prune;
+    ``looked_up`` columns get Bloom filters. Rows of a folder are gathered first, large folders in several tasks and files."""
     spark = dated.sparkSession
     if exists(spark, path):
         dated = without_known(dated, spark.read.schema(dated.schema).parquet(path), key, "event_date")
     else:
         dated = dated.dropDuplicates([key])
     order = "session_id" if "session_id" in dated.columns else key
-    dated.sortWithinPartitions("event_date", order, time).write.mode("append").partitionBy("event_date").parquet(path)
+    folders = ["event_date", *slots]
+    if slots:
+        dated = dated.withColumns({name: slot(name, F.col(SLOTS[name][0])) for name in slots}).hint("rebalance", *folders)
+    sorted_rows = dated.sortWithinPartitions(*folders, order, time)
+    sorted_rows.write.options(**blooms(looked_up)).mode("append").partitionBy(*folders).parquet(path)
 
 
 def final(spans: DataFrame) -> DataFrame:
@@ -87,7 +100,13 @@ def write_events(spans: DataFrame, path: str, options: Options = Options()) -> N
 
 def write_actions(spans: DataFrame, path: str) -> None:
     # The key is the span's event id; the numeric id is a digest and could collide.
-    append(actions(final(spans), "to_date(timestamp_micros(start_us)) as event_date"), path, "event_id", "created_at")
+    rows = actions(final(spans), "to_date(timestamp_micros(start_us)) as event_date")
+    append(rows, path, "event_id", "created_at", tuple(SLOTS), ("session_id", "user_id"))
+
+
+def read_actions(spark: SparkSession, path: str) -> DataFrame:
+    """The stored actions, with the columns that name their folders, for ``actions_by``."""
+    return spark.read.parquet(path)
 
 
 def merge_sessions(target: DataFrame, delta: DataFrame) -> DataFrame:
@@ -112,11 +131,15 @@ def merge_sessions(target: DataFrame, delta: DataFrame) -> DataFrame:
     )
 
 
+# Stored sessions are sorted by these within their files.
+SESSIONS_NEAR = ("user_id", "start_time")
+
+
 def write_sessions(delta: DataFrame, path: str) -> None:
     """Merge session rows into the stored table: only the buckets of the sessions in ``delta`` are written again."""
     spark = delta.sparkSession
     state = (last_commit(spark, path) or Commit()).next()
-    upsert(delta, state, path, "rows", "session_id", merge_sessions)
+    upsert(delta, state, path, "rows", "session_id", merge_sessions, near=SESSIONS_NEAR)
     commit(spark, path, state)
 
 
@@ -144,12 +167,21 @@ def actions_by(
     since=None,
     until=None,
 ) -> DataFrame:
-    """Actions along any access path; every condition is a plain comparison that reaches the scan."""
+    """Actions along any access path; every condition is a plain comparison that reaches the scan.
+
+    Of a stored table, type and session choose folders, ``until`` leaves out later days, and the rest is left to the
+    statistics and Bloom filters of the files.
+    """
+    known = {"session_id": session, "action_type": action_type, "user_id": user}
     out = action_rows
-    for column, value in (("session_id", session), ("action_type", action_type), ("user_id", user)):
+    for column, value in known.items():
         if value is not None:
             out = out.where(F.col(column) == F.lit(value))
-    return _between(out, "created_at", since, until)
+    out = _between(out, "created_at", since, until)
+    for name, (of, _) in SLOTS.items():
+        if known[of] is not None and name in action_rows.columns:
+            out = out.where(F.col(name) == slot(name, F.lit(known[of])))
+    return out
 
 
 def sessions_by(session_rows: DataFrame, user: str | None = None, since=None, until=None) -> DataFrame:

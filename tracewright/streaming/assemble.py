@@ -49,7 +49,7 @@ from tracewright.operators.traces import (
 from tracewright.options import Options
 from tracewright.schemas import HOOK_EVENTS
 from tracewright.sources.store import Commit, add_part, commit, last_commit, new_folder, read_parts, tidy, upsert
-from tracewright.sources.tables import event_rows, merge_sessions, write_batch
+from tracewright.sources.tables import SESSIONS_NEAR, event_rows, merge_sessions, write_batch
 
 EVENT_COLUMNS = [f.name for f in HOOK_EVENTS.fields]
 LONG, TEXT, FLAG = T.LongType(), T.StringType(), T.BooleanType()
@@ -248,7 +248,7 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, delay_ms: int, opt
     spans = nest_spans(cut(spark, by_session(seen.where(f"not {is_open}"), known, build_spans)))
     write_batch(event_rows(spans, options), f"{root}/events", batch_id)
     write_batch(actions(spans), f"{root}/actions", batch_id)
-    upsert(cut(spark, rollup_sessions(spans)), draft, root, "sessions", "session_id", merge_sessions)
+    upsert(cut(spark, rollup_sessions(spans)), draft, root, "sessions", "session_id", merge_sessions, near=SESSIONS_NEAR)
 
     # The state after this batch.
     opens = cut(spark, open_rows(seen, horizon, options))
