@@ -4,7 +4,8 @@ A window partitioned by session puts a whole session into one task. That is the
 session is small, and no plan at all when one session holds a third of the data. The scans here take
 both: with ``PLAIN`` they are ordinary windows; with a split they run in two levels. The rows are dealt
 by ranges of group and order into even chunks, however close in time they lie; the scan runs inside
-(group, chunk), then over one total row per chunk. Both give the same values.
+(group, chunk), then over one total row per chunk. Totals of more than ``FAN`` chunks are scanned as a tree: inside groups
+of ``FAN`` chunks, then over the totals of these, so that no task reads more than ``FAN`` of them. Both give the same values.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+FAN = 1024  # chunk totals that one task scans
 # Hot keys are broadcast up to this many, else joined like any other table.
 BROADCAST_KEYS = 200_000
 
@@ -93,6 +95,30 @@ def _filled(scan: Scan, column: Column) -> Column:
     return F.coalesce(column, F.lit(0)) if scan.kind == "sum" else column
 
 
+def _carry(totals: DataFrame, keys: list[str], scans: list[Scan], chunks: int) -> DataFrame:
+    """For each key and chunk (``_k_`` columns) what the chunks before it, behind it or all of them come to (``_c_`` columns)."""
+    inner = [*keys, CHUNK]
+    over = [Scan(s.name, s.kind, F.col(f"_t_{s.name}"), "before" if s.scope == "upto" else s.scope) for s in scans]
+    named = [F.col(k).alias(f"_k_{k}") for k in inner]
+    if chunks <= FAN:
+        return totals.select(*named, *[_over(s, s.value, keys, [CHUNK]).alias(f"_c_{s.name}") for s in over])
+    dealt = totals.withColumn("_above", F.floor(F.col(CHUNK) / FAN).cast("int"))
+    near = [*keys, "_above"]
+    local = dealt.select(*near, *named, *[_over(s, s.value, near, [CHUNK]).alias(f"_n_{s.name}") for s in over if s.scope != "all"])
+    above = dealt.groupBy(*near).agg(*[_total(s, [CHUNK]).alias(f"_t_{s.name}") for s in over])
+    far = _carry(above.withColumnRenamed("_above", CHUNK), keys, scans, -(-chunks // FAN))
+    far = far.select(*[F.col(f"_k_{k}").alias(f"_f_{k}") for k in inner], *[F.col(f"_c_{s.name}").alias(f"_f_c_{s.name}") for s in over])
+    same = F.col("_above") == F.col(f"_f_{CHUNK}")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_f_{key}"))
+    values = [
+        F.col(f"_f_c_{s.name}") if s.scope == "all" else _combine(s.kind, F.col(f"_n_{s.name}"), F.col(f"_f_c_{s.name}"))
+        for s in over
+    ]
+    named = [F.col(f"_k_{k}") for k in inner]
+    return local.join(far, same, "left").select(*named, *[v.alias(f"_c_{s.name}") for s, v in zip(over, values, strict=True)])
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan], split: Split = PLAIN) -> DataFrame:
     """Add one column per scan, computed over the rows with equal ``keys`` in the given order."""
     if not split.active:
@@ -108,18 +134,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], scans: list[Scan],
         "*", *[_over(s, s.value, inner, order).alias(f"_l_{s.name}") for s in scans if s.scope != "all"]
     )
     totals = df.groupBy(*inner).agg(*[_total(s, order).alias(f"_t_{s.name}") for s in scans])
-    carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in inner],
-        *[
-            _over(
-                Scan(s.name, s.kind, s.value, "before" if s.scope == "upto" else s.scope),
-                F.col(f"_t_{s.name}"),
-                keys,
-                [CHUNK],
-            ).alias(f"_c_{s.name}")
-            for s in scans
-        ],
-    )
+    carry = _carry(totals, keys, scans, split.chunks)
     same = F.lit(True)
     for key in inner:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
