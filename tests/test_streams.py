@@ -7,10 +7,12 @@ from pathlib import Path
 
 import pytest
 from helpers import frame
+from pyspark.sql import functions as F
 
 from tracewright.operators.rollups import rollup_sessions
 from tracewright.operators.spans import assemble
 from tracewright.options import Options
+from tracewright.plans.queries import QUERIES
 from tracewright.plans.views import conform
 from tracewright.sources import store
 from tracewright.sources import tables as T
@@ -194,3 +196,19 @@ def test_the_oldest_key_is_forgotten(spark, tmp_path):
         got = sorted((r.entity, r.path, r.ts) for r in spark.read.parquet(str(root / "out")).collect())
         assert got == sorted(want)
         assert len(want) > len(keys.collect())  # some keys were forgotten and came again
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["stream_media_dedup", "stream_media_budget"])
+def test_a_streamed_table_is_a_file_or_a_folder_in_any_order(spark, tmp_path, files, name):
+    # A day apart, the later conversations in the first files: one file at a time would leave out the earlier ones.
+    rows = [(conv, 0, "user", "look") for conv in range(96)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").orderBy(F.desc("conv_id"))
+    df.coalesce(1).write.option("maxRecordsPerFile", 96 // files).parquet(str(tmp_path / "written"))
+    if files == 1:
+        part = next((tmp_path / "written").glob("part-*.parquet"))
+        (tmp_path / "conversations.parquet").write_bytes(part.read_bytes())
+    else:
+        df.coalesce(1).write.option("maxRecordsPerFile", 96 // files).parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(conv, f"/tmp/{conv}_0.png") for conv in range(96)]
