@@ -81,6 +81,23 @@ def test_portions_do_not_show(spark):
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_a_portion_is_counted_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0x61, 0x7B, divergence.PORTION, dtype=np.uint8)
+    data[::5] = 0x20
+    bounds, group = np.array([0, len(data) // 2, len(data)]), np.zeros(2, np.int64)
+    tracemalloc.start()
+    try:
+        rows = sum(int(counts.sum()) for _, _, counts, _ in divergence.count_terms(data, bounds, group))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > len(data) // 6
+    assert peak < 150_000_000, peak
+
+
 def test_nothing_kept_and_nothing_there(spark):
     df = docs(spark, ["a b", "", None, "c", "d", "e"])
     got = audited(df, least_docs=99)

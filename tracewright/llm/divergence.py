@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import partitions, sized, stored
 
-PORTION = 1 << 24  # bytes of text that are counted at once
+PORTION = 1 << 22  # bytes of text that are counted at once; counting takes about 20 times as much memory
 CELLS = 1 << 22  # sources x terms of a chunk at most
 ROWS = 200_000  # counts of a chunk, about
 PARTIAL = "lang string, source string, term string, count long, docs long"
@@ -83,6 +83,7 @@ def count_terms(data: np.ndarray, bounds: np.ndarray, group: np.ndarray) -> Iter
     last[bounds[1:][filled] - 1] = inside[bounds[1:][filled] - 1]
     begin = np.flatnonzero(first)
     length = np.flatnonzero(last) + 1 - begin
+    del inside, first, last
     doc = np.searchsorted(bounds, begin, side="right") - 1
     data = np.concatenate([data, np.zeros(16, np.uint8)])
 
@@ -95,10 +96,12 @@ def count_terms(data: np.ndarray, bounds: np.ndarray, group: np.ndarray) -> Iter
     keys = [packed(data, begin[one], length[one])]
     keys, *rest = found(one, keys, radix_order(keys))
     yield keys[0].astype(">u8").view("S8").tolist(), *rest
+    del one, keys, rest
     two = np.flatnonzero((length > 8) & (length <= 16))
     keys = [packed(data, begin[two] + 8, length[two] - 8), packed(data, begin[two], length[two])]
     keys, *rest = found(two, keys, radix_order(keys))
     yield np.stack(keys[::-1], axis=1).astype(">u8").view("S16").ravel().tolist(), *rest
+    del two, keys, rest
     long = np.flatnonzero(length > 16)
     long = long[np.argsort(length[long], kind="stable")]
     for same in np.split(long, np.flatnonzero(np.diff(length[long])) + 1) if len(long) else ():
