@@ -244,3 +244,19 @@ def test_long_sibling_lists(monkeypatch):
     start = time.time()
     assert len(wrapper.alignment(a, b)) > 19_000
     assert time.time() - start < 20
+
+
+def test_alignment_does_not_depend_on_the_size_of_its_table(monkeypatch):
+    rng = random.Random(3)
+
+    def page():
+        inner = ["<p>x</p>", "<p>y</p>", "<h2>z</h2>", "<ul><li>a</li><li>b</li></ul>", "<ul><li>a</li></ul>", "<ul><li>c</li><p>d</p></ul>"]
+        return tree("<div>" + "".join(rng.choices(inner, k=rng.randint(0, 30))) + "</div>")
+
+    for _ in range(80):
+        a, b = page(), page()
+        want = [(id(x), id(y)) for x, y in wrapper.alignment(a, b)]
+        with monkeypatch.context() as patched:
+            patched.setattr(wrapper, "CELLS", rng.choice([0, 3, 40]))
+            patched.setattr(wrapper, "SEEN", rng.choice([1, 64]))
+            assert [(id(x), id(y)) for x, y in wrapper.alignment(a, b)] == want

@@ -14,9 +14,9 @@ inside the region goes, and paragraphs, headings and list items of an article el
 decide nothing there. Pages of rarer layouts have no region; they are read by tags and by words in class and id, without
 constant nodes.
 
-Sibling lists whose table would have more than ``CELLS`` cells are first cut at children that are equal and occur once on
-either side; what is still too long between them is matched label by label in order. A page learns nothing about what varies
-from a reference that is nearly equal.
+Sibling lists of any length are matched exactly. Of as many matched nodes, equal children go together. A table of siblings
+takes time in proportion to its cells and memory to one length and the root of the other. A page learns nothing about what
+varies from a reference that is nearly equal.
 
 Null or empty html gives an empty text. Pages without a url are a host of their own. Repeated rows are read each. Broken
 markup (unclosed, crossed or cut tags) and any depth are read; character references are decoded as browsers do.
@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import re
 import sys
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,8 @@ ENOUGH = 6  # different pages of a layout, from which on its template decides
 LONG_HTML = 200_000  # characters; references are rather taken from shorter pages
 SHARE = 0.3
 MOST = 2 / 3  # of the slots' text, which the region holds at least
-CELLS = 40_000  # of a table of siblings
+CELLS = 40_000  # of a table of siblings that is worked out cell by cell; larger ones row by row, with equal results
+SEEN = 64  # rows of gains of a sibling list that are kept
 MOST_SHARED = 8_000_000  # characters of references that may be sent to all tasks; more are joined through a shuffle
 SALTS = 16  # copies of the references where they are joined, so that no task reads a whole host
 VOTE = "path long, parent long, node long, pages int, matched int, size long, below long, chain array<long>"
@@ -81,14 +83,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class Block:
     """An element that starts a block of text; inline elements belong to the block around them."""
 
-    __slots__ = ("tag", "label", "path", "parent", "children", "runs", "out", "article", "depth", "known")
+    __slots__ = ("tag", "label", "path", "parent", "children", "runs", "out", "article", "depth")
 
     def __init__(self, tag: str, label: str, parent: Block | None, out: bool, article: bool) -> None:
         self.tag, self.label, self.parent, self.children, self.runs = tag, label, parent, [], []
         self.out = out or bool(parent and parent.out)
         self.article = article or bool(parent and parent.article)
         self.depth = parent.depth + 1 if parent else 0
-        self.known: int | None = None
         self.path = hash_of(f"{parent.path if parent else 0}>{label}")
         if parent:
             parent.children.append(self)
@@ -196,113 +197,115 @@ def marked(named: dict[str, str], by_words: bool) -> bool:
     return not MARKS.isdisjoint(words)
 
 
-def whole_hash(x: Block) -> int:
-    """Of a block with all that is below it."""
-    todo = [x]
-    while todo:
-        node = todo[-1]
-        below = [c for c in node.children if c.known is None]
-        if below:
-            todo.extend(below)
-        else:
-            todo.pop()
-            node.known = hash(("\0".join((node.label, node.text())), *[c.known for c in node.children]))
-    return x.known
-
-
-def anchors(a: list[Block], b: list[Block]) -> list[tuple[int, int]]:
-    """Positions of children that are equal and occur once on either side, as many as keep their order on both."""
-    left, right = ({}, {})
-    for children, places in ((a, left), (b, right)):
-        for i, child in enumerate(children):
-            places.setdefault(whole_hash(child), []).append(i)
-    common = sorted((p[0], right[h][0]) for h, p in left.items() if len(p) == 1 and len(right.get(h, ())) == 1)
-    ends: list[int] = []  # the longest rising sequence of right positions
-    last: list[int] = []
-    before: list[int] = []
-    for k, (_, j) in enumerate(common):
-        at = bisect_left(ends, j)
-        ends[at:at + 1] = [j]
-        last[at:at + 1] = [k]
-        before.append(last[at - 1] if at else -1)
-    found, k = [], last[-1] if last else -1
-    while k >= 0:
-        found.append(common[k])
-        k = before[k]
-    return found[::-1]
-
-
-def stretches(a: list[Block], b: list[Block]) -> Iterator[tuple[list[Block], list[Block]]]:
-    """The lists cut at their anchors."""
-    i = j = 0
-    for x, y in [*anchors(a, b), (len(a), len(b))]:
-        yield a[i:x], b[j:y]
-        yield a[x : x + 1], b[y : y + 1]
-        i, j = x + 1, y + 1
-
-
-def label_by_label(a: list[Block], b: list[Block]) -> list[tuple[Block, Block]]:
-    """Pairs of equal labels in order: of each child the next one behind the last pair."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y.label, []).append(j)
-    pairs, at = [], 0
-    for x in a:
-        own = places.get(x.label, ())
-        k = bisect_left(own, at)
-        if k < len(own):
-            pairs.append((x, b[own[k]]))
-            at = own[k] + 1
-    return pairs
+def numbered(roots: tuple[Block, ...]) -> tuple[list[tuple], dict[int, int], dict[int, int]]:
+    """Forms (label and the numbers of the children's forms) by number; of each block, by id, the number of its form and of its
+    form with all texts. Equal blocks have equal numbers."""
+    forms: dict[tuple, int] = {}
+    wholes: dict[tuple, int] = {}
+    form: dict[int, int] = {}
+    whole: dict[int, int] = {}
+    for root in roots:
+        order = [root]
+        for node in order:
+            order.extend(node.children)
+        for node in reversed(order):
+            below = [id(c) for c in node.children]
+            form[id(node)] = forms.setdefault((node.label, *[form[c] for c in below]), len(forms))
+            whole[id(node)] = wholes.setdefault((node.label, node.text(), *[whole[c] for c in below]), len(wholes))
+    return list(forms), form, whole
+
+
+def next_row(above, gain):
+    """A row of the table of two sibling lists: the most that can be gained up to each place."""
+    if isinstance(above, np.ndarray):
+        row = np.zeros_like(above)
+        np.maximum(above[1:], above[:-1] + gain, out=row[1:])
+        return np.maximum.accumulate(row, out=row)
+    row = [0]
+    for j, g in enumerate(gain):
+        row.append(max(above[j + 1], row[j], above[j] + g))
+    return row
 
 
 def alignment(a: Block, b: Block) -> list[tuple[Block, Block]]:
-    """Matched nodes of two trees by simple tree matching."""
+    """Matched nodes of two trees by simple tree matching; where as many nodes match in several ways, children that are equal
+    with all that is below them go together."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be deep
+    forms, form, whole = numbered((a, b))
     known: dict[tuple[int, int], int] = {}
 
-    def table(xs: list[Block], ys: list[Block]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
-        for p in xs:
-            above, row = rows[-1], [0]
-            for j, q in enumerate(ys, 1):
-                row.append(max(above[j], row[j - 1], above[j - 1] + weight(p, q)))
-            rows.append(row)
-        return rows
-
-    def matched(xs: list[Block], ys: list[Block], cut: bool = False) -> list[tuple[Block, Block]]:
-        """Pairs of children."""
+    def first_row(xs, ys):
+        """Long lists are worked out as arrays, which gives the same."""
+        return np.zeros(len(ys) + 1, np.int64) if len(xs) * len(ys) > CELLS else [0] * (len(ys) + 1)
+
+    def gains(xs, ys, whole_xs=None, whole_ys=None):
+        """A function that gives what x at a place gains with each y: matched nodes, and less than one for equal ones."""
+        unlike, seen = set(ys), {}
+        arrays = isinstance(first_row(xs, ys), np.ndarray)
+        equal_to = None if whole_ys is None else np.array(whole_ys) if arrays else whole_ys
+
+        def of(i: int):
+            x = xs[i]
+            if x not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                found = {y: nodes(x, y) << 32 for y in unlike}
+                row = [found[y] for y in ys]
+                seen[x] = np.array(row, np.int64) if arrays else row
+            if equal_to is None:
+                return seen[x]
+            w = whole_xs[i]
+            return seen[x] + (equal_to == w) if arrays else [g + (w == v) for g, v in zip(seen[x], equal_to, strict=True)]
+
+        return of
+
+    def nodes(x: int, y: int) -> int:
+        """How many nodes of two forms match."""
+        left, right = forms[x], forms[y]
+        if left[0] != right[0]:
+            return 0
+        if len(left) == 1 or len(right) == 1:
+            return 1
+        if (x, y) not in known:
+            xs, ys = left[1:], right[1:]
+            row, gain = first_row(xs, ys), gains(xs, ys)
+            for i in range(len(xs)):
+                row = next_row(row, gain(i))
+            known[x, y] = 1 + (int(row[-1]) >> 32)
+        return known[x, y]
+
+    def matched(xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
+        """Pairs of children. Of a long table some rows are kept, and those between are worked out again."""
         if not xs or not ys:
             return []
-        if len(xs) * len(ys) > CELLS:
-            if cut:
-                return label_by_label(xs, ys)
-            return [pair for part in stretches(xs, ys) for pair in matched(*part, cut=True)]
-        pairs, rows, i, j = [], table(xs, ys), len(xs), len(ys)
-        while i and j:
-            gain = weight(xs[i - 1], ys[j - 1])
-            if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
-                pairs.append((xs[i - 1], ys[j - 1]))
-                i, j = i - 1, j - 1
-            elif rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        fx, fy = [form[id(x)] for x in xs], [form[id(y)] for y in ys]
+        gain = gains(fx, fy, [whole[id(x)] for x in xs], [whole[id(y)] for y in ys])
+        tops = [first_row(xs, ys)]
+        size = len(xs)
+        if isinstance(tops[0], np.ndarray):
+            size, row = isqrt(len(xs)) + 1, tops[0]
+            for i in range(len(xs)):
+                row = next_row(row, gain(i))
+                if (i + 1) % size == 0:
+                    tops.append(row)
+        pairs, j = [], len(ys)
+        for start in reversed(range(0, len(xs), size)):
+            gained = [gain(i) for i in range(start, min(start + size, len(xs)))]
+            rows = [tops[start // size]]
+            for g in gained:
+                rows.append(next_row(rows[-1], g))
+            i = len(gained)
+            while i and j:
+                g = gained[i - 1][j - 1]
+                if g and rows[i][j] == rows[i - 1][j - 1] + g:
+                    pairs.append((xs[start + i - 1], ys[j - 1]))
+                    i, j = i - 1, j - 1
+                elif rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
         return pairs
 
-    def weight(x: Block, y: Block) -> int:
-        if x.label != y.label:
-            return 0
-        if not x.children or not y.children:
-            return 1
-        key = (id(x), id(y))
-        if key not in known:
-            if len(x.children) * len(y.children) > CELLS:
-                known[key] = 1 + sum(weight(p, q) for p, q in matched(x.children, y.children))
-            else:
-                known[key] = 1 + table(x.children, y.children)[-1][-1]
-        return known[key]
-
     pairs, todo = [], [(a, b)] if a.label == b.label else []
     while todo:
         x, y = todo.pop()
