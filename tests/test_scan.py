@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import scan
-from tracewright.operators.scan import PLAIN, Scan, Split, running
+from tracewright.operators.scan import PLAIN, Scan, Split, as_of, running
 
 
 @pytest.mark.parametrize("keys", [[], ["k"]], ids=["no key", "key"])
@@ -41,3 +41,13 @@ def test_no_task_scans_more_totals_than_the_fan(spark, monkeypatch):
     single = [line for line in text.splitlines() if "Window [" in line and "_above" not in line]
     assert len(single) == 1 and "windowspecdefinition(_chunk" in single[0]  # over the totals of the groups alone
     assert text.index(single[0]) < text.index("Aggregate [")
+
+
+@pytest.mark.parametrize("split", [PLAIN, Split(3)], ids=["plain", "split"])
+def test_a_probe_does_not_see_the_fact_of_its_own_position(spark, monkeypatch, split):
+    """The shuffle of a cluster may bring the facts first; then the rounds of routing never came to an end."""
+    facts_first = lambda df, *rest: running(df.coalesce(1).sortWithinPartitions(F.col("v").isNull()), *rest)
+    monkeypatch.setattr(scan, "running", facts_first)
+    rows = spark.range(20).selectExpr("'a' as k", "id as at")
+    found = as_of(rows, rows.withColumn("v", F.col("at")), "k", ["at"], "v", "before", split)
+    assert {r["at"]: r["before"] for r in found.collect()} == {i: i - 1 if i else None for i in range(20)}

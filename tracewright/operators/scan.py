@@ -238,16 +238,17 @@ def as_of(
 ) -> DataFrame:
     """For each probe the ``value`` of the last fact of the same key before it in order.
 
-    Facts and probes are merged by key and time and scanned once: no range join, no pairs.
+    Facts and probes are merged by key and time and scanned once: no range join, no pairs. A probe stands before the facts
+    of its own position, in whatever order a shuffle brings the rows: an event may be both.
     """
     value_type = facts.schema[value].dataType
     merged = (
         probes.withColumn(value, F.lit(None).cast(value_type))
-        .withColumn("_probe", F.lit(True))
-        .unionByName(facts.select(key, *order, value).withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+        .withColumn("_fact", F.lit(False))
+        .unionByName(facts.select(key, *order, value).withColumn("_fact", F.lit(True)), allowMissingColumns=True)
     )
     return (
-        running(merged, [key], order, [Scan(found, "last", F.col(value), "before")], split)
-        .where("_probe")
-        .drop("_probe", value)
+        running(merged, [key], [*order, "_fact"], [Scan(found, "last", F.col(value), "before")], split)
+        .where("not _fact")
+        .drop("_fact", value)
     )

@@ -17,7 +17,7 @@ from tracewright.operators.correlation import correlate, correlation_split, memo
 from tracewright.operators.pairing import match_tools, pair_tools, tool_events
 from tracewright.operators.rollups import actions, rollup_actions, rollup_sessions, summarize_traces
 from tracewright.operators.routing import resolve_lifecycles, route
-from tracewright.operators.scan import Split, checkpoint_dir
+from tracewright.operators.scan import Split, checkpoint_dir, cut
 from tracewright.operators.spans import assemble, build_spans, collect_traces, nest_spans
 from tracewright.operators.traces import annotate, annotate_by_heat, by_session, number_traces, own_traces, timed
 from tracewright.operators.traces import gap_sessions as activity_runs
@@ -337,10 +337,10 @@ def routed_spans(spark, sf_dir):
     spans = by_session(
         routed, NEVER_STALE, lambda part, known, split: build_spans(annotate(part, known, split), known, split)
     )
-    return nest_spans(spans).selectExpr(
-        "session_id", "trace_no", "kind", "start_seq", "name", "close_reason", "span_seq", "span_id",
-        "parent_span_id", _time("end_us", "end_time"),
-    )
+    columns = ["session_id", "trace_no", "kind", "start_seq", "name", "close_reason", "span_seq", "span_id"]
+    # Stored before nesting, which reads them three times.
+    slim = cut(spark, spans.select(*columns, "parent_span_id", "parent_seq", "end_us"))
+    return nest_spans(slim).selectExpr(*columns, "parent_span_id", _time("end_us", "end_time"))
 
 
 @query
