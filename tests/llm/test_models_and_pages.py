@@ -260,3 +260,26 @@ def test_alignment_does_not_depend_on_the_size_of_its_table(monkeypatch):
             patched.setattr(wrapper, "CELLS", rng.choice([0, 3, 40]))
             patched.setattr(wrapper, "SEEN", rng.choice([1, 64]), raising=False)
             assert [(id(x), id(y)) for x, y in wrapper.alignment(a, b)] == want
+
+
+def test_what_two_shapes_match_is_worked_out_once(monkeypatch):
+    """Equal siblings around what differs take no table, and later pages none for shapes that were met; the pairs stay the same."""
+    rows = []
+    real = wrapper.next_row
+    monkeypatch.setattr(wrapper, "next_row", lambda *a: rows.append(1) or real(*a))
+    same = "".join(f"<p>t{i}</p>" for i in range(200))
+    a, b = tree(f"<div>{same}<h2>x</h2>{same}</div>"), tree(f"<div>{same}<p>y</p><h2>z</h2>{same}</div>")
+    assert len(wrapper.alignment(a, b)) == 403 and len(rows) < 10
+
+    rng = random.Random(4)
+    inner = ["<p>x</p>", "<p>y</p>", "<h2>z</h2>", "<ul><li>a</li><li>b</li></ul>", "<ul><li>a</li></ul>", "<ul><li>c</li><p>d</p></ul>"]
+    pages = [tree("<div>" + "".join(rng.choices(inner, k=rng.randint(0, 30))) + "</div>") for _ in range(40)]
+    for most in (0, 20_000):  # with what pages add dropped at once, and kept
+        monkeypatch.setattr(wrapper, "MOST_SHAPES", most)
+        shapes = wrapper.Shapes(pages[:2])
+        for page in pages[2:]:
+            for other in pages[:2]:
+                want = [(id(x), id(y)) for x, y in wrapper.alignment(page, other)]
+                shapes.clear()
+                shapes.number(page)
+                assert [(id(x), id(y)) for x, y in wrapper.alignment(page, other, shapes)] == want

@@ -46,6 +46,7 @@ SHARE = 0.3
 MOST = 2 / 3  # of the slots' text, which the region holds at least
 CELLS = 40_000  # of a table of siblings that is worked out cell by cell; larger ones row by row, with equal results
 SEEN = 64  # rows of gains of a sibling list that are kept
+MOST_SHAPES = 20_000  # entries of forms and of pairs of forms that are kept for the pages of a layout
 MOST_SHARED = 8_000_000  # characters of references that may be sent to all tasks; more are joined through a shuffle
 SALTS = 16  # copies of the references where they are joined, so that no task reads a whole host
 VOTE = "path long, parent long, node long, pages int, matched int, size long, below long, chain array<long>"
@@ -83,7 +84,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 class Block:
     """An element that starts a block of text; inline elements belong to the block around them."""
 
-    __slots__ = ("tag", "label", "path", "parent", "children", "runs", "out", "article", "depth")
+    __slots__ = ("tag", "label", "path", "parent", "children", "runs", "out", "article", "depth", "form", "whole")
 
     def __init__(self, tag: str, label: str, parent: Block | None, out: bool, article: bool) -> None:
         self.tag, self.label, self.parent, self.children, self.runs = tag, label, parent, [], []
@@ -95,7 +96,7 @@ class Block:
             parent.children.append(self)
 
     def text(self) -> str:
-        return "\n".join(t for _, t in self.runs)
+        return self.runs[0][1] if len(self.runs) == 1 else "\n".join([t for _, t in self.runs])
 
 
 def hash_of(text: str) -> int:
@@ -197,22 +198,57 @@ def marked(named: dict[str, str], by_words: bool) -> bool:
     return not MARKS.isdisjoint(words)
 
 
-def numbered(roots: tuple[Block, ...]) -> tuple[list[tuple], dict[int, int], dict[int, int]]:
-    """Forms (label and the numbers of the children's forms) by number; of each block, by id, the number of its form and of its
-    form with all texts. Equal blocks have equal numbers."""
-    forms: dict[tuple, int] = {}
-    wholes: dict[tuple, int] = {}
-    form: dict[int, int] = {}
-    whole: dict[int, int] = {}
-    for root in roots:
+class Shapes:
+    """Numbers of the forms of blocks (label and the numbers of the children's forms) and of wholes (forms with all texts), which
+    are equal for equal blocks. References are numbered at once, and pages as they come, so that what two forms match is
+    worked out once for all pages. A whole that no reference has is -1. What pages add is dropped beyond ``MOST_SHAPES``."""
+
+    def __init__(self, references: list[Block]) -> None:
+        self.references = references
+        self.clear()
+
+    def clear(self) -> None:
+        self.forms: dict[tuple, int] = {}
+        self.listed: list[tuple] = []
+        self.sizes: list[int] = []  # nodes of a form
+        self.known: dict[tuple[int, int], int] = {}  # matched nodes of two forms
+        self.wholes: dict[tuple, int] = {}
+        self.added = 0
+        for root in self.references:
+            self._number(root, True)
+        self.added = 0
+
+    def number(self, root: Block) -> None:
+        if self.added + len(self.known) > MOST_SHAPES:
+            self.clear()
+        self._number(root, False)
+
+    def _number(self, root: Block, learn: bool) -> None:
+        forms, wholes = self.forms, self.wholes
         order = [root]
         for node in order:
             order.extend(node.children)
         for node in reversed(order):
-            below = [id(c) for c in node.children]
-            form[id(node)] = forms.setdefault((node.label, *[form[c] for c in below]), len(forms))
-            whole[id(node)] = wholes.setdefault((node.label, node.text(), *[whole[c] for c in below]), len(wholes))
-    return list(forms), form, whole
+            below = node.children
+            form = (node.label, *[c.form for c in below])
+            node.form = forms.get(form, -1)
+            if node.form < 0:
+                node.form = forms[form] = len(forms)
+                self.listed.append(form)
+                self.sizes.append(1 + sum(self.sizes[f] for f in form[1:]))
+                self.added += len(form)
+            whole = (node.label, node.text() if node.runs else "", *[c.whole for c in below])
+            node.whole = wholes.setdefault(whole, len(wholes)) if learn else wholes.get(whole, -1)
+
+
+def equal_ends(xs, ys) -> tuple[int, int]:
+    """How many numbers two lists have in common at the start, and at the end of what is left."""
+    most, start, end = min(len(xs), len(ys)), 0, 0
+    while start < most and xs[start] == ys[start]:
+        start += 1
+    while end < most - start and xs[-1 - end] == ys[-1 - end]:
+        end += 1
+    return start, end
 
 
 def next_row(above, gain):
@@ -227,12 +263,16 @@ def next_row(above, gain):
     return row
 
 
-def alignment(a: Block, b: Block) -> list[tuple[Block, Block]]:
+def alignment(a: Block, b: Block, shapes: Shapes | None = None) -> list[tuple[Block, Block]]:
     """Matched nodes of two trees by simple tree matching; where as many nodes match in several ways, children that are equal
-    with all that is below them go together."""
+    with all that is below them go together. ``shapes`` has numbered both trees, b as a reference.
+
+    Equal blocks at the ends of two sibling lists go together without a table: no other partner gains more."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # trees may be deep
-    forms, form, whole = numbered((a, b))
-    known: dict[tuple[int, int], int] = {}
+    if shapes is None:
+        shapes = Shapes([b])
+        shapes.number(a)
+    forms, sizes, known = shapes.listed, shapes.sizes, shapes.known
 
     def first_row(xs, ys):
         """Long lists are worked out as arrays, which gives the same."""
@@ -261,25 +301,36 @@ def alignment(a: Block, b: Block) -> list[tuple[Block, Block]]:
 
     def nodes(x: int, y: int) -> int:
         """How many nodes of two forms match."""
+        if x == y:
+            return sizes[x]
         left, right = forms[x], forms[y]
         if left[0] != right[0]:
             return 0
         if len(left) == 1 or len(right) == 1:
             return 1
         if (x, y) not in known:
-            xs, ys = left[1:], right[1:]
-            row, gain = first_row(xs, ys), gains(xs, ys)
-            for i in range(len(xs)):
-                row = next_row(row, gain(i))
-            known[x, y] = 1 + (int(row[-1]) >> 32)
+            start, end = equal_ends(left[1:], right[1:])
+            xs, ys = left[1 + start : len(left) - end], right[1 + start : len(right) - end]
+            equal = sum(sizes[f] for f in left[1 : 1 + start]) + sum(sizes[f] for f in left[len(left) - end :])
+            if xs and ys:
+                row, gain = first_row(xs, ys), gains(xs, ys)
+                for i in range(len(xs)):
+                    row = next_row(row, gain(i))
+                equal += int(row[-1]) >> 32
+            known[x, y] = 1 + equal
         return known[x, y]
 
     def matched(xs: list[Block], ys: list[Block]) -> list[tuple[Block, Block]]:
         """Pairs of children. Of a long table some rows are kept, and those between are worked out again."""
+        start, end = equal_ends([x.whole for x in xs], [y.whole for y in ys])
+        ends = [*zip(xs[:start], ys[:start], strict=True), *zip(xs[len(xs) - end :], ys[len(ys) - end :], strict=True)]
+        xs, ys = xs[start : len(xs) - end], ys[start : len(ys) - end]
         if not xs or not ys:
-            return []
-        fx, fy = [form[id(x)] for x in xs], [form[id(y)] for y in ys]
-        gain = gains(fx, fy, [whole[id(x)] for x in xs], [whole[id(y)] for y in ys])
+            return ends
+        fx, fy, wx, wy = [x.form for x in xs], [y.form for y in ys], [x.whole for x in xs], [y.whole for y in ys]
+        if len({*fx, *fy}) == 1 and set(wx).isdisjoint(wy):  # every two gain the same: the table leads along the last ones
+            return [*ends, *zip(reversed(xs), reversed(ys))]  # noqa: B905
+        gain = gains(fx, fy, wx, wy)
         tops = [first_row(xs, ys)]
         size = len(xs)
         if isinstance(tops[0], np.ndarray):
@@ -304,28 +355,30 @@ def alignment(a: Block, b: Block) -> list[tuple[Block, Block]]:
                     i -= 1
                 else:
                     j -= 1
-        return pairs
+        return ends + pairs
 
     pairs, todo = [], [(a, b)] if a.label == b.label else []
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        todo.extend(matched(x.children, y.children))
+        if x.children and y.children:
+            todo.extend(zip(x.children, y.children, strict=True) if x.whole == y.whole else matched(x.children, y.children))
     return pairs
 
 
-def votes(page: str, references: list[tuple[str, Block]]) -> list[tuple]:
-    """What a page says of its host's template, in rows of VOTE: for each path (no node) its parent, whether it has text that
+def votes(page: str, references: list[tuple[str, Block]], shapes: Shapes) -> list[tuple]:
+    """What a page says of its host's template, whose references ``shapes`` has numbered, in rows of VOTE: for each path (no node) its parent, whether it has text that
     was compared, and how much text it has itself and below; for each node (path and text) that matched, its text and the
     paths around it."""
     blocks, runs = parse(page, words=False)
     size = sum(len(t) for _, t in runs)
     matched: set[int] = set()
     compared = False
+    shapes.number(blocks[0])
     for html, other in references:
         if html == page:
             continue
-        equal = [x for x, y in alignment(blocks[0], other) if x.runs and x.text() == y.text()]
+        equal = [x for x, y in alignment(blocks[0], other, shapes) if x.runs and x.text() == y.text()]
         if sum(len(x.text()) for x in equal) > 0.7 * size:
             continue  # a copy shows nothing
         compared = True
@@ -364,12 +417,13 @@ def induce(pages: list[str]) -> tuple[list[int], int]:
     one layout in memory."""
     different = sorted(set(pages))
     references = [(page, parse(page, words=False)[0][0]) for page in different]
+    shapes = Shapes([tree for _, tree in references])
     voted, hits, own, below = Counter(), Counter(), Counter(), Counter()
     nodes: dict[int, tuple] = {}
     sizes: Counter[int] = Counter()
     parents: dict[int, int] = {}
     for page in different:
-        for path, parent, node, compared, hit, size, under, chain in votes(page, references):
+        for path, parent, node, compared, hit, size, under, chain in votes(page, references, shapes):
             if node is None:
                 parents[path] = parent
                 voted[path] += compared
@@ -461,23 +515,28 @@ def templates(pages: DataFrame) -> DataFrame:
         asked = asked.select("__host", "__layout", "__html", "__refs")
     kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64())}
     fields = [c.split(" ", 1) for c in VOTE.split(", ")]
-    kind = pa.struct([(name, kinds[k]) for name, k in fields])
+    names, types = [name for name, _ in fields], [kinds[k] for _, k in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, list[tuple[str, Block]]] = {}
+        known: dict[tuple, tuple[list[tuple[str, Block]], Shapes]] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found = []
+                found, ends = [], [0]
                 keys = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
                 for i, (key, page) in enumerate(zip(keys, part.column(2).to_pylist(), strict=True)):
                     if key not in known:
                         if len(known) >= 64:
                             known.clear()
                         references = shared.value[key] if small else part.column(3)[i].as_py()
-                        known[key] = [(html, parse(html, words=False)[0][0]) for html in references]
-                    found.append([dict(zip(kind.names, v, strict=True)) for v in votes(page, known[key])])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(kind))], names=["__host", "__layout", "votes"])
+                        trees = [(html, parse(html, words=False)[0][0]) for html in references]
+                        known[key] = trees, Shapes([tree for _, tree in trees])
+                    found.extend(votes(page, *known[key]))
+                    ends.append(len(found))
+                columns = zip(*found, strict=True) if found else [()] * len(names)
+                rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+                voted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), voted], names=["__host", "__layout", "votes"])
 
     structs = ", ".join(f"{name}: {k}" for name, k in fields)
     voted = asked.mapInArrow(run, f"__host string, __layout long, votes array<struct<{structs}>>")
