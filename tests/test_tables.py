@@ -60,6 +60,35 @@ def test_a_later_write_completes_open_traces_across_midnight(spark, tmp_path):
         assert {str(r["event_date"]) for r in rows} == {"1970-01-01"}
 
 
+def test_both_tables_are_written_from_stored_spans(spark, tmp_path, monkeypatch):
+    """Each write makes its spans once; the two tables read them by column instead of making them again."""
+    from tracewright.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries.T, "write_events", lambda spans, path, options: given.append(spans))
+    monkeypatch.setattr(queries.T, "write_actions", lambda spans, path: given.append(spans))
+    rows = spark.range(40).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + id * 60000000000) as ts", "id % 3 as user_id",
+        "element_at(array('view', 'click', 'purchase', 'signup', 'error'), int(id % 5) + 1) as event_type",
+        "double(id) as value", "concat('{\"k\":', id, '}') as props",
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    queries._written_twice(spark, str(tmp_path))
+    assert len(given) == 4 and all(spans.count() for spans in given)
+    for spans in given:
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def test_rows_that_come_twice_are_written_once(spark, tmp_path):
+    spans = assemble(frame(spark, random_events(22, 5, 30, lost=False, runs=False)), OPTIONS)
+    n = T.final(spans).count()
+    for _ in range(2):
+        T.write_events(spans.unionByName(spans), str(tmp_path / "events"))
+        T.write_actions(spans.unionByName(spans), str(tmp_path / "actions"))
+    assert n and [spark.read.parquet(str(tmp_path / name)).count() for name in ("events", "actions")] == [n, n]
+
+
 def test_access_paths_reach_the_scan(spark, tmp_path):
     spans = assemble(frame(spark, random_events(22, 5, 30, lost=False, runs=False)), OPTIONS)
     T.write_actions(spans, str(tmp_path / "actions"))

@@ -17,7 +17,7 @@ from tracewright.operators.correlation import correlate, correlation_split, memo
 from tracewright.operators.pairing import match_tools, pair_tools, tool_events
 from tracewright.operators.rollups import actions, rollup_actions, rollup_sessions, summarize_traces
 from tracewright.operators.routing import resolve_lifecycles, route
-from tracewright.operators.scan import Split, checkpoint_dir, cut
+from tracewright.operators.scan import Split, checkpoint_dir, cut, stored
 from tracewright.operators.spans import assemble, build_spans, collect_traces, nest_spans
 from tracewright.operators.traces import annotate, annotate_by_heat, by_session, number_traces, own_traces, timed
 from tracewright.operators.traces import gap_sessions as activity_runs
@@ -435,8 +435,9 @@ def _written_twice(spark, sf_dir) -> str:
     """The tables after a write of the first half of the month's events and a write of all of them."""
     root = _scratch(spark, "tables")
     events = V.hooks_e(spark, sf_dir)
-    for part in (events.where("ts < '2024-01-15 12:00:00'"), events):
-        spans = assemble(part, HALF_DAY)
+    for number, part in enumerate((events.where("ts < '2024-01-15 12:00:00'"), events)):
+        # Stored, as both tables are made of them.
+        spans = stored(spark, assemble(part, HALF_DAY), f"{root}/spans/{number}")
         T.write_events(spans, f"{root}/events", HALF_DAY)
         T.write_actions(spans, f"{root}/actions")
     return root

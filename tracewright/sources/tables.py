@@ -62,8 +62,18 @@ def without_known(rows: DataFrame, known: DataFrame, key: str, day: str) -> Data
 
     The day must follow from the key, so that the stored side is read only for the days of the batch.
     """
-    fresh = rows.dropDuplicates([key])
-    return fresh.join(known.select(key, day), [key, day], "left_anti")
+    return not_stored(rows.dropDuplicates([key]), known, key, day)
+
+
+def not_stored(rows: DataFrame, known: DataFrame, key: str, day: str) -> DataFrame:
+    return rows.join(known.select(key, day), [key, day], "left_anti")
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each key, of stored rows. Repeats are looked for by the key alone: without any, whole rows are neither moved
+    nor grouped."""
+    repeated = rows.groupBy(key).count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates([key]) if repeated else rows
 
 
 def slot(name: str, value: Column) -> Column:
@@ -73,12 +83,12 @@ def slot(name: str, value: Column) -> Column:
 
 def append(dated: DataFrame, path: str, key: str, time: str, slots: tuple[str, ...] = (), looked_up: tuple[str, ...] = ()) -> None:
     """Append rows idempotently, in folders by ``event_date`` and ``slots``, sorted within files so that file statistics prune;
-    ``looked_up`` columns get Bloom filters. Rows of a folder are gathered first, large folders in several tasks and files."""
-    spark = dated.sparkSession
+    ``looked_up`` columns get Bloom filters. Rows of a folder are gathered first, large folders in several tasks and files.
+    ``dated`` is read twice and should be stored."""
+    spark, schema = dated.sparkSession, dated.schema
+    dated = once(dated, key)
     if exists(spark, path):
-        dated = without_known(dated, spark.read.schema(dated.schema).parquet(path), key, "event_date")
-    else:
-        dated = dated.dropDuplicates([key])
+        dated = not_stored(dated, spark.read.schema(schema).parquet(path), key, "event_date")
     order = "session_id" if "session_id" in dated.columns else key
     folders = ["event_date", *slots]
     if slots:
