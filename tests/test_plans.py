@@ -31,3 +31,31 @@ def test_rollup_reads_only_what_it_needs(spark):
 def test_text_work_does_not_shuffle(spark):
     for name in ("redact_texts", "provider_normalized", "usage_tokens", "media_refs"):
         assert "Exchange" not in plan_of(spark, name)
+
+
+def test_windows_over_whole_rows_carry_payloads_as_one(spark):
+    """Where rows are stored whole, no window or sort writes their many columns one by one; the rows are the same."""
+    from helpers import frame
+    from tracewright.operators.pairing import match_tools
+    from tracewright.operators.traces import annotate
+    from tracewright.options import Options
+
+    rows = [
+        {"seq": 1, "name": "llm_input", "session": "s", "us": 1, "prompt": "p"},
+        {"seq": 2, "name": "before_tool_call", "session": "s", "us": 2, "tool": "t", "params": "{}"},
+        {"seq": 3, "name": "after_tool_call", "session": "s", "us": 3, "tool": "t", "result": "1"},
+        {"seq": 4, "name": "llm_input", "session": "s", "us": 4},
+        {"seq": 5, "name": "llm_input", "session": None, "us": 5},
+    ]
+    events, options = frame(spark, rows), Options(as_of_us=9)
+    for plan in (lambda df, **how: annotate(df, options, **how), lambda df, **how: match_tools(annotate(df, options), **how)):
+        whole, plain = plan(events, whole=True), plan(events)
+        assert whole.columns == plain.columns
+        assert sorted(map(str, whole.collect())) == sorted(map(str, plain.collect()))
+    node = annotate(events, options, whole=True)._jdf.queryExecution().optimizedPlan()
+    widths = []
+    while node.children().nonEmpty():
+        if node.nodeName() == "Window":
+            widths.append(node.output().size())
+        node = node.children().head()
+    assert widths and max(widths) < 40 < len(events.columns)

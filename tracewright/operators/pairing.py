@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import present
-from tracewright.operators.scan import PLAIN, Scan, Split, beside, running
+from tracewright.operators.scan import PLAIN, Scan, Split, beside, packed, running
 from tracewright.operators.traces import ORDER, ROW, TOOL_END, TOOL_START, TRACE, named
 
 # Open tool calls are kept per trace and own session, and all forgotten at a run end (the phase).
@@ -17,15 +17,17 @@ def tool_events(annotated: DataFrame) -> DataFrame:
     return annotated.where(named(TOOL_START, TOOL_END) & F.col("reached"))
 
 
-def match_tools(reached: DataFrame, split: Split = PLAIN) -> DataFrame:
+def match_tools(reached: DataFrame, split: Split = PLAIN, whole: bool = False) -> DataFrame:
     """Events that reached a trace, with the slot each tool event takes; other events pass through.
 
     A start and the end that closes it share ``slot_kind``, ``slot_name`` and ``slot_no``. ``matched`` is
-    false for an end no start was open for; ``replaced_us`` is when a repeated call id replaced the start.
+    false for an end no start was open for; ``replaced_us`` is when a repeated call id replaced the start. ``whole``: as in
+    ``annotate``.
     """
+    read = [*SCOPE, *ORDER, "tool_call_id", "tool_name"]
     if not split.active:
-        return _match(reached, split)
-    return beside(reached, ROW, [*SCOPE, *ORDER, "tool_call_id", "tool_name"], lambda part: _match(part, split))
+        return packed(reached, [*ROW, *read], lambda part: _match(part, split)) if whole else _match(reached, split)
+    return beside(reached, ROW, read, lambda part: _match(part, split))
 
 
 def _match(reached: DataFrame, split: Split) -> DataFrame:

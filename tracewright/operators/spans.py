@@ -339,9 +339,9 @@ def with_links(events: DataFrame) -> DataFrame:
     return events.withColumns(missing) if missing else events
 
 
-def group_slots(annotated: DataFrame, split: Split = PLAIN) -> DataFrame:
+def group_slots(annotated: DataFrame, split: Split = PLAIN, whole: bool = False) -> DataFrame:
     """One row per slot: the trace itself, a tool call, a sub-agent run."""
-    slots = match_tools(with_links(annotated).where("reached"), split)
+    slots = match_tools(with_links(annotated).where("reached"), split, whole)
     sub = f"(link_seq is not null and ({LIFECYCLE} or event_name = 'subagent_reset'))"
     rows = slots.where(f"not {TOOL} or matched").selectExpr(
         *[c for c in slots.columns if c != "slot_no"],
@@ -366,9 +366,10 @@ def group_slots(annotated: DataFrame, split: Split = PLAIN) -> DataFrame:
     )
 
 
-def build_spans(annotated: DataFrame, options: Options = Options(), split: Split = PLAIN) -> DataFrame:
-    """One row per span: root and model span of every trace, its tool calls, its sub-agent runs."""
-    rows = finish_traces(group_slots(annotated, split))
+def build_spans(annotated: DataFrame, options: Options = Options(), split: Split = PLAIN, whole: bool = False) -> DataFrame:
+    """One row per span: root and model span of every trace, its tool calls, its sub-agent runs. ``whole``: every field is
+    wanted, as in ``annotate``."""
+    rows = finish_traces(group_slots(annotated, split, whole))
     rows = rows.withColumns({name: redact_json(raw) for name, raw in OPEN_JSON.items()})
     rows = rows.selectExpr(
         "*",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.scan import PLAIN, Scan, Split, beside, by_heat, cut, measure, running
+from tracewright.operators.scan import PLAIN, Scan, Split, beside, by_heat, cut, measure, packed, running
 from tracewright.options import Options
 
 INPUT, OUTPUT, TOOL_START, TOOL_END = "llm_input", "llm_output", "before_tool_call", "after_tool_call"
@@ -152,8 +152,9 @@ def at_end(events: DataFrame, options: Options) -> Options:
     return options.but(as_of_us=timed(events).agg(F.max("ts_us")).first()[0] or 0)
 
 
-def annotate(events: DataFrame, options: Options = Options(), split: Split = PLAIN) -> DataFrame:
-    """Events that have a session, with their trace number, its bounds and whether they reached it."""
+def annotate(events: DataFrame, options: Options = Options(), split: Split = PLAIN, whole: bool = False) -> DataFrame:
+    """Events that have a session, with their trace number, its bounds and whether they reached it. ``whole``: every column of
+    the events is wanted, so the windows carry those they do not read as one."""
     options = at_end(events, options)
     keyed = timed(events).where(F.col("host_key").isNotNull())
 
@@ -161,7 +162,7 @@ def annotate(events: DataFrame, options: Options = Options(), split: Split = PLA
         return bound_traces(number_traces(part, split), options, split)
 
     if not split.active:
-        return bound(keyed)
+        return packed(keyed, [*ROW, "ts_us", "host_key"], bound) if whole else bound(keyed)
     return beside(keyed, ROW, ["ts_us", "host_key"], bound)
 
 

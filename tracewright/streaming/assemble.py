@@ -20,6 +20,7 @@ and merges parts in tiers. Other open traces are neither read nor written.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -242,10 +243,11 @@ def process_batch(batch: DataFrame, batch_id: int, root: str, delay_ms: int, opt
             break
         touched = wider
 
-    seen = cut(spark, by_session(with_links(routed), known, annotate))
+    # Both are stored with all columns.
+    seen = cut(spark, by_session(with_links(routed), known, partial(annotate, whole=True)))
     is_open = still_open(horizon)
     # Stored before nesting, which reads them three times.
-    spans = nest_spans(cut(spark, by_session(seen.where(f"not {is_open}"), known, build_spans)))
+    spans = nest_spans(cut(spark, by_session(seen.where(f"not {is_open}"), known, partial(build_spans, whole=True))))
     write_batch(event_rows(spans, options), f"{root}/events", batch_id)
     write_batch(actions(spans), f"{root}/actions", batch_id)
     upsert(cut(spark, rollup_sessions(spans)), draft, root, "sessions", "session_id", merge_sessions, near=SESSIONS_NEAR)
